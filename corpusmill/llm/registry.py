@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import exact_dedup
+from corpusmill.llm import bpe, exact_dedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,26 @@ SELECT n.doc_id, w.keep_id, w.group_size, n.doc_id = w.keep_id AS kept, n.text_s
 FROM n JOIN w USING (text_sha256)
 """
 
+def vocabulary_path() -> str:
+    """The public vocabulary file of operators 7 and 9."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op9_bpe": op9_bpe,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
