@@ -67,6 +67,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i+7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-6)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i+8)) AS p FROM rep) GROUP BY doc_id),
+ln AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup, count(*) AS n FROM ln GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, source, len(w)::BIGINT AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(dl.dup, 0)::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(dl.n, 0) AS n_lines
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN dl USING (doc_id)),
+r AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 10 * n_symbols > n_words AS many_symbols,
+         10 * n_dup_lines > 3 * n_lines AS dup_lines, word_chars < 3 * n_words OR word_chars > 12 * n_words AS odd_words
+  FROM m),
+u AS (
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f
+  FROM (SELECT source, unnest([{'rule': 1, 'failed': base_failed}, {'rule': 2, 'failed': many_symbols}, {'rule': 3, 'failed': dup_lines}, {'rule': 4, 'failed': odd_words}], recursive := true) FROM r)
+  GROUP BY ALL),
+s AS (
+  SELECT rule, sum(f) / sum(n) AS mean, sum(f) / sum(n) * (1 - sum(f) / sum(n)) AS spread,
+         sum(f * f / n) / sum(n) - (sum(f) / sum(n)) ** 2 - sum(f) / sum(n) * (1 - sum(f) / sum(n)) * count(*) / sum(n) AS between_
+  FROM u GROUP BY rule),
+p AS (SELECT rule, mean, least(greatest(CASE WHEN between_ > 0 THEN spread / between_ - 1 ELSE 10000.0 END, 1.0), 10000.0) AS strength FROM s),
+h AS (SELECT u.source, bool_and((u.f + mean * strength) / (u.n + strength) <= 0.5) AS host_ok FROM u JOIN p USING (rule) GROUP BY u.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
+FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
@@ -79,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op4_quality_rules": OP4_SQL,
 }
