@@ -44,6 +44,8 @@ from corpusmill.llm import common as C
 CACHE_ENTRIES, CACHE_BYTES = 250_000, 48
 #: Entries of the table of pairs found (in)compatible before it is emptied.
 PAIR_ENTRIES = 400_000
+#: Marks that are a word of their own after letters.
+_MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 #: Below this code point, lower-casing and letter classes are the same in all Unicode versions and NFC changes nothing.
 _PLAIN = "ɐ"
 _END = "</w>"
@@ -77,8 +79,8 @@ class _TwoAges(dict):
         return value
 
 
-class Vocabulary:
-    """Tokens, merges and tables of one vocabulary file."""
+class Cutter:
+    """Cleans and cuts text into words as the vocabulary file says; merging is left to the subclasses."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -87,17 +89,53 @@ class Vocabulary:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = json.dumps(spec["pre_tokenizer"])
-        if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != _END or json.dumps(_WORDS) not in pre:
+            self.spec = spec = json.load(f)
+        if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != _END or json.dumps(_WORDS) not in json.dumps(spec["pre_tokenizer"]):
             raise ValueError("this encoder needs byte-level BPE with word ends and the pattern it knows")
-        vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(_WORDS)
-        symbols = _byte_symbols()
-        self.symbols = symbols
-        self.byte_of = {s: b for b, s in enumerate(symbols)}
+        self.byte_of = {s: b for b, s in enumerate(_byte_symbols())}
+
+    def words_of(self, piece: str) -> list[bytes]:
+        """The words of a piece of text without ASCII white space or special tokens."""
+        if max(piece) < _PLAIN and "İ" not in piece:
+            piece = piece.lower()
+            return [piece.encode()] if piece.isalpha() else [w.encode() for w in self.words.findall(piece)]
+        cleaned = self.library.normalizer.normalize_str(piece)
+        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(cleaned)]
+
+    def cut(self, piece: str) -> list[bytes | int]:
+        """Words and ids of special tokens, in order."""
+        if not self.special_pattern or "<|" not in piece:
+            return self.words_of(piece)
+        out: list[bytes | int] = []
+        at = 0
+        for m in self.special_pattern.finditer(piece):
+            out += [*(self.words_of(piece[at : m.start()]) if m.start() > at else ()), self.special[m[0]]]
+            at = m.end()
+        return out + (self.words_of(piece[at:]) if at < len(piece) else [])
+
+
+class LibraryVocabulary(Cutter):
+    """Merges by the library itself; for uses that ask for ids, not for this encoder."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.symbols = {b: s for s, b in self.byte_of.items()}
+
+    def encode_word(self, data: bytes) -> list[int]:
+        text = data.decode("latin-1").translate(self.symbols) if data else ""
+        return [t.id for t in self.library.model.tokenize(text)]
+
+
+class Vocabulary(Cutter):
+    """Tokens, merges and tables of one vocabulary file."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        spec = self.spec
+        vocab: dict[str, int] = spec["model"]["vocab"]
         # a word is a string with one character a byte; the last one is raised by 256, as its symbol holds the word end
         self.text_of: dict[int, str] = {}
         for token, i in vocab.items():
@@ -118,7 +156,6 @@ class Vocabulary:
             if whole not in self.rank:
                 self.halves[whole], self.rank[whole] = (a, b), rank
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.seen_words = _TwoAges(self.encode_word)
         yielded = [i for i in self.text_of if self._yielded(i)]
         self.longest = ahocorasick.Automaton()
         for i in yielded:
@@ -215,29 +252,6 @@ class Vocabulary:
                 left = out[-1] if out else -1
                 token = shorter[taken]
 
-    def words_of(self, piece: str) -> list[bytes]:
-        """The words of a piece of text without ASCII white space or special tokens."""
-        if piece.isascii():
-            piece = piece.lower()
-            return [piece.encode()] if piece.isalpha() else [w.encode() for w in self.words.findall(piece)]
-        if max(piece) < _PLAIN and "İ" not in piece:
-            return [w.encode() for w in self.words.findall(piece.lower())]
-        cleaned = self.library.normalizer.normalize_str(piece)
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(cleaned)]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a text; the cache of :class:`Encoder` calls it once for each piece between white space."""
-        out: list[int] = []
-        at, seen = 0, self.seen_words
-        for m in self.special_pattern.finditer(piece) if self.special_pattern and "<|" in piece else ():
-            out += self.encode_piece(piece[at : m.start()]) if m.start() > at else []
-            out.append(self.special[m[0]])
-            at = m.end()
-        if at < len(piece):
-            for word in self.words_of(piece[at:] if at else piece):
-                out += seen[word]
-        return out
-
     def decode(self, ids: list[int]) -> bytes:
         blob, offset = self.blob, self.offset
         return b" ".join([blob[offset[i] : offset[i + 1]] for i in ids])
@@ -246,14 +260,23 @@ class Vocabulary:
 class Encoder:
     """Whole texts to ids, as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, path: str) -> None:
-        self.vocabulary = Vocabulary(path)
-        self.words: dict[bytes, bytes] = {}
+    def __init__(self, vocabulary: Vocabulary | LibraryVocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.words = _TwoAges(self._word)
         self.pieces = _TwoAges(self._piece)
         self.views = _TwoAges(self._view)
 
+    def _word(self, word: bytes) -> bytes:
+        ids = self.vocabulary.encode_word(word)
+        return pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: bytes) -> bytes:
-        return pack(f"<{len(ids)}I", *ids) if (ids := self.vocabulary.encode_piece(piece.decode())) else b""
+        words = self.words
+        if piece.isalpha():  # ASCII letters only: most pieces are one word, or one and a mark
+            return words[piece.lower()]
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return words[piece[:-1].lower()] + words[piece[-1:]]
+        return b"".join([words[w] if isinstance(w, bytes) else pack("<I", w) for w in self.vocabulary.cut(piece.decode())])
 
     def _view(self, piece: bytes) -> tuple[bytes, bytes]:
         """Decimal ids and decoded text of a piece."""
@@ -268,15 +291,15 @@ class Encoder:
         return self.vocabulary.decode(np.frombuffer(ids, "<u4").tolist()).decode()
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; kept from task to task."""
-    if path not in _ENCODERS:
+def encoder(path: str, library: bool = False) -> Encoder:
+    """The worker's encoder for a vocabulary file, kept from task to task; ``library`` merges by the library."""
+    if (path, library) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, library] = Encoder((LibraryVocabulary if library else Vocabulary)(path))
+    return _ENCODERS[path, library]
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 7, packing: first-fit decreasing with a tournament tree of bin capacities.
 
-Each document is encoded (``bpe``), ended with an end id, and cut into full
+Each document is encoded (by the ``tokenizers`` library, with the caches of ``bpe``), ended with an end id, and cut into full
 sequences and one rest.  Rests are dealt at random into groups of about
 GROUP_DOCS documents; each group is packed on its own, so tasks stay small and
 even at any size.  A group sorts its rests by falling length and puts each into
@@ -77,7 +77,7 @@ def _encode_rows(path: str, end_id: int, with_ids: bool, room: int):
     """The pieces of each document: full sequences and one rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, crc = encoder(path).encode, np.array([end_id], "<u4").tobytes(), zlib.crc32
+        encode, end, crc = encoder(path, library=True).encode, np.array([end_id], "<u4").tobytes(), zlib.crc32
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
