@@ -190,7 +190,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     C.ship(spark)
     C.small_batches(spark)
     kind = turns.schema["conv_id"].dataType.simpleString()
-    dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    dealt = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     schema = f"conv_id {kind}, window long, first_turn long, n_context long, n_new long, tokens long, text string, loss_spans array<struct<start:bigint,end:bigint>>"
     return dealt.mapInArrow(_format(budget, history, counter), schema)
 

@@ -137,6 +137,15 @@ def join_unique(left: DataFrame, right: DataFrame, on: Sequence[str], size: str,
     return a.unionByName(b)
 
 
+def boxed(df: DataFrame) -> Column:
+    """The whole row as one struct, so that no column of the table can clash with those an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def unboxed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Column]) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys``; only rows the filter flags are shuffled.
 
@@ -144,15 +153,11 @@ def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Colu
     """
     if not n_keys:
         return df
-    names, cols = list(exprs), df.columns
+    names = list(exprs)
     bits = log2_bits_for(n_keys)
-    as_key = F.xxhash64(*[F.col(k) for k in names])
-    bitmap = key_bitmap(keys, as_key, bits)
-    marked = probe(df.withColumns({f"_k_{k}": e for k, e in exprs.items()}), F.xxhash64(*[F.col(f"_k_{k}") for k in names]), bitmap, bits, "_flag")
-    clear = marked.filter(~F.col("_flag")).select(*cols)
+    bitmap = key_bitmap(keys, F.xxhash64(*names), bits)
+    marked = probe(df.select(boxed(df), *[e.alias(k) for k, e in exprs.items()]), F.xxhash64(*names), bitmap, bits, "_flag")
     flagged = marked.filter("_flag")
     gone = keys.select(*[F.col(k).alias(f"_r_{k}") for k in names]).distinct()
-    cond = F.lit(True)
-    for k in names:
-        cond = cond & flagged[f"_k_{k}"].eqNullSafe(gone[f"_r_{k}"])
-    return clear.unionByName(flagged.join(gone, cond, "left_anti").select(*cols))
+    left = flagged.join(gone, _null_safe(flagged, gone, names), "left_anti")
+    return unboxed(marked.filter(~F.col("_flag")), df.columns).unionByName(unboxed(left, df.columns))

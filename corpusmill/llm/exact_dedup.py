@@ -107,11 +107,10 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not (n := again.count()):
         return out
     bits = C.log2_bits_for(n)
-    wide = docs.withColumns({f"_k_{k}": e for k, e in key.items()})
-    wide = C.probe(wide, F.xxhash64("_k_doc_id", "_k_digest"), C.key_bitmap(again, F.xxhash64("doc_id", "digest"), bits), bits, "_flag").filter("_flag")
+    wide = docs.select(C.boxed(docs), F.length(C.text_of(text_col)).alias("_chars"), *[e.alias(k) for k, e in key.items()])
+    wide = C.probe(wide, F.xxhash64("doc_id", "digest"), C.key_bitmap(again, F.xxhash64("doc_id", "digest"), bits), bits, "_flag").filter("_flag")
     again = again.select(F.col("doc_id").alias("_r_id"), F.col("digest").alias("_r_digest"))
-    wide = wide.join(again, wide["_k_doc_id"].eqNullSafe(again["_r_id"]) & (wide["_k_digest"] == again["_r_digest"]), "left_semi")
+    wide = wide.join(again, wide["doc_id"].eqNullSafe(again["_r_id"]) & (wide["digest"] == again["_r_digest"]), "left_semi")
     # of different originals with equal normalised text the longest stays
-    order = F.struct(F.length(C.text_of(text_col)), F.struct(*[F.col(c) for c in docs.columns]))
-    one = wide.groupBy("_k_doc_id", "_k_digest").agg(F.max(order).alias("_one"))
-    return out.unionByName(one.select(*[F.col("_one.col2")[c].alias(c) for c in docs.columns]))
+    one = wide.groupBy("doc_id", "digest").agg(F.max_by("_row", "_chars").alias("_row"))
+    return out.unionByName(C.unboxed(one, docs.columns))

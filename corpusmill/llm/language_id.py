@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import common as C
 
@@ -108,7 +109,7 @@ def decode(found: np.ndarray, model: Model) -> tuple[str, float, bool]:
 
 def _sample(docs: DataFrame, usable: Column, per_language: int) -> DataFrame:
     """``lang``, ``text`` of the rows to learn from."""
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     counts = rows.groupBy("lang").count()
     rates = counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
@@ -163,36 +164,33 @@ def learn(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Mo
     return Model(languages, code, weights, np.maximum(np.abs(found).mean(0), 1e-6), trust / trust.sum(1, keepdims=True))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """``doc_id, lang_pred, score, ambiguous`` for every row; ``keep`` keeps all columns before those three."""
-    spark = docs.sparkSession
+def _predict(rows: DataFrame, model: Model | None) -> DataFrame:
+    """``lang_pred, score, ambiguous`` after the first column of ``rows``; the second is the text."""
+    spark = rows.sparkSession
     C.ship(spark)
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    names = [rows.columns[0], "lang_pred", "score", "ambiguous"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             out: list[tuple[str, float, bool]] = []
-            for text in batch.column("__text").to_pylist():
+            for text in batch.column(1).to_pylist():
                 if model is None or text is None or not _LETTER.search(text):
                     out.append((UNKNOWN, 0.0, False))
                 else:
                     out.append(decode(margins(text, model.weights), model))
             langs, scores, flags = zip(*out) if out else ((), (), ())
-            at = batch.schema.get_field_index("__text")
-            rest = [(n, c) for i, (n, c) in enumerate(zip(batch.schema.names, batch.columns)) if i != at or keep]
-            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], [*(n for n, _ in rest), "_lang_pred", "_score", "_ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names)
+
+    fields = [T.StructField(n, k) for n, k in zip(names[1:], (T.StringType(), T.DoubleType(), T.BooleanType()))]
+    return rows.mapInArrow(run, T.StructType([rows.schema[0], *fields]))
+
 
-    if keep:
-        rows = docs.withColumnRenamed(text_col, "__text")
-    else:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != "__text"]
-    done = rows.mapInArrow(run, ", ".join([*fields, "_lang_pred string", "_score double", "_ambiguous boolean"]))
-    if keep:
-        return done.withColumnRenamed("__text", text_col)
-    return done.select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_ambiguous").alias("ambiguous"))
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score, ambiguous`` for every row."""
+    return _predict(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -202,6 +200,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """``docs`` without rows of unknown or ambiguous language; a null ``lang`` becomes the predicted one."""
-    model = learn(docs, ~held_out())
-    told = predict(docs, model, keep=True).filter((F.col("_lang_pred") != UNKNOWN) & ~F.col("_ambiguous") & (F.col("_score") >= min_score))
-    return told.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
+    told = _predict(docs.select(C.boxed(docs), F.col("text").alias("_text")), learn(docs, ~held_out()))
+    told = told.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous") & (F.col("score") >= min_score))
+    fill = {"lang": F.coalesce(F.col("_row").getField("lang"), F.col("lang_pred"))}
+    return told.select(*[fill.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

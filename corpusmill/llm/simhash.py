@@ -62,7 +62,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(line, SEED)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts = [0, *(gaps[: len(gaps) - shingle + 2] + 1).tolist()]
+    starts = [0, *(gaps[: len(gaps) - shingle + 1] + 1).tolist()]
     ends = [*gaps[shingle - 1 :].tolist(), len(line)]
     digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for i in range(0, len(starts), _HASHES_AT_ONCE):
@@ -76,7 +76,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
 
 def _gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -247,11 +247,12 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id."""
+    """One row per document: doc_id, fp (signed long), component_id, text_hash (tells rows with one id apart)."""
     spark = docs.sparkSession
     C.ship(spark)
     C.small_batches(spark)
-    prints = C.materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "simhash")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    prints = C.materialize(rows.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, text_hash long"), "simhash")
     total = prints.count()
     each = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     labels = C.materialize(connected_components(fingerprint_links(each.select("fp"))), "simhash-labels")
@@ -259,11 +260,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tops = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
     named = C.join_unique(linked, tops, ["component"], "members", linked.count()).select(F.col("fp").alias("_fp"), "component_id")
     where = C.materialize(each.join(named, each["fp"] == named["_fp"], "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-components")
-    return C.join_unique(prints, where, ["fp"], "n", total).select("doc_id", "fp", "component_id")
+    return C.join_unique(prints, where, ["fp"], "n", total).select("doc_id", "fp", "component_id", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without all but the smallest id of each component.  Rows that repeat that id stay."""
     found = simhash_components(docs, id_col, text_col)
-    gone = C.materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash-gone")
-    return C.drop_keys(docs, gone, gone.count(), {"doc_id": F.col(id_col)})
+    gone = C.materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct(), "simhash-gone")
+    return C.drop_keys(docs, gone, gone.count(), {"doc_id": F.col(id_col), "text_hash": F.xxhash64(text_col)})

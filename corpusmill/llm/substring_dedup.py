@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm import common as C
 
@@ -169,20 +170,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.filter(F.col("n_words") >= min_words).drop("run")
 
 
+def cut_text(text: str, spans: list[dict]) -> str:
+    """The text without the spans, which are sorted by start."""
+    parts, at = [], 0
+    for span in spans:
+        parts.append(text[at : span["start"]])
+        at = max(at, span["end"])
+    return "".join([*parts, text[at:]])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = batch.column(batch.schema.get_field_index("_text")).to_pylist(), batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-        out = []
-        for text, cuts in zip(texts, spans):
-            if text is not None and cuts:
-                parts, at = [], 0
-                for span in cuts:
-                    parts.append(text[at : span["start"]])
-                    at = max(at, span["end"])
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        at = batch.schema.get_field_index("_text")
-        yield batch.set_column(at, "_text", pa.array(out, pa.string())).drop_columns(["_spans"])
+        out = [cut_text(t, s) if t and s else t for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], ["_row", "_text", "_had"])
 
 
 def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,14 +196,15 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     if not n:
         return docs
     bits = C.log2_bits_for(n)
-    marked = C.probe(docs, F.xxhash64(F.col(id_col)), C.key_bitmap(lists, F.xxhash64("_id"), bits), bits, "_flag")
-    clear = marked.filter(~F.col("_flag")).drop("_flag")
-    hit = marked.filter("_flag").drop("_flag")
-    hit = hit.join(lists, hit[id_col].eqNullSafe(lists["_id"]), "left").drop("_id").withColumnRenamed(text_col, "_text")
-    cut = hit.withColumn("_had", F.col("_spans").isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "_spans")
-    done = cut.select(*[c for c in cut.columns if c != "_spans"], "_spans").mapInArrow(_cut, schema)
-    done = done.filter(~F.col("_had") | F.col("_text").rlike(r"[^\x20\x09-\x0D]")).drop("_had").withColumnRenamed("_text", text_col)
+    rows = docs.select(C.boxed(docs), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    marked = C.probe(rows, F.xxhash64("_doc"), C.key_bitmap(lists, F.xxhash64("_id"), bits), bits, "_flag")
+    hit = marked.filter("_flag")
+    hit = hit.join(lists, hit["_doc"].eqNullSafe(lists["_id"]), "left").select("_row", "_text", "_spans", F.col("_spans").isNotNull().alias("_had"))
+    schema = T.StructType([hit.schema["_row"], hit.schema["_text"], hit.schema["_had"]])
+    done = hit.mapInArrow(_cut, schema).filter(~F.col("_had") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return clear.select(*docs.columns).unionByName(done.select(*docs.columns))
+        size = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("_had"), size).otherwise(F.col("_row.n_chars"))
+    done = done.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    return C.unboxed(marked.filter(~F.col("_flag")), docs.columns).unionByName(done)
