@@ -77,10 +77,10 @@ def hash_buckets(text: Column, dim: int) -> Column:
 
 def hash_embed(df: DataFrame, text_col: str = "chunk_text", dim: int = 64) -> DataFrame:
     """Adds ``embedding array<double>``: the native form of :class:`HashEmbedder`, of unit length."""
-    buckets = hash_buckets(F.col(text_col), dim)
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.aggregate(buckets, zero, lambda acc, b: F.transform(acc, lambda x, i: x + F.when(i == b, 1.0).otherwise(0.0)))
-    return df.withColumn("embedding", V.l2_normalize(counts))
+    counted = df.withColumn("_b", hash_buckets(F.col(text_col), dim))
+    left = lambda b: F.size(F.array_remove("_b", b))  # noqa: E731  one native pass per bucket
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size("_b") - left(b)).cast("double"))
+    return counted.withColumn("embedding", V.l2_normalize(counts)).drop("_b")
 
 
 def embed_pairs(pairs: DataFrame, dim: int = 64) -> DataFrame:
