@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm import common as C
 
 #: Entries of a worker's young cache; the old one is as large.  Longer pieces are not kept.
-CACHE_ENTRIES, CACHE_BYTES = 250_000, 48
+CACHE_ENTRIES, CACHE_BYTES = 150_000, 48
 #: Entries of the table of pairs found (in)compatible before it is emptied.
-PAIR_ENTRIES = 400_000
+PAIR_ENTRIES = 200_000
 #: Marks that are a word of their own after letters.
 _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 #: Below this code point, lower-casing and letter classes are the same in all Unicode versions and NFC changes nothing.
@@ -89,13 +89,17 @@ class Cutter:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.spec = spec = json.load(f)
+            spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != _END or json.dumps(_WORDS) not in json.dumps(spec["pre_tokenizer"]):
             raise ValueError("this encoder needs byte-level BPE with word ends and the pattern it knows")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(_WORDS)
         self.byte_of = {s: b for b, s in enumerate(_byte_symbols())}
+        self.build(spec)
+
+    def build(self, spec: dict) -> None:
+        """Tables that a subclass makes from the file's contents, which are not kept."""
 
     def words_of(self, piece: str) -> list[bytes]:
         """The words of a piece of text without ASCII white space or special tokens."""
@@ -120,8 +124,7 @@ class Cutter:
 class LibraryVocabulary(Cutter):
     """Merges by the library itself; for uses that ask for ids, not for this encoder."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def build(self, spec: dict) -> None:
         self.symbols = {b: s for s, b in self.byte_of.items()}
 
     def encode_word(self, data: bytes) -> list[int]:
@@ -132,9 +135,7 @@ class LibraryVocabulary(Cutter):
 class Vocabulary(Cutter):
     """Tokens, merges and tables of one vocabulary file."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        spec = self.spec
+    def build(self, spec: dict) -> None:
         vocab: dict[str, int] = spec["model"]["vocab"]
         # a word is a string with one character a byte; the last one is raised by 256, as its symbol holds the word end
         self.text_of: dict[int, str] = {}
@@ -314,7 +315,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(t) for t in texts], pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(C.tidied(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -327,7 +328,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(i or b"") for i in batch.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(C.tidied(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,4 +350,4 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(C.tidied(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

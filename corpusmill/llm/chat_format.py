@@ -192,7 +192,7 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     kind = turns.schema["conv_id"].dataType.simpleString()
     dealt = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     schema = f"conv_id {kind}, window long, first_turn long, n_context long, n_new long, tokens long, text string, loss_spans array<struct<start:bigint,end:bigint>>"
-    return dealt.mapInArrow(_format(budget, history, counter), schema)
+    return dealt.mapInArrow(C.tidied(_format(budget, history, counter)), schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,4 +232,4 @@ def _digest_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 def digest_windows(windows: DataFrame) -> DataFrame:
     """One row per conversation, read back from :func:`format_conversations`' rows as they come (its order is needed)."""
     kind = windows.schema["conv_id"].dataType.simpleString()
-    return windows.mapInArrow(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    return windows.mapInArrow(C.tidied(_digest), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")

@@ -101,7 +101,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, id_co
     good = good.orderBy(F.xxhash64("_good_id"), "_good_id").limit(target_docs).withColumn("_good", F.lit(True))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = rows.join(F.broadcast(good), rows["doc_id"] == good["_good_id"], "left").select("text", F.coalesce("_good", F.lit(False)).alias("good"))
-    sums = marked.mapInArrow(_count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    sums = marked.mapInArrow(C.tidied(_count), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     model = np.zeros((2, BUCKETS))
     model[:, sums["bucket"].to_numpy(dtype=np.int64)] = sums[["target", "raw"]].to_numpy(dtype=float).T
     if model[0].any():
@@ -110,7 +110,7 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, id_co
         ratio = np.log(model[0]) - np.log(model[1])
     else:
         ratio = np.zeros(BUCKETS)
-    weighed = rows.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), f"doc_id {docs.schema[id_col].dataType.simpleString()}, log_weight double")
+    weighed = rows.mapInArrow(C.tidied(_weigh(spark.sparkContext.broadcast(ratio))), f"doc_id {docs.schema[id_col].dataType.simpleString()}, log_weight double")
     even = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = C.materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(even))), "importance-keys")
     whole = keyed.withColumn("key", F.round(F.col("gumbel_key") * _SCALE).cast("long") + F.lit(_SHIFT))

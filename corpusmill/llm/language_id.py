@@ -143,7 +143,7 @@ def learn(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Mo
     C.ship(spark)
     C.small_batches(spark)
     sample = _sample(docs, usable, per_language)
-    sums = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = sample.mapInArrow(C.tidied(_counts), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(sums["lang"].unique()))
     if not languages:
         return None
@@ -157,7 +157,7 @@ def learn(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Mo
         if len(plus) and len(minus):
             weights[:, bit] = np.log(plus.mean(0)) - np.log(minus.mean(0))
     shared = spark.sparkContext.broadcast(weights)
-    seen = sample.mapInArrow(_sample_margins(shared), "lang string, margins array<double>").toPandas()
+    seen = sample.mapInArrow(C.tidied(_sample_margins(shared)), "lang string, margins array<double>").toPandas()
     found, own = np.array(seen["margins"].tolist()), np.array([languages.index(x) for x in seen["lang"]])
     right = np.array([(np.sign(found[own == i]) == code[i]).mean(0) for i in range(len(languages))])
     trust = np.maximum(right, 1e-3)
@@ -185,7 +185,7 @@ def _predict(rows: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names)
 
     fields = [T.StructField(n, k) for n, k in zip(names[1:], (T.StringType(), T.DoubleType(), T.BooleanType()))]
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], *fields]))
+    return rows.mapInArrow(C.tidied(run), T.StructType([rows.schema[0], *fields]))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

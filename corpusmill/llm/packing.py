@@ -114,10 +114,10 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (, ids)."""
     spark = docs.sparkSession
     C.ship(spark)
-    C.small_batches(spark, 500)
+    C.small_batches(spark)
     groups = max(1, -(-docs.count() // group_docs))
     kind = docs.schema[id_col].dataType.simpleString()
-    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode_rows(path, end_id, with_ids, room), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    pieces = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(C.tidied(_encode_rows(path, end_id, with_ids, room)), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     # the row number keeps rows that repeat a document apart
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)))
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"

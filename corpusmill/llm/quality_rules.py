@@ -132,7 +132,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in (("doc_id", id_col), ("host", host_col))]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     rules = document_rules()
-    measured = rows.mapInArrow(_measure_batches, ", ".join([*kinds, *(f"{m} long" for m in METRICS)]))
+    measured = rows.mapInArrow(C.tidied(_measure_batches), ", ".join([*kinds, *(f"{m} long" for m in METRICS)]))
     measured = C.materialize(measured.withColumns(rules), "quality-metrics")
     hosts = C.materialize(measured.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in rules]), "quality-hosts")
     prior = _prior(hosts, list(rules))

@@ -243,7 +243,7 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     tables: list[Column] = [F.struct(F.lit(i).alias("table"), F.col(fp).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]
     keyed = fps.select(F.col(fp).alias("fp"), F.explode(F.array(*tables)).alias("k")).select("k.table", "k.bits", "fp")
     dealt = keyed.repartition("table", "bits").sortWithinPartitions("table", "bits")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    return dealt.mapInArrow(C.tidied(_links), "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     C.ship(spark)
     C.small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    prints = C.materialize(rows.mapInArrow(_fingerprints, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, text_hash long"), "simhash")
+    prints = C.materialize(rows.mapInArrow(C.tidied(_fingerprints), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, text_hash long"), "simhash")
     total = prints.count()
     each = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
     labels = C.materialize(connected_components(fingerprint_links(each.select("fp"))), "simhash-labels")

@@ -152,11 +152,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    met = rows.mapInArrow(_hashes, f"doc_id {kind}, hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    met = rows.mapInArrow(C.tidied(_hashes), f"doc_id {kind}, hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     shared = C.materialize(met.select("hash"), "chunk-hashes")
     bits = C.log2_bits_for(shared.count())
     flags = spark.sparkContext.broadcast(_bitmap_bytes(C.key_bitmap(shared, F.col("hash"), bits), bits))
-    found = C.materialize(rows.mapInArrow(_candidates(flags, bits), f"doc_id {kind}, ord long, start long, end long, words long, digest binary"), "chunk-candidates")
+    found = C.materialize(rows.mapInArrow(C.tidied(_candidates(flags, bits)), f"doc_id {kind}, ord long, start long, end long, words long, digest binary"), "chunk-candidates")
     keeper = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
     other = F.max(F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
     groups = found.groupBy("digest").agg(keeper.alias("keeper"), other.alias("other"), F.count("*").alias("n")).filter(~F.col("keeper").eqNullSafe(F.col("other")))
@@ -201,7 +201,7 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     hit = marked.filter("_flag")
     hit = hit.join(lists, hit["_doc"].eqNullSafe(lists["_id"]), "left").select("_row", "_text", "_spans", F.col("_spans").isNotNull().alias("_had"))
     schema = T.StructType([hit.schema["_row"], hit.schema["_text"], hit.schema["_had"]])
-    done = hit.mapInArrow(_cut, schema).filter(~F.col("_had") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    done = hit.mapInArrow(C.tidied(_cut), schema).filter(~F.col("_had") | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("_text")}
     if "n_chars" in docs.columns:
         size = F.length("_text").cast(docs.schema["n_chars"].dataType)
