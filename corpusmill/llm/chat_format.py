@@ -46,7 +46,7 @@ MARKS = 4
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM, TARGET = "system", "assistant"
 #: What may not stand in a text unescaped; the marks above and those of other common templates.
-_CONTROL = r"(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?<?/?SYS>>|/?INST\])"
+_CONTROL = r"(?:\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?SYS>>|/?INST\])"
 _ESCAPE = re.compile(rf"([<\[])(?=\\*{_CONTROL})")
 _UNESCAPE = re.compile(rf"([<\[])\\(?=\\*{_CONTROL})")
 

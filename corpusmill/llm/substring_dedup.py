@@ -47,6 +47,7 @@ LONG_WORD = 64
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 5) for b in range(256)], np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_FLAT = bytes(32 if _SPACE[b] else b for b in range(256))
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -86,9 +87,11 @@ def chunk_starts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Starts, words and contents of the chunks; any white space counts as a space, so a new line break moves nothing."""
+    text = text.translate(_FLAT)
     starts, words = chunk_starts(text)
     ends = [*starts[1:].tolist(), len(text)]
-    return starts, words, [text[a:b].rstrip(b" \t\n\r\x0b\x0c") for a, b in zip(starts.tolist(), ends)]
+    return starts, words, [text[a:b].rstrip(b" ") for a, b in zip(starts.tolist(), ends)]
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
