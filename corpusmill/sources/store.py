@@ -33,12 +33,11 @@ class IndexStore:
 
     def save(self, chunks: DataFrame, fingerprint: str, settings: object = None) -> None:
         """Writes the chunks (with ``embedding``), then the state; raises if there are none."""
-        chunks.write.mode("overwrite").parquet(f"{self.path}/chunks")
-        saved = self.spark.read.parquet(f"{self.path}/chunks")
-        first = saved.select(F.size("embedding").alias("dim")).first()
+        first = chunks.select(F.size("embedding").alias("dim")).first()  # before the old index goes
         if first is None:
             raise ValueError("No vectors created")
-        if not saved.filter(F.size("embedding") != first["dim"]).isEmpty():
+        chunks.write.mode("overwrite").parquet(f"{self.path}/chunks")
+        if not self.load().filter(F.size("embedding") != first["dim"]).isEmpty():
             raise ValueError("vectors differ in length")
         state = [(fingerprint, self.config_hash(settings), first["dim"])]
         self.spark.createDataFrame(state, "fingerprint string, config string, dim int").coalesce(1).write.mode("overwrite").json(f"{self.path}/state")
