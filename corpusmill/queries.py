@@ -269,7 +269,8 @@ def l2_normalize(spark, sf):
 
 def _vector_sql(queries: str, k: int) -> str:
     return f"""vq AS ({queries}),
-vs AS (SELECT vq.query_id, e.vec_id AS chunk_ord, round(list_sum(list_transform(list_zip(vq.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score FROM vq, embeddings e),
+vs AS (SELECT vq.query_id, e.vec_id AS chunk_ord, round(list_sum(list_transform(list_zip(vq.embedding, e.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))
+  / sqrt(list_sum(list_transform(vq.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS score FROM vq, embeddings e),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_ord) AS rank FROM vs) WHERE rank <= {k})"""
 
 
