@@ -52,6 +52,23 @@ def document(body: Column, documentclass: str = "article", bibliography: str | N
     return F.concat(F.lit(f"\\documentclass{{{documentclass}}}\n\\begin{{document}}\n"), body, F.lit(end + "\n\\end{document}\n"))
 
 
+def preamble(title: Column, author: Column, date: Column, documentclass: str = "article") -> Column:
+    """Class, title, author and date, each on a line; null ones are left out."""
+    return F.concat_ws("\n", F.lit(f"\\documentclass{{{documentclass}}}"), *[F.concat(F.lit(f"\\{name}{{"), value, F.lit("}")) for name, value in (("title", title), ("author", author), ("date", date))])
+
+
+def itemize(items: Column) -> Column:
+    """An array as a list environment."""
+    lines = F.transform(items, lambda x: F.concat(F.lit("\\item "), x))
+    return F.concat(F.lit("\\begin{itemize}\n"), F.array_join(lines, "\n"), F.lit("\n\\end{itemize}"))
+
+
+def misplaced(nodes: DataFrame, parent_kind: str = "document", allowed: tuple[str, ...] = ("itemize",)) -> DataFrame:
+    """Nodes ``(node_id, parent_id, kind)`` below a parent of a kind that does not take them."""
+    up = nodes.filter(F.col("kind") == parent_kind).select(F.col("node_id").alias("parent_id"))
+    return nodes.join(up, "parent_id", "left_semi").filter(~F.col("kind").isin(*allowed))
+
+
 def preorder(nodes: DataFrame, max_depth: int = 20) -> DataFrame:
     """``(node_id, parent_id, ord)`` with ``depth`` and a ``key`` that sorts in preorder.
 

@@ -81,3 +81,14 @@ def instructions(data: object, nested: bool = False) -> tuple[str, str]:
         return value.strip() if isinstance(value, str) and value.strip() else default
 
     return text("system_prompt", SYSTEM_PROMPT), text("general_system_prompt", GENERAL_PROMPT)
+
+
+def read_instructions(path: str, nested: bool = False) -> tuple[str, str]:
+    """Prompts from a YAML file; an unreadable file gives the defaults."""
+    try:
+        import yaml
+
+        with open(path, encoding="utf-8", errors="ignore") as f:
+            return instructions(yaml.safe_load(f), nested)
+    except Exception:  # no parser, no file or malformed text
+        return instructions(None)

@@ -39,6 +39,11 @@ def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]
     return questions.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_console(replies: DataFrame) -> StreamingQuery:
+    """Shows replies as they come."""
+    return replies.writeStream.format("console").option("truncate", "false").trigger(availableNow=True).start()
+
+
 class Publisher:
     """Notifies subscribers of each written batch; for ``foreachBatch`` sinks."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import chunk, compile as tree, embed, expand, flatten, graph, pack, retrieve
-from corpusmill.settings import GENERAL_PROMPT, NOT_FOUND, SYSTEM_PROMPT, Policy, SettingsB, instructions
+from corpusmill.settings import GENERAL_PROMPT, NOT_FOUND, SYSTEM_PROMPT, Policy, SettingsB, instructions, read_instructions
 
 ALPHABET = " \n\r\t:-ab.é🎉\xa0\x1c/_"
 
@@ -253,6 +253,14 @@ def test_compile(spark):
     assert spark.range(1).select(tree.document(F.lit("x"), bibliography="refs")).first()[0] == "\\documentclass{article}\n\\begin{document}\nx\n\\bibliography{refs}\n\\end{document}\n"
 
 
+def test_document_parts(spark):
+    row = spark.range(1).select(tree.preamble(F.lit("T"), F.lit(None).cast("string"), F.lit("today")).alias("p"), tree.itemize(F.array(F.lit("a"), F.lit("b"))).alias("i")).first()
+    assert row.p == "\\documentclass{article}\n\\title{T}\n\\date{today}"
+    assert row.i == "\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}"
+    nodes = spark.createDataFrame([("d", None, "document"), ("l", "d", "itemize"), ("x", "d", "figure"), ("y", "x", "figure")], "node_id string, parent_id string, kind string")
+    assert [r.node_id for r in tree.misplaced(nodes).collect()] == ["x"]
+
+
 def test_clusters(spark):
     from corpusmill.queries import BUSES, LINES
 
@@ -270,6 +278,7 @@ def test_comment_nodes(spark):
 def test_instructions():
     assert instructions(None) == instructions({"rag": {"system_prompt": "x"}}) == (SYSTEM_PROMPT, GENERAL_PROMPT)
     assert instructions({"rag": {"system_prompt": " x "}}, nested=True)[0] == "x"
+    assert read_instructions("/no/such/file") == (SYSTEM_PROMPT, GENERAL_PROMPT)
     assert instructions({"system_prompt": "a", "general_system_prompt": " "}) == ("a", GENERAL_PROMPT)
 
 
