@@ -21,8 +21,9 @@ of over 50 words that two documents share has such a run inside; a shared phrase
 short line has not.
 
 Defined results.  Null, empty and wordless texts have no chunks and no spans.  Rows
-with one id are one document, so repeats inside a document stay.  Null ids count as
-one id, last in order.  Extra columns are carried through by :func:`cut_spans`.
+with one id are one document, so repeats inside a document stay.  A span names its
+document, so rows with a null id have none and stay as they are.  Extra columns are
+carried through by :func:`cut_spans`.
 """
 
 from __future__ import annotations
@@ -107,6 +108,10 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), pa.array((np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).view(np.int64))], ["doc_id", "hash"])
 
 
+#: Of a chunk: its number, first and last place in code points, words up to it and with it.
+_PLACES = ("ord", "start", "end", "from_word", "to_word")
+
+
 def _candidates(bits: object, log2_bits: int):
     """Chunks whose hash is in the broadcast bitmap."""
 
@@ -114,7 +119,7 @@ def _candidates(bits: object, log2_bits: int):
         table, mask = np.frombuffer(bits.value, np.uint8), np.uint64((1 << log2_bits) - 1)
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(7)]
             for doc, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 if not text:
                     continue
@@ -131,10 +136,12 @@ def _candidates(bits: object, log2_bits: int):
                 cols[1] += hit.tolist()
                 cols[2] += first.tolist()
                 cols[3] += last.tolist()
-                cols[4] += words[hit].tolist()
-                cols[5] += [long(chunks[i]) for i in hit.tolist()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], ["doc_id", "ord", "start", "end", "words", "digest"])
+                until = np.cumsum(words)
+                cols[4] += (until - words)[hit].tolist()
+                cols[5] += until[hit].tolist()
+                cols[6] += [long(chunks[i]) for i in hit.tolist()]
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], ["doc_id", *_PLACES, "digest"])
 
     return run
 
@@ -154,22 +161,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     C.ship(spark)
     C.small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL")
     met = rows.mapInArrow(C.tidied(_hashes), f"doc_id {kind}, hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     shared = C.materialize(met.select("hash"), "chunk-hashes")
     bits = C.log2_bits_for(shared.count())
     flags = spark.sparkContext.broadcast(_bitmap_bytes(C.key_bitmap(shared, F.col("hash"), bits), bits))
-    found = C.materialize(rows.mapInArrow(C.tidied(_candidates(flags, bits)), f"doc_id {kind}, ord long, start long, end long, words long, digest binary"), "chunk-candidates")
-    keeper = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
-    other = F.max(F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
-    groups = found.groupBy("digest").agg(keeper.alias("keeper"), other.alias("other"), F.count("*").alias("n")).filter(~F.col("keeper").eqNullSafe(F.col("other")))
-    groups = C.materialize(groups.select("digest", F.col("keeper.doc_id").alias("kept_doc_id"), "n"), "chunk-groups")
-    repeats = C.join_unique(found, groups, ["digest"], "n", found.count(), keep_unmatched=False).filter(~F.col("doc_id").eqNullSafe(F.col("kept_doc_id")))
-    # rows that repeat a document give equal chunks: one of each
-    once = repeats.groupBy("doc_id", "ord", "start", "end", "words", "kept_doc_id").agg(F.count("*").alias("copies"))
-    order = Window.partitionBy("doc_id").orderBy("ord")
-    runs = once.withColumn("run", F.col("ord") - F.dense_rank().over(order)).groupBy("doc_id", "run")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"))
+    schema = f"doc_id {kind}, {', '.join(f'{p} long' for p in _PLACES)}, digest binary"
+    found = C.materialize(rows.mapInArrow(C.tidied(_candidates(flags, bits)), schema), "chunk-candidates")
+    groups = found.groupBy("digest").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("kept_doc_id <> last")
+    groups = C.materialize(groups.drop("last"), "chunk-groups")
+    repeats = C.join_unique(found, groups, ["digest"], "n", found.count(), keep_unmatched=False).filter("doc_id <> kept_doc_id").drop("digest", "n")
+    # rows that repeat a document have equal places, so they change no run
+    runs = repeats.withColumn("run", F.col("ord") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("ord"))).groupBy("doc_id", "run")
+    n_words, n_chunks = F.max("to_word") - F.min("from_word"), F.max("ord") - F.min("ord") + 1
+    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), n_words.alias("n_words"), n_chunks.alias("n_chunks"), F.sort_array(F.collect_set("kept_doc_id")).alias("kept_doc_ids"))
     return spans.filter(F.col("n_words") >= min_words).drop("run")
 
 

@@ -1,10 +1,9 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from corpusmill.llm import substring_dedup as S
-from tests.llm.helpers import EN, FR, no_docs, odd_docs, odd_rows, prose
+from tests.llm.helpers import EN, FR, SCHEMA, no_docs, odd_docs, odd_rows, prose
 
 
 def test_rolling_hash():
@@ -47,12 +46,12 @@ def brute_spans(rows):
     for doc, text, *_ in rows:
         docs[doc, text] = S._chunks(text.encode()) if text else ([], [], [])
         for chunk in docs[doc, text][2]:
-            first[chunk] = min(first.get(chunk, (True, 0)), (doc is None, doc or 0))
+            first[chunk] = min(first.get(chunk, doc), doc)
     out = set()
     for (doc, text), (starts, words, chunks) in docs.items():
         run = []
         for i in range(len(chunks) + 1):
-            if i < len(chunks) and first[chunks[i]] != (doc is None, doc or 0):
+            if i < len(chunks) and first[chunks[i]] != doc:
                 run.append(i)
                 continue
             if run and sum(int(words[k]) for k in run) >= S.MIN_WORDS:
@@ -64,8 +63,9 @@ def brute_spans(rows):
 
 
 def test_query_against_brute_force(spark):
-    rows = [r for r in odd_rows() if r[0] is not None or r[1] is None]
-    docs = odd_docs(spark).filter(F.col("doc_id").isNotNull() | F.col("text").isNull())
+    rows = [r for r in odd_rows() if r[0] is not None]
+    nameless = spark.createDataFrame([(None, rows[3][1], *odd_rows()[3][2:])] * 2, SCHEMA)  # never named, never cut
+    docs = odd_docs(spark).unionByName(nameless)
     spans = S.repeated_spans(docs)
     got = spans.collect()
     assert {(r.doc_id, r.start, r.end) for r in got} == brute_spans(rows)
@@ -75,6 +75,7 @@ def test_query_against_brute_force(spark):
     cut = S.cut_spans(docs, spans)
     assert cut.columns == docs.columns
     left = {r.doc_id: r for r in cut.collect()}
+    assert sum(r.doc_id is None and r.text == rows[3][1] for r in cut.collect()) == 2
     assert left[201].n_chars == len(left[201].text) < len(dict((r[0], r[1]) for r in rows)[201])
     assert left[3].text == dict((r[0], r[1]) for r in rows)[3] and 220 in left and 222 in left
     assert 210 not in left or left[210].text.strip()  # nothing left: dropped
