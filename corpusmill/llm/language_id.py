@@ -38,6 +38,8 @@ GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 #: Rows of each language that are learned from, about: the documented bound of the sample.
 TRAIN_DOCS = 3000
+#: Languages that are learned, the most frequent ones; bounds what is broadcast.
+LANGUAGES = 1000
 #: Up to so many languages the code holds every possible bit; beyond, random ones.
 EXHAUSTIVE = 6
 SMOOTHING = 0.5
@@ -110,7 +112,7 @@ def decode(found: np.ndarray, model: Model) -> tuple[str, float, bool]:
 def _sample(docs: DataFrame, usable: Column, per_language: int) -> DataFrame:
     """``lang``, ``text`` of the rows to learn from."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    counts = rows.groupBy("lang").count()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     rates = counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
     return rows.join(F.broadcast(rates), "lang").filter(draw < F.col("rate")).filter(F.col("text").isNotNull()).select("lang", "text")
