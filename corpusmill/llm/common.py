@@ -32,7 +32,8 @@ _ROW_BITS = 15
 MAX_LOG2_BITS = 27
 #: The ASCII white space that separates words, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
-_SHIPPED = "corpusmill.shipped"
+#: Applications whose executors have this package.
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,7 +58,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that Python workers can import it."""
     sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
+    if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
     if root.is_dir() and (root / "__init__.py").exists():
@@ -69,7 +70,7 @@ def ship(spark: SparkSession) -> None:
                         full = Path(base) / name
                         z.write(full, full.relative_to(root.parent))
         sc.addPyFile(str(path))
-    sc.setLocalProperty(_SHIPPED, sc.applicationId)
+    _SHIPPED.add(sc.applicationId)
 
 
 def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
