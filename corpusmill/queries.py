@@ -8,6 +8,7 @@ Scores are rounded to six digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,9 +224,14 @@ def build_chunks_a(spark, sf):
 # ---- retrieval -----------------------------------------------------------------------
 
 
-def doc_chunks(spark, sf) -> DataFrame:
-    """Each document's first 400 characters as one chunk, with a number for ties."""
-    return corpus(spark, sf).select(F.col("doc_id").alias("chunk_ord"), F.col("path").alias("doc_path"), F.lit(0).alias("chunk_id"), F.substring("text", 1, 400).alias("chunk_text"))
+#: Characters of a document that the queries on DOC_CHUNKS search; the queries named ``_whole`` search all.
+PREFIX = 400
+
+
+def doc_chunks(spark, sf, chars: int | None = PREFIX) -> DataFrame:
+    """Each document's first ``chars`` characters (None: all of them) as one chunk, with a number for ties."""
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    return corpus(spark, sf).select(F.col("doc_id").alias("chunk_ord"), F.col("path").alias("doc_path"), F.lit(0).alias("chunk_id"), text.alias("chunk_text"))
 
 
 DOC_CHUNKS = f"{CORPUS}, k AS (SELECT doc_id AS chunk_ord, path AS doc_path, stem, 0 AS chunk_id, substring(text, 1, 400) AS chunk_text FROM q)"
@@ -242,8 +248,8 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 @query("lexical_a", f"WITH {DOC_CHUNKS}, {_LEXICAL} SELECT query_id, rank, chunk_ord, round(score, 6) AS score FROM lex")
-def lexical_a(spark, sf):
-    hits = retrieve.lexical_a(doc_chunks(spark, sf), _asked(spark, ASKED), 8, "doc_path")
+def lexical_a(spark, sf, chars=PREFIX):
+    hits = retrieve.lexical_a(doc_chunks(spark, sf, chars), _asked(spark, ASKED), 8, "doc_path")
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_ord", F.round("score", 6).alias("score"))
 
 
@@ -255,8 +261,8 @@ kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 @query("keyword_b", f"WITH {DOC_CHUNKS}, {_keyword_sql(KEYWORDS)} SELECT query_id, rank, doc_path, chunk_id::BIGINT AS chunk_id, round(score, 6) AS score FROM kw")
-def keyword_b(spark, sf):
-    hits = retrieve.keyword_b(doc_chunks(spark, sf), _asked(spark, KEYWORDS), 8)
+def keyword_b(spark, sf, chars=PREFIX):
+    hits = retrieve.keyword_b(doc_chunks(spark, sf, chars), _asked(spark, KEYWORDS), 8)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
@@ -292,10 +298,10 @@ def vector_topk_multi(spark, sf):
 
 
 @query("lexical_fallback", f"WITH {DOC_CHUNKS}, {_LEXICAL}, {_vector_sql('SELECT 0 AS query_id, embedding FROM embeddings WHERE vec_id = 0', 8)} SELECT query_id::BIGINT AS query_id, rank, chunk_ord, score FROM vec UNION ALL SELECT query_id, rank, chunk_ord, round(score, 6) FROM lex WHERE query_id NOT IN (SELECT query_id FROM vec)")
-def lexical_fallback(spark, sf):
+def lexical_fallback(spark, sf, chars=PREFIX):
     every = table(spark, sf, "embeddings")
     vec = retrieve.vector_topk(every, every.filter("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding"), 8, "vec_id")
-    lex = retrieve.lexical_a(doc_chunks(spark, sf), _asked(spark, ASKED), 8, "doc_path").select("query_id", "rank", "score", "chunk_ord")
+    lex = retrieve.lexical_a(doc_chunks(spark, sf, chars), _asked(spark, ASKED), 8, "doc_path").select("query_id", "rank", "score", "chunk_ord")
     return retrieve.fallback(vec, lex).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_ord", F.round("score", 6).alias("score"))
 
 
@@ -337,8 +343,8 @@ best AS (SELECT query_id, bv, bk, coalesce(bv >= 0.22, false) OR coalesce(bk >=
   (SELECT query_id, max(score) AS bv FROM vh GROUP BY 1) FULL JOIN (SELECT query_id, max(score) AS bk FROM kw GROUP BY 1) USING (query_id))"""
 
 
-def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
-    chunks, every = doc_chunks(spark, sf), table(spark, sf, "embeddings")
+def _sides(spark, sf, chars: int | None = PREFIX) -> tuple[DataFrame, DataFrame]:
+    chunks, every = doc_chunks(spark, sf, chars), table(spark, sf, "embeddings")
     fields = ("query_id", "rank", "score", "doc_path", "chunk_id", "chunk_text")
     kw = retrieve.keyword_b(chunks, _asked(spark, KEYWORDS), 8).select(*fields)
     vec = retrieve.vector_topk(every, every.filter("vec_id < 6").select(F.col("vec_id").alias("query_id"), "embedding"), 12, "vec_id")
@@ -346,8 +352,8 @@ def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 @query("hybrid_merge", f"{_PAIRED} SELECT query_id, rank, doc_path, chunk_id::BIGINT AS chunk_id, round(score, 6) AS score, src::BIGINT AS src FROM mg")
-def hybrid_merge(spark, sf):
-    merged = retrieve.merge_hybrid(*_sides(spark, sf), 12)
+def hybrid_merge(spark, sf, chars=PREFIX):
+    merged = retrieve.merge_hybrid(*_sides(spark, sf, chars), 12)
     return merged.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("src").cast("long").alias("src"))
 
 
@@ -359,9 +365,9 @@ _ROUTES = ((0, "the on"), (1, "der die"), (2, "THE"), (3, "  "), (4, "nosuchword
 
 
 @query("policy_gate", f"{_PAIRED} SELECT query_id, round(bv, 6) AS best_vector, round(bk, 6) AS best_keyword, use_context FROM best")
-def policy_gate(spark, sf):
+def policy_gate(spark, sf, chars=PREFIX):
     gate = pack.use_context(F.col("best_vector"), F.col("best_keyword"), Policy())
-    return _best(*_sides(spark, sf)).select("query_id", F.round("best_vector", 6).alias("best_vector"), F.round("best_keyword", 6).alias("best_keyword"), gate.alias("use_context"))
+    return _best(*_sides(spark, sf, chars)).select("query_id", F.round("best_vector", 6).alias("best_vector"), F.round("best_keyword", 6).alias("best_keyword"), gate.alias("use_context"))
 
 
 @query(
@@ -369,9 +375,9 @@ def policy_gate(spark, sf):
     f"""{_PAIRED} SELECT r.query_id::BIGINT AS query_id, CASE WHEN trim(question) = '' THEN 'empty' WHEN NOT coalesce(bv >= 1.5, false) AND NOT coalesce(bk >= 0.6, false) THEN 'not_found'
     WHEN len(list_filter(string_split_regex(trim(question), '\\s+'), lambda x: x <> '')) = 1 THEN 'snippet' ELSE 'context' END AS route FROM {values(_ROUTES, 'query_id, question').replace(' v(', ' r(')} LEFT JOIN best USING (query_id)""",
 )
-def answer_route(spark, sf):
+def answer_route(spark, sf, chars=PREFIX):
     p = Policy(vector_min_score=1.5, allow_general_fallback=False)
-    rows = _asked(spark, _ROUTES).join(_best(*_sides(spark, sf)), "query_id", "left")
+    rows = _asked(spark, _ROUTES).join(_best(*_sides(spark, sf, chars)), "query_id", "left")
     return rows.select("query_id", pack.route(F.col("question"), pack.use_context(F.col("best_vector"), F.col("best_keyword"), p), p).alias("route"))
 
 
@@ -383,16 +389,16 @@ x AS (SELECT query_id, string_agg('source_path: ' || doc_path || chr(10) || chun
 a AS (SELECT query_id::BIGINT AS query_id, question, coalesce(context, '{NO_CONTEXT_A}') AS context FROM {values((*ASKED, (9, "qqqqq zzzzz")), 'query_id, question')} LEFT JOIN x USING (query_id))"""
 
 
-def _context_rows(spark, sf) -> DataFrame:
+def _context_rows(spark, sf, chars: int | None = PREFIX) -> DataFrame:
     asked = _asked(spark, (*ASKED, (9, "qqqqq zzzzz")))
-    hits = retrieve.lexical_a(doc_chunks(spark, sf).withColumnRenamed("doc_path", "source_path"), asked, 8)
+    hits = retrieve.lexical_a(doc_chunks(spark, sf, chars).withColumnRenamed("doc_path", "source_path"), asked, 8)
     rows = pack.gather(hits, 8, "rank", ("source_path", "chunk_text"))
     return asked.join(rows, "query_id", "left").withColumn("pieces", pack.context_a(F.col("hits"), 8))
 
 
 @query("context_a", f"{_CONTEXT_A} SELECT query_id, context FROM a")
-def context_a(spark, sf):
-    return _context_rows(spark, sf).select("query_id", F.array_join("pieces", "\n\n---\n\n").alias("context"))
+def context_a(spark, sf, chars=PREFIX):
+    return _context_rows(spark, sf, chars).select("query_id", F.array_join("pieces", "\n\n---\n\n").alias("context"))
 
 
 def _quoted(text: str) -> str:
@@ -400,24 +406,24 @@ def _quoted(text: str) -> str:
 
 
 @query("prompt_a", f"{_CONTEXT_A} SELECT query_id, {_quoted(PROMPT_A_HEAD + 'Context:' + chr(10))} || context || {_quoted(chr(10) * 2 + 'Question:' + chr(10))} || question || {_quoted(chr(10) * 2 + 'Answer:')} AS prompt FROM a")
-def prompt_a(spark, sf):
-    return _context_rows(spark, sf).select("query_id", pack.prompt_a(F.col("question"), F.col("pieces")).alias("prompt"))
+def prompt_a(spark, sf, chars=PREFIX):
+    return _context_rows(spark, sf, chars).select("query_id", pack.prompt_a(F.col("question"), F.col("pieces")).alias("prompt"))
 
 
 _TAG = "printf('[source=%s chunk=%d score=%.4f]', doc_path, chunk_id, score)"
 
 
 @query("snippet_b", f"WITH {DOC_CHUNKS}, {_keyword_sql(KEYWORDS)} SELECT query_id, string_agg({_TAG} || chr(10) || substring(chunk_text, 1, 120), chr(10) || chr(10) ORDER BY rank) AS snippet FROM kw WHERE rank <= 6 GROUP BY query_id")
-def snippet_b(spark, sf):
-    kw = retrieve.keyword_b(doc_chunks(spark, sf), _asked(spark, KEYWORDS), 8)
+def snippet_b(spark, sf, chars=PREFIX):
+    kw = retrieve.keyword_b(doc_chunks(spark, sf, chars), _asked(spark, KEYWORDS), 8)
     return pack.gather(kw, 8).select("query_id", pack.snippet(F.col("hits"), Policy(), 120).alias("snippet"))
 
 
 _FIT = SettingsB(n_ctx=420, max_tokens=100)
 
 
-def _fit_rows(spark, sf) -> DataFrame:
-    merged = retrieve.merge_hybrid(*_sides(spark, sf), 12)
+def _fit_rows(spark, sf, chars: int | None = PREFIX) -> DataFrame:
+    merged = retrieve.merge_hybrid(*_sides(spark, sf, chars), 12)
     return pack.fit_context(_asked(spark, KEYWORDS).join(pack.gather(merged, 12), "query_id"), _FIT)
 
 
@@ -434,18 +440,32 @@ ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN tok
 
 
 @query("context_fit", f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, chars::BIGINT AS chars, n_hits::BIGINT AS n_hits, tokens::BIGINT AS tokens, state::BIGINT AS state, tokens + 100 <= 420 AS fits FROM ch WHERE pick = 1")
-def context_fit(spark, sf):
-    fit = _fit_rows(spark, sf).select("query_id", "fit.*")
+def context_fit(spark, sf, chars=PREFIX):
+    fit = _fit_rows(spark, sf, chars).select("query_id", "fit.*")
     return fit.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("chars", "n_hits", "tokens", "state")], "fits")
 
 
 @query("prompt_b", f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, prompt FROM ch WHERE pick = 1")
-def prompt_b(spark, sf):
-    rows = _fit_rows(spark, sf)
+def prompt_b(spark, sf, chars=PREFIX):
+    rows = _fit_rows(spark, sf, chars)
     context = pack.shown(F.slice("hits", F.lit(1), F.col("fit.n_hits")), F.col("fit.chars"), Policy())
     return rows.select("query_id", pack.prompt_text(pack.messages(F.col("question"), context, SYSTEM_PROMPT)).alias("prompt"))
 
 
+def _whole(name: str, *cuts: tuple[str, str], **settings: object) -> None:
+    """Registers ``name_whole``: the query over whole texts, with its SQL after ``cuts`` (each old, new) are lifted."""
+    sql = ORACLES[name]
+    for old, new in cuts:
+        if old not in sql:
+            raise ValueError(f"{name}: no {old!r} in its SQL")
+        sql = sql.replace(old, new)
+    query(f"{name}_whole", sql)(partial(QUERIES[name], **settings))
+
+
+for _name in ("lexical_a", "keyword_b", "lexical_fallback", "hybrid_merge", "policy_gate", "answer_route", "context_a", "prompt_a", "snippet_b", "context_fit", "prompt_b"):
+    _whole(_name, ("substring(text, 1, 400)", "text"), chars=None)
+
+
 # ---- index state, trees, graphs, language ----------------------------------------------
 
 

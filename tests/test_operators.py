@@ -291,3 +291,14 @@ def test_plans(spark):
     assert "TakeOrderedAndProject" in capped
     narrow = chunk.chunk_a(spark.createDataFrame([(0, "t")], "i int, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in narrow and "Python" not in narrow
+
+
+def test_whole_text_queries_find_what_stands_behind_the_prefix(spark, tmp_path):
+    from corpusmill import queries as Q
+
+    texts = ["x " * 300 + "the on", "the on " + "y " * 300, "nothing"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_path for r in Q.QUERIES["keyword_b_whole"](spark, str(tmp_path)).filter("query_id = 0 AND score > 2").collect()}
+    paths = {r.doc_id: r.path for r in Q.corpus(spark, str(tmp_path)).collect()}
+    assert {i for i, p in paths.items() if p in got} == {i for i, t in enumerate(texts) if "the on" in t} == {0, 1}
