@@ -77,10 +77,10 @@ def hash_buckets(text: Column, dim: int) -> Column:
 
 def hash_embed(df: DataFrame, text_col: str = "chunk_text", dim: int = 64) -> DataFrame:
     """Adds ``embedding array<double>``: the native form of :class:`HashEmbedder`, of unit length."""
-    counted = df.withColumn("_b", hash_buckets(F.col(text_col), dim))
-    left = lambda b: F.size(F.array_remove("_b", b))  # noqa: E731  one native pass per bucket
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size("_b") - left(b)).cast("double"))
-    return counted.withColumn("embedding", V.l2_normalize(counts)).drop("_b")
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  inside lambdas and pushed filters a column would be computed anew at each use
+    left = lambda bs, b: F.size(F.array_remove(bs, b))  # noqa: E731  one native pass per bucket
+    counts = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(bs) - left(bs, b)).cast("double"))
+    return df.withColumn("embedding", once(once(hash_buckets(F.col(text_col), dim), counts), V.l2_normalize))
 
 
 def embed_pairs(pairs: DataFrame, dim: int = 64) -> DataFrame:

@@ -138,8 +138,9 @@ def normalize_newlines(spark, sf):
 
 
 @query("strip_text", f"SELECT doc_id, {_strip('chr(10) || chr(9) || substring(text, 3, 40) || chr(32)')} AS bare FROM documents")
-def strip_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.strip(F.concat(F.lit("\n\t"), F.substring("text", 3, 40), F.lit(" "))).alias("bare"))
+def strip_text(spark, sf, whole=False):
+    text = F.col("text") if whole else F.substring("text", 3, 40)
+    return table(spark, sf, "documents").select("doc_id", T.strip(F.concat(F.lit("\n\t"), text, F.lit(" "))).alias("bare"))
 
 
 @query(
@@ -149,8 +150,8 @@ def strip_text(spark, sf):
     len(list_filter(string_split_regex(lower(trim(t)), '\\s+'), lambda x: x <> '')) = 1 AS single
     FROM (SELECT doc_id, substring(text, 1, 5 + doc_id % 60) || '?' AS t FROM documents)""",
 )
-def query_tokens(spark, sf):
-    t = F.concat(F.substr("text", F.lit(1), (5 + F.col("doc_id") % 60).cast("int")), F.lit("?"))
+def query_tokens(spark, sf, whole=False):
+    t = F.concat(F.col("text") if whole else F.substr("text", F.lit(1), (5 + F.col("doc_id") % 60).cast("int")), F.lit("?"))
     b = T.query_tokens_b(t)
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.query_tokens_a(t), "|").alias("tokens_a"), F.array_join(b, "|").alias("tokens_b"), (F.size(b) == 1).alias("single"))
 
@@ -325,10 +326,10 @@ def expand_question(spark, sf):
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path, substring(chunk_text, 1, 80) ORDER BY variant, rank) AS n FROM m) WHERE n = 1)
     SELECT variant, rank, source_path, chunk_text, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, variant, rank) AS merged_rank FROM f""",
 )
-def search_many_merge(spark, sf):
-    chunks = doc_chunks(spark, sf)
+def search_many_merge(spark, sf, whole=False):
+    chunks = doc_chunks(spark, sf, None if whole else PREFIX)
     hits = retrieve.lexical_a(chunks, _asked(spark, ASKED), 8, "doc_path")
-    hits = hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("variant"), "rank", "score", F.substring_index("doc_path", "/", 1).alias("source_path"), F.substring("chunk_text", 1, 3).alias("chunk_text"))
+    hits = hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("variant"), "rank", "score", (F.col("doc_path") if whole else F.substring_index("doc_path", "/", 1)).alias("source_path"), (F.col("chunk_text") if whole else F.substring("chunk_text", 1, 3)).alias("chunk_text"))
     merged = retrieve.merge_variants(hits)
     return merged.select("variant", F.col("rank").cast("long").alias("rank"), "source_path", "chunk_text", F.round("score", 6).alias("score"), F.col("merged_rank").cast("long").alias("merged_rank"))
 
@@ -452,20 +453,6 @@ def prompt_b(spark, sf, chars=PREFIX):
     return rows.select("query_id", pack.prompt_text(pack.messages(F.col("question"), context, SYSTEM_PROMPT)).alias("prompt"))
 
 
-def _whole(name: str, *cuts: tuple[str, str], **settings: object) -> None:
-    """Registers ``name_whole``: the query over whole texts, with its SQL after ``cuts`` (each old, new) are lifted."""
-    sql = ORACLES[name]
-    for old, new in cuts:
-        if old not in sql:
-            raise ValueError(f"{name}: no {old!r} in its SQL")
-        sql = sql.replace(old, new)
-    query(f"{name}_whole", sql)(partial(QUERIES[name], **settings))
-
-
-for _name in ("lexical_a", "keyword_b", "lexical_fallback", "hybrid_merge", "policy_gate", "answer_route", "context_a", "prompt_a", "snippet_b", "context_fit", "prompt_b"):
-    _whole(_name, ("substring(text, 1, 400)", "text"), chars=None)
-
-
 # ---- index state, trees, graphs, language ----------------------------------------------
 
 
@@ -488,8 +475,9 @@ def section_level(spark, sf):
 
 
 @query("compile_tree", f"WITH {CORPUS} SELECT split_part(path, '/', 1) AS source_dir, string_agg('\\' || (['chapter', 'section', 'subsection', 'subsubsection'])[len(parts)] || '{{' || stem || '}}' || chr(10) || substring(text, 1, 50), chr(10) ORDER BY {_WALK}) AS source, count(*) AS n_parts FROM q GROUP BY 1")
-def compile_tree(spark, sf):
-    rows = corpus(spark, sf).withColumn("text", F.substring("text", 1, 50)).withColumn("source_dir", F.substring_index("path", "/", 1))
+def compile_tree(spark, sf, chars=50):
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    rows = corpus(spark, sf).withColumn("text", text).withColumn("source_dir", F.substring_index("path", "/", 1))
     return tree.compile_tree(rows, "source_dir")
 
 
@@ -566,8 +554,9 @@ _BUCKETS = """SELECT doc_id, b, count(*)::DOUBLE AS n FROM (SELECT doc_id, ('0x'
 
 
 @query("hash_embed", f"WITH h AS ({_BUCKETS}), z AS (SELECT doc_id, sqrt(sum(n * n)) AS s FROM h GROUP BY 1) SELECT doc_id, b AS bucket, round(n / s, 6) AS x FROM h JOIN z USING (doc_id)")
-def hash_embed(spark, sf):
-    rows = embed.hash_embed(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 300).alias("chunk_text")), dim=16)
+def hash_embed(spark, sf, chars=300):
+    text = F.col("text") if chars is None else F.substring("text", 1, chars)
+    rows = embed.hash_embed(table(spark, sf, "documents").select("doc_id", text.alias("chunk_text")), dim=16)
     flat = rows.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).filter("x <> 0")
     return flat.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 6).alias("x"))
 
@@ -598,3 +587,25 @@ def ask_a_end_to_end(spark, sf):
     docs = corpus(spark, sf).select(F.col("doc_id").alias("file_ord"), F.col("path").alias("source_path"), "text")
     index = embed.embed(engines.ingest_a(docs), embed.HashEmbedder).cache()
     return engines.ask_a(index, _asked(spark, ((0, "the embassy in vienna"), (1, "der die das")))).select("query_id", "question", "prompt")
+
+
+# ---- whole texts: siblings of queries whose SQL fixes a cut ------------------------------
+
+
+def _whole(name: str, *cuts: tuple[str, str], **settings: object) -> None:
+    """Registers ``name_whole``: the query over whole texts, with its SQL after ``cuts`` (each old, new) are lifted."""
+    sql = ORACLES[name]
+    for old, new in cuts:
+        if old not in sql:
+            raise ValueError(f"{name}: no {old!r} in its SQL")
+        sql = sql.replace(old, new)
+    query(f"{name}_whole", sql)(partial(QUERIES[name], **settings))
+
+
+for _name in ("lexical_a", "keyword_b", "lexical_fallback", "hybrid_merge", "policy_gate", "answer_route", "context_a", "prompt_a", "snippet_b", "context_fit", "prompt_b"):
+    _whole(_name, ("substring(text, 1, 400)", "text"), chars=None)
+_whole("strip_text", ("substring(text, 3, 40)", "text"), whole=True)
+_whole("query_tokens", ("substring(text, 1, 5 + doc_id % 60)", "text"), whole=True)
+_whole("search_many_merge", ("substring(text, 1, 400)", "text"), ("split_part(doc_path, '/', 1)", "doc_path"), ("substring(chunk_text, 1, 3)", "chunk_text"), whole=True)
+_whole("compile_tree", ("substring(text, 1, 50)", "text"), chars=None)
+_whole("hash_embed", ("substring(text, 1, 300)", "text"), chars=None)

@@ -302,3 +302,18 @@ def test_whole_text_queries_find_what_stands_behind_the_prefix(spark, tmp_path):
     got = {r.doc_path for r in Q.QUERIES["keyword_b_whole"](spark, str(tmp_path)).filter("query_id = 0 AND score > 2").collect()}
     paths = {r.doc_id: r.path for r in Q.corpus(spark, str(tmp_path)).collect()}
     assert {i for i, p in paths.items() if p in got} == {i for i, t in enumerate(texts) if "the on" in t} == {0, 1}
+
+
+def test_whole_text_queries_differ_where_texts_differ_late(spark, tmp_path):
+    from corpusmill import queries as Q
+
+    texts = ["the " * 200 + "on", "the " * 200 + "was end"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: Q.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.bare for r in run("strip_text")} == dict(enumerate(texts))
+    assert {r.doc_id: r.tokens_b for r in run("query_tokens")} == {i: "|".join([*t.split()[:-1], t.split()[-1] + "?"]) for i, t in enumerate(texts)}
+    assert all(t in run("compile_tree")[0].source for t in texts)
+    assert sorted(r.doc_id for r in run("hash_embed") if r.x == 1) == [] and {r.doc_id for r in run("hash_embed")} == {0, 1}
+    # one source, equal first letters: both documents stay
+    assert len({r.source_path for r in run("search_many_merge")}) == 2
