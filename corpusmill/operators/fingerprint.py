@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Listings above this size need :func:`listing_digest`.
-MAX_FILES = 5000
+#: Values of ``file_ord`` that are digested as one string.
+BLOCK = 5000
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """SHA-256 of path, whole-second time and size of every file in order of ``file_ord``, joined without separators.
+    """SHA-256 of path, whole-second time and size of every file in order of ``file_ord`` (from 1), joined without separators.
 
-    The order makes it one string, so it is for capped scans (MAX_FILES at most).
+    Listings of more than BLOCK files are digested block by block: then it is the SHA-256 of the blocks' hex digests in order.
     """
     one = F.concat("path", F.col("mtime").cast("string"), F.col("size").cast("string")).alias("s")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_ord", one))), lambda x: x["s"]), "")
-    return files.filter(F.col("file_ord") <= MAX_FILES).agg(F.sha2(joined, 256).alias("fingerprint"), F.count("*").alias("n_files"))
+    block = F.floor((F.col("file_ord") - 1) / BLOCK).alias("block")
+    blocks = files.groupBy(block).agg(F.sha2(joined, 256).alias("digest"), F.count("*").alias("n"))
+    digests = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"])
+    whole = F.when(F.size(digests) == 1, digests[0]).otherwise(F.sha2(F.array_join(digests, ""), 256))
+    return blocks.agg(whole.alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 def listing_digest(files: DataFrame) -> DataFrame:

@@ -457,9 +457,9 @@ def prompt_b(spark, sf, chars=PREFIX):
 
 
 @query("fingerprint", "SELECT sha256(string_agg(source || '/' || doc_id || doc_id || n_chars, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n_files FROM documents WHERE doc_id < 5000")
-def fingerprint_query(spark, sf):
+def fingerprint_query(spark, sf, files_below=5000):
     rows = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("file_ord"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("mtime"), F.col("n_chars").alias("size"))
-    return fingerprint.fingerprint(rows)
+    return fingerprint.fingerprint(rows if files_below is None else rows.filter(F.col("doc_id") < files_below))
 
 
 @query("changed_files", "SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'gone' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 < 3")
@@ -609,3 +609,8 @@ _whole("query_tokens", ("substring(text, 1, 5 + doc_id % 60)", "text"), whole=Tr
 _whole("search_many_merge", ("substring(text, 1, 400)", "text"), ("split_part(doc_path, '/', 1)", "doc_path"), ("substring(chunk_text, 1, 3)", "chunk_text"), whole=True)
 _whole("compile_tree", ("substring(text, 1, 50)", "text"), chars=None)
 _whole("hash_embed", ("substring(text, 1, 300)", "text"), chars=None)
+query(
+    "fingerprint_whole",
+    """WITH b AS (SELECT doc_id // 5000 AS block, sha256(string_agg(source || '/' || doc_id || doc_id || n_chars, '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1)
+    SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY block)) END AS fingerprint, sum(n)::BIGINT AS n_files FROM b""",
+)(partial(fingerprint_query, files_below=None))

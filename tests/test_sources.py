@@ -120,3 +120,14 @@ def test_entry_works_without_the_training_data_package(tmp_path):
         os.symlink(repo / name, tmp_path / name)
     code = "import sys; sys.modules['corpusmill.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'keyword_b' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_fingerprint_sees_every_file(spark):
+    rows = spark.range(1, 12001).select(F.col("id").alias("file_ord"), F.col("id").cast("string").alias("path"), F.lit(1).alias("mtime"), F.lit(2).alias("size"))
+    digest = lambda df: fingerprint.fingerprint(df).first()
+    whole = digest(rows)
+    assert whole.n_files == 12000 and digest(rows.repartition(5)) == whole
+    for ord_ in (1, 5000, 5001, 12000):
+        assert digest(rows.withColumn("mtime", F.when(F.col("file_ord") == ord_, 9).otherwise(1))).fingerprint != whole.fingerprint
+    assert digest(rows.filter("file_ord < 12000")).fingerprint != whole.fingerprint
+    assert digest(rows.filter("file_ord < 1")).n_files == 0
