@@ -12,6 +12,8 @@ Scan.  Documents and paragraphs (lines) without an anchor are passed over; the o
 n-grams are joined to the broadcast table of weights, summed per paragraph, and turned
 into probabilities.  A template of the predicted family must then confirm: the share of
 its n-grams that the paragraph holds has to reach CONFIRM.
+Notices wrapped over lines, and further families in a line, are found by the templates
+alone, in windows of words over the whole document.
 
 The main path runs no Python: only the small tables come from the driver.
 
@@ -177,10 +179,53 @@ def _anchored(col: Column, anchors: tuple[str, ...]) -> Column:
     return col.rlike(rf"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])")
 
 
+def _all_words(text: Column) -> Column:
+    """The text's pairs and triples of words, across lines: gram, word number, first and last line."""
+    words = lambda line, i: F.transform(F.regexp_extract_all(F.lower(line), F.lit(f"({_TOKEN})"), F.lit(1)), lambda w: F.struct(w.alias("w"), i.alias("line")))
+
+    def grams(t: Column, n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        at = lambda i, k: F.element_at(t, i + k)
+        return F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *[at(i, k)["w"] for k in range(n)]).alias("gram"), i.alias("pos"), at(i, 0)["line"].alias("line"), at(i, n - 1)["line"].alias("till")))
+
+    # bound as a lambda's variable, so that the words are cut once
+    return F.transform(F.array(F.flatten(F.transform(F.split(text, "\n"), words))), lambda t: F.concat(grams(t, 2), grams(t, 3)))[0]
+
+
+def _wrapped(hit: DataFrame, model: Model) -> DataFrame:
+    """Templates confirmed by words in windows over whole documents, whatever their lines.
+
+    A window spans twice a template's length or more, and begins at every multiple of half of that.  A word counts where it
+    stands in a pair that the template holds too.  Of templates that meet at one place the one with the largest overlap
+    stays, and another family's if also CONFIRM of the n-grams that are its own are there.
+    """
+    spark = hit.sparkSession
+    kinds = spark.createDataFrame([(i, f, t, max(4, len(g) // 2), list(g)) for i, (f, t, g) in enumerate(model.templates)], "t int, family string, template string, span int, all array<string>")
+    shingles = kinds.select("t", "span", F.explode("all").alias("gram")).filter(F.contains("gram", F.lit(" ")))
+    rows = hit.withColumn("row", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
+    met = rows.select("row", "doc_id", "text_hash", F.explode_outer(_all_words(F.col("text"))).alias("g")).select("row", "doc_id", "text_hash", "g.*").join(F.broadcast(shingles), "gram")
+    at = lambda shift: F.floor((F.col("pos") + shift * F.col("span")) / (2 * F.col("span"))) * 2 + shift
+    found = met.withColumn("window", F.explode(F.array(at(0), at(1)))).groupBy("row", "doc_id", "text_hash", "t", "window")
+    found = found.agg(F.collect_set(F.struct("pos", "gram")).alias("at"), F.min("line").alias("line"), F.max("till").alias("till"))
+    found = found.withColumn("held", F.array_distinct(F.flatten(F.transform("at", lambda x: F.concat(F.array(x["gram"]), F.split(x["gram"], " "))))))
+    found = found.join(F.broadcast(kinds), "t").withColumn("overlap", F.size("held") / F.size("all")).filter(F.col("overlap") >= CONFIRM)
+    said = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.split(x["gram"], " "), lambda w, i: F.struct((x["pos"] + i).alias("pos"), w.alias("w")))))))
+    found = found.withColumn("said", said).withColumn("from", F.col("said")[0]["pos"]).withColumn("to", F.element_at("said", -1)["pos"])
+    found = found.withColumn("notice", F.array_join(F.transform("said", lambda x: x["w"]), " "))
+    fields = ("family", "template", "overlap", "held", "all", "from", "to", "line", "till", "notice", "t", "window")
+    found = found.groupBy("row", "doc_id", "text_hash").agg(F.collect_list(F.struct(*fields)).alias("c"))
+    rank = lambda x: F.struct(x["overlap"], F.size(x["all"]), -x["from"], -x["t"], -x["window"])
+    own = lambda a, b: F.size(F.array_except(a["held"], b["all"])) >= CONFIRM * F.greatest(F.lit(1), F.size(F.array_except(a["all"], b["all"])))
+    beats = lambda b, a: (rank(b) > rank(a)) & (b["from"] <= a["to"]) & (a["from"] <= b["to"]) & ((a["family"] == b["family"]) | ~own(a, b))
+    best = F.filter("c", lambda a: ~F.exists("c", lambda b: beats(b, a)))
+    return found.select("doc_id", "text_hash", F.explode(best).alias("x")).select("doc_id", "text_hash", "x.*")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """One row per paragraph that is predicted to be a licence notice.
+    """One row per line that is predicted to be a licence notice, and per notice that such rows do not confirm.
 
-    doc_id, paragraph (from 0), family, probability, template, overlap, confirmed, notice (its text).
+    doc_id, paragraph (from 0), family, probability, template, overlap, confirmed, notice (its text).  Notices that go over
+    several lines, or share a line with another family's, have their first line, no probability, and their matched words.
     """
     spark, model = docs.sparkSession, model or train()
     names = [f"w{i}" for i in range(len(model.families))]
@@ -188,7 +233,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingles = spark.createDataFrame([(f, t, g, float(len(grams))) for f, t, grams in model.templates for g in grams], "t_family string, template string, gram string, t_size double")
 
     hit = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(_anchored(F.col("text"), model.anchors))
-    lines = hit.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "notice")).filter(_anchored(F.col("notice"), model.anchors))
+    lines = hit.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("paragraph", "notice")).filter(_anchored(F.col("notice"), model.anchors))
     lines = lines.withColumn("row", F.monotonically_increasing_id())
     words = lines.withColumn("t", F.regexp_extract_all(F.lower("notice"), F.lit(f"({_TOKEN})"), F.lit(1)))
 
@@ -196,12 +241,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         starts = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))
 
-    every = words.select("row", "doc_id", "paragraph", "notice", F.explode(F.array_distinct(F.concat(*[grams(n) for n in GRAMS]))).alias("gram"))
+    every = words.select("row", "doc_id", "text_hash", "paragraph", "notice", F.explode(F.array_distinct(F.concat(*[grams(n) for n in GRAMS]))).alias("gram"))
     # one pass sums the class weights and counts what each template shares with the paragraph
     by_gram = shingles.groupBy("gram").agg(F.collect_list(F.struct("t_family", "template", "t_size")).alias("in_templates"))
     table = weights.join(by_gram, "gram", "full_outer")
     met = every.join(F.broadcast(table), "gram")
-    sums = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("paragraph").alias("paragraph"), F.first("notice").alias("notice"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names], F.flatten(F.collect_list("in_templates")).alias("shared"))
+    sums = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("paragraph").alias("paragraph"), F.first("notice").alias("notice"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names], F.flatten(F.collect_list("in_templates")).alias("shared"))
     logits = F.array(*[F.col(n) + F.lit(b) for n, b in zip(names, model.bias)])
     told = sums.withColumn("z", logits).withColumn("top", F.array_max("z"))
     told = told.withColumn("e", F.transform("z", lambda v: F.exp(v - F.col("top"))))
@@ -215,4 +260,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shares = F.transform(kinds, lambda s: F.struct((F.size(F.filter(own, lambda o: o["template"] == s["template"])) / s["t_size"]).alias("overlap"), s["template"].alias("template")))
     told = told.withColumn("best", F.array_max(shares))
     overlap = F.coalesce(F.col("best.overlap"), F.lit(0.0))
-    return told.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("known", 6).alias("probability"), "best.template", F.round(overlap, 6).alias("overlap"), (overlap >= CONFIRM).alias("confirmed"), "notice")
+    columns = ("doc_id", "paragraph", "family", "probability", "template", "overlap", "confirmed", "notice")
+    single = told.select("doc_id", "text_hash", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("known", 6).alias("probability"), F.col("best.template").alias("template"), F.round(overlap, 6).alias("overlap"), (overlap >= CONFIRM).alias("confirmed"), "notice")
+    sure = single.filter("confirmed").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("family").alias("_family"), F.col("paragraph").alias("_line"))
+    over = _wrapped(hit, model)
+    told_already = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")) & (F.col("family") == F.col("_family")) & F.col("_line").between(F.col("line"), F.col("till"))
+    over = over.join(sure, told_already, "left_anti").select("doc_id", F.col("line").cast("long").alias("paragraph"), "family", F.lit(None).cast("double").alias("probability"), "template", F.round("overlap", 6).alias("overlap"), F.lit(True).alias("confirmed"), "notice")
+    return single.select(*columns).unionByName(over)

@@ -58,3 +58,14 @@ def test_odd_rows_and_repeats(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.scan_licenses(odd_docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_notices_and_two_families_in_a_line(spark):
+    import textwrap
+
+    long = {f: ts[1] for f, ts in L.TEMPLATES.items() if f in ("MIT", "BSD", "GPL", "CC-BY", "CC-BY-NC")}
+    wrapped = [(f, "some words before\n" + textwrap.fill(t, 40) + "\nand after") for f, t in long.items()]
+    both = "Released under the MIT License. Licensed under the Mozilla Public License, version 2.0."
+    docs = spark.createDataFrame([*((i, t) for i, (_, t) in enumerate(wrapped)), (100, both)], "doc_id long, text string")
+    sure = {(r.doc_id, r.family) for r in L.scan_licenses(docs).collect() if r.confirmed}
+    assert sure == {(i, f) for i, (f, _) in enumerate(wrapped)} | {(100, "MIT"), (100, "MPL-2.0")}
