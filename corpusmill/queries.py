@@ -288,8 +288,8 @@ def _vectors(spark, sf, step: int, k: int) -> DataFrame:
 
 
 @query("vector_topk", f"WITH {_vector_sql('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 500 = 0', 10)} SELECT query_id, rank, chunk_ord, score FROM vec")
-def vector_topk(spark, sf):
-    return _vectors(spark, sf, 500, 10).withColumn("rank", F.col("rank").cast("long"))
+def vector_topk(spark, sf, step=500):
+    return _vectors(spark, sf, step, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("vector_topk_multi", f"WITH {_vector_sql('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0', 8)} SELECT query_id, rank, chunk_ord, score FROM vec")
@@ -614,3 +614,4 @@ query(
     """WITH b AS (SELECT doc_id // 5000 AS block, sha256(string_agg(source || '/' || doc_id || doc_id || n_chars, '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1)
     SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY block)) END AS fingerprint, sum(n)::BIGINT AS n_files FROM b""",
 )(partial(fingerprint_query, files_below=None))
+_whole("vector_topk", ("vec_id % 500 = 0", "vec_id % 50 = 0"), step=50)

@@ -317,3 +317,10 @@ def test_whole_text_queries_differ_where_texts_differ_late(spark, tmp_path):
     assert sorted(r.doc_id for r in run("hash_embed") if r.x == 1) == [] and {r.doc_id for r in run("hash_embed")} == {0, 1}
     # one source, equal first letters: both documents stay
     assert len({r.source_path for r in run("search_many_merge")}) == 2
+
+
+def test_vector_topk_whole_asks_every_id_divisible_by_50(spark, tmp_path):
+    from corpusmill import queries as Q
+
+    spark.range(120).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.query_id for r in Q.QUERIES["vector_topk_whole"](spark, str(tmp_path)).collect()} == {0, 50, 100}
