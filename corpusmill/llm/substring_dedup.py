@@ -17,8 +17,9 @@ Dedup, in two scans that never shuffle text:
    Digests that hold a large share of the rows are joined by broadcast.
 
 Runs of consecutive repeats of MIN_WORDS words or more are spans to cut.  A passage
-of over 50 words that two documents share has such a run inside; a shared phrase or
-short line has not.
+of over 50 words that two documents share nearly always has such a run inside (chunks
+have no largest size, so a few of 51 to 55 words have not); a shared phrase or short
+line has not.
 
 Defined results.  Null, empty and wordless texts have no chunks and no spans.  Rows
 with one id are one document, so repeats inside a document stay.  A span names its
