@@ -1,4 +1,4 @@
-"""Overlapping windows in closed form: no loop, no Python, no shuffle but for dense ids."""
+"""Overlapping windows in closed form: no loop, no Python, no shuffle."""
 
 from __future__ import annotations
 
@@ -18,11 +18,22 @@ def check_geometry(size: int, overlap: int) -> int:
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:
-    """Stripped windows ``(win, chunk)`` of a text, blank ones left out."""
-    step, n = check_geometry(size, overlap), F.length(text)
-    count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.lit(float(step)))).cast("int")
-    every = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("win"), T.strip(F.substring(text, i * step + 1, F.lit(size))).alias("chunk")))
-    return F.filter(every, lambda w: w["chunk"] != "")
+    """Stripped windows ``(win, chunk)`` of a text, blank ones left out; linear in the length.
+
+    The text is cut into blocks of one step in a single pass, and a window joins the
+    blocks that it spans, so no window is looked for from the start of the text.
+    """
+    step = check_geometry(size, overlap)
+    spans = -(-size // step)
+
+    def cut(t: Column) -> Column:
+        n = F.length(t)
+        count = F.when(n <= size, 1).otherwise(1 + F.ceil((n - size) / F.lit(float(step)))).cast("int")
+        blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}+"), F.lit(0))
+        part = lambda b, i: T.strip(F.substring(F.array_join(F.slice(b, i + 1, F.lit(spans)), ""), 1, size))
+        return T.once(blocks, lambda b: F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("win"), part(b, i).alias("chunk"))))
+
+    return F.filter(T.once(text, cut), lambda w: w["chunk"] != "")
 
 
 def chunk_a(docs: DataFrame, size: int = 1000, overlap: int = 200, text_col: str = "text") -> DataFrame:

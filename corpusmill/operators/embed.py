@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
+from corpusmill.runtime import ship
 
 
 class Embedder(Protocol):
@@ -67,6 +68,7 @@ def embed(df: DataFrame, make: Callable[[], Embedder], text_col: str = "chunk_te
             keep = [i for i, n in enumerate(rows.schema.names) if n != "_cut"]
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in keep), pa.array(found, pa.list_(pa.float32()))], [*(rows.schema.names[i] for i in keep), "embedding"])
 
+    ship(df.sparkSession)
     return source.mapInArrow(run, schema)
 
 
@@ -77,10 +79,9 @@ def hash_buckets(text: Column, dim: int) -> Column:
 
 def hash_embed(df: DataFrame, text_col: str = "chunk_text", dim: int = 64) -> DataFrame:
     """Adds ``embedding array<double>``: the native form of :class:`HashEmbedder`, of unit length."""
-    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  inside lambdas and pushed filters a column would be computed anew at each use
     left = lambda bs, b: F.size(F.array_remove(bs, b))  # noqa: E731  one native pass per bucket
     counts = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(bs) - left(bs, b)).cast("double"))
-    return df.withColumn("embedding", once(once(hash_buckets(F.col(text_col), dim), counts), V.l2_normalize))
+    return df.withColumn("embedding", T.once(T.once(hash_buckets(F.col(text_col), dim), counts), V.l2_normalize))
 
 
 def embed_pairs(pairs: DataFrame, dim: int = 64) -> DataFrame:

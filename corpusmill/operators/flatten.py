@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.runtime import ship
 
 
 def _parts(line: Column) -> Column:
@@ -18,24 +19,34 @@ def _parts(line: Column) -> Column:
     )
 
 
+#: Lines folded into one array before arrays are joined.
+BLOCK = 256
+
+
 def flatten_lines(text: Column) -> Column:
     """``path = value`` lines of a text.
 
     Lines without a colon are passed over.  Two spaces are a level.  A key joins the
     path if it stands exactly one level below it; deeper ones do not, and their values
     go to the path that is open.
+
+    The fold goes block by block: growing one array line by line would copy it each time.
     """
     lines = F.filter(F.split(T.normalize_newlines(text), "\n"), lambda x: F.contains(x, F.lit(":")))
-    start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, part: Column) -> Column:
         cut = F.slice(acc["path"], F.lit(1), part["level"])
         path = F.when((part["key"] != "") & (F.size(cut) == part["level"]), F.concat(cut, F.array(part["key"]))).otherwise(cut)
-        line = F.concat(F.array_join(path, "."), F.lit(" = "), part["value"])
-        out = F.when(part["value"] != "", F.concat(acc["out"], F.array(line))).otherwise(acc["out"])
-        return F.struct(path.alias("path"), out.alias("out"))
+        return T.once(path, lambda p: F.struct(p.alias("path"), F.when(part["value"] != "", F.concat(acc["out"], F.array(F.concat(F.array_join(p, "."), F.lit(" = "), part["value"])))).otherwise(acc["out"]).alias("out")))
 
-    return F.aggregate(F.transform(lines, _parts), start, step, lambda acc: acc["out"])
+    def fold(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(F.transform(block, _parts), F.struct(acc["path"].alias("path"), none.alias("out")), step)
+        return T.once(inner, lambda x: F.struct(x["path"].alias("path"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    blocks = lambda ls: F.transform(F.sequence(F.lit(0), F.floor(F.size(ls) / BLOCK).cast("int")), lambda i: F.slice(ls, i * BLOCK + 1, F.lit(BLOCK)))
+    start = F.struct(none.alias("path"), F.array().cast("array<array<string>>").alias("out"))
+    return F.aggregate(T.once(lines, blocks), start, fold, lambda acc: F.flatten(acc["out"]))
 
 
 def naturalize(path: Column, text: Column) -> Column:
@@ -58,6 +69,8 @@ def pretty_yaml(docs: DataFrame, path_col: str = "source_path", text_col: str =
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
+
     def run(batches):
         try:
             import yaml
