@@ -12,13 +12,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.runtime import ship
 
-#: Questions that are broadcast together.
+#: Questions that are broadcast together; query vectors in one matrix product.
 BLOCK = 2000
+#: Vectors in one matrix product, and bytes of query vectors that are broadcast together.
+VECTOR_ROWS, QUERY_BYTES = 1024, 64 << 20
 #: Scores are compared at this many digits, so that the order of summing does not decide.
 DIGITS = 6
 
@@ -40,38 +44,67 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", order: tuple[str, ...]
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, ord_col: str = "chunk_ord") -> DataFrame:
     """Exact inner product of unit vectors: ``query_id, rank, score, chunk_ord``.
 
-    ``queries`` is ``query_id, embedding``.  A matrix product per Arrow batch, whose
-    best ``k`` rows a question go on.
+    ``queries`` is ``query_id, embedding``, with one row per id.  Queries are broadcast,
+    QUERY_BYTES at a time; each such part meets all vectors in one scan, BLOCK queries and
+    VECTOR_ROWS vectors to a matrix product, and a task passes on its best ``k`` a query.
+    Null vectors, and those that hold a null, are never met and ask nothing.
     """
+    ship(vectors.sparkSession)
+    whole = lambda df: df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    asked = whole(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")))
+    size = asked.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"), F.max(F.size("embedding")).alias("most")).first()
+    if size["dim"] != size["most"]:
+        raise ValueError("query vectors differ in length")
     spark = vectors.sparkSession
-    found = []
-    for block in _blocks(queries.select("query_id", "embedding")):
-        rows = block.collect()  # at most BLOCK, or about half of that
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            matrix = _unit(matrix)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ords = batch.column(0).to_numpy()
-                flat = np.asarray(batch.column(1).flatten()).astype(np.float64).reshape(batch.num_rows, -1)
-                score = np.round(_unit(flat) @ matrix.T, DIGITS)
-                best = np.lexsort((np.broadcast_to(ords[:, None], score.shape), -score), axis=0)[: min(k, len(ords))]
-                q = np.broadcast_to(np.arange(len(ids)), best.shape).ravel()
-                at = best.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), pa.array(ords[at]), pa.array(score[at, q])], ["query_id", "chunk_ord", "score"])
-
-        source = vectors.select(F.col(ord_col).cast("long").alias("chunk_ord"), F.col("embedding").cast("array<double>").alias("embedding"))
-        found.append(source.mapInArrow(run, "query_id long, chunk_ord long, score double"))
-    if not found:
+    if not size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, score double, chunk_ord long")
+    dim, parts = size["dim"], max(1, -(-size["n"] * (size["dim"] + 1) * 8 // QUERY_BYTES))
+    source = whole(vectors.select(F.col(ord_col).cast("long").alias("chunk_ord"), F.col("embedding").cast("array<double>").alias("embedding")))
+    found = []
+    for i in range(parts):
+        mine = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        ids, flat = [], []
+        for row in mine.toLocalIterator():  # about QUERY_BYTES at most
+            ids.append(row["query_id"])
+            flat.append(np.array(row["embedding"]))
+        if ids:
+            shared = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(flat)))
+            found.append(source.mapInArrow(_best_of(shared, k, dim), "query_id long, chunk_ord long, score double"))
     return top_k(reduce(DataFrame.unionByName, found), k).select("query_id", "rank", "score", "chunk_ord")
 
 
+def _best_of(shared, k: int, dim: int):
+    """Each query's ``k`` best of a task's vectors, kept as two arrays of queries times ``k``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = shared.value
+        best, at = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for batch in batches:
+            for start in range(0, batch.num_rows, VECTOR_ROWS):
+                part = batch.slice(start, VECTOR_ROWS)
+                flat = np.asarray(part.column(1).flatten()).astype(np.float64)
+                if len(flat) != part.num_rows * dim or (np.asarray(pc.list_value_length(part.column(1))) != dim).any():
+                    raise ValueError("vectors differ in length from the queries")
+                ords, matrix = part.column(0).to_numpy(), _unit(flat.reshape(part.num_rows, dim))
+                for q in range(0, len(ids), BLOCK):
+                    mine = slice(q, q + BLOCK)
+                    score = np.round(_unit(asked[mine]) @ matrix.T, DIGITS)
+                    both = np.hstack([best[mine], score])
+                    where = np.hstack([at[mine], np.broadcast_to(ords, score.shape)])
+                    if both.shape[1] > 4 * k:  # what scores below the k-th goes first; ties with it stay
+                        limit = -np.partition(-both, k - 1, axis=1)[:, k - 1 : k]
+                        most = int((both >= limit).sum(1).max())
+                        pick = np.argpartition(-both, most - 1, axis=1)[:, :most]
+                        both, where = np.take_along_axis(both, pick, 1), np.take_along_axis(where, pick, 1)
+                    order = np.lexsort((where, -both), axis=1)[:, :k]
+                    best[mine], at[mine] = np.take_along_axis(both, order, 1), np.take_along_axis(where, order, 1)
+        hit = np.isfinite(best)
+        rows = np.nonzero(hit)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(at[hit]), pa.array(best[hit])], ["query_id", "chunk_ord", "score"])
+
+    return run
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=m.copy(), where=size > 0)
