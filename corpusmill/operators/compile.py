@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.runtime import materialize
 
 #: The heading commands from the highest level down.
 LEVELS = ("part", "chapter", "section", "subsection", "subsubsection", "paragraph", "subparagraph")
@@ -35,15 +38,55 @@ def sections(docs: DataFrame, starting_part: str = "chapter", path_col: str = "p
     return docs.withColumn("depth", depth).withColumn("command", heading(F.col("depth"), starting_part, levels)).withColumn("key", walk_key(F.col(path_col)))
 
 
+def number_parts(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """Adds ``part``, the place (from 1) of a row among those with the same ``by``, in order of ``order``.
+
+    One shuffle by ranges of (by, order), so a large group is spread over tasks.  The rows
+    a task holds are numbered in place; what stands before them is a sum over tasks.
+    """
+    sorted_ = rows.repartitionByRange(by, order).sortWithinPartitions(by, order).withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    kept = materialize(sorted_, "ordered")
+    counts = kept.groupBy(by, "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(counts.select(F.col(by).alias("_by"), F.col("_task").alias("_t"), (before - F.col("_first") + 1).alias("_shift")), "starts")
+    same = kept[by].eqNullSafe(starts["_by"]) & (kept["_task"] == starts["_t"])
+    return kept.join(starts, same).withColumn("part", F.col("_at") + F.col("_shift")).drop("_task", "_at", "_by", "_t", "_shift")
+
+
 def compile_tree(docs: DataFrame, by: str, starting_part: str = "chapter", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """One source per ``by``: every file as a heading with its stem, and its text, in walk order.
+    """The source of each ``by``, as its parts in walk order: ``by, part, command, source``.
 
-    A source is one row, as a file is; sources are independent of each other.
+    A part is a file: a heading with its stem, then its text.  A source of any size is
+    many rows, never one; :func:`joined` makes one row where a source is known to be small,
+    and the text sink writes the parts as they come.
     """
     title = F.concat(F.lit("\\"), F.col("command"), F.lit("{"), T.stem(F.col(path_col)), F.lit("}\n"), F.col(text_col))
-    made = sections(docs, starting_part, path_col).withColumn("s", title)
-    ordered = F.array_sort(F.collect_list(F.struct("key", "s")))
-    return made.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "\n").alias("source"), F.count("*").alias("n_parts"))
+    made = sections(docs, starting_part, path_col).select(by, F.struct("key", F.col(path_col)).alias("_key"), "command", title.alias("source"))
+    return number_parts(made, by, "_key").select(by, "part", "command", "source")
+
+
+def joined(parts: DataFrame, by: str) -> DataFrame:
+    """``by, source, n_parts``: the parts of small sources as one text each."""
+    ordered = F.array_sort(F.collect_list(F.struct("part", "source")))
+    return parts.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["source"]), "\n").alias("source"), F.count("*").alias("n_parts"))
+
+
+def build(nodes: DataFrame, builders: dict[str, Column], kind_col: str = "kind", out: str = "source") -> DataFrame:
+    """Adds ``out`` by the builder of each row's kind; a kind without a builder is an error, as it is in no output."""
+    kind = F.col(kind_col)
+    made = F.raise_error(F.concat(F.lit("no builder for kind "), F.coalesce(kind, F.lit("null")))).cast("string")
+    for name, expression in reversed(builders.items()):
+        made = F.when(kind == name, expression).otherwise(made)
+    return nodes.withColumn(out, made)
+
+
+def composed(nodes: DataFrame, text_col: str = "source") -> DataFrame:
+    """The composed string of each root: its nodes' texts in preorder, as ``root, part, source``.
+
+    ``nodes`` has node_id, parent_id, ord and the text.
+    """
+    rows = preorder(nodes).select(F.col("root"), F.struct("key", "node_id").alias("_key"), F.col(text_col).alias("source"))
+    return number_parts(rows, "root", "_key").select("root", "part", "source")
 
 
 def document(body: Column, documentclass: str = "article", bibliography: str | None = None) -> Column:
@@ -69,17 +112,20 @@ def misplaced(nodes: DataFrame, parent_kind: str = "document", allowed: tuple[st
     return nodes.join(up, "parent_id", "left_semi").filter(~F.col("kind").isin(*allowed))
 
 
-def preorder(nodes: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``(node_id, parent_id, ord)`` with ``depth`` and a ``key`` that sorts in preorder.
+def preorder(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node_id, parent_id, ord) with ``root``, ``depth`` and a ``key`` that sorts a root's nodes in preorder.
 
-    One join a level, on the parent; ``max_depth`` ends cycles.
+    One join a level, on the parent, to any depth.  A node that no root reaches hangs in a
+    cycle or below a parent that is not there: that is an error, not a lost row.
     """
-    level = nodes.filter("parent_id IS NULL").select("node_id", F.lit(0).alias("depth"), F.array("ord").alias("key"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        up = level.select(F.col("node_id").alias("parent_id"), F.col("key").alias("_up"))
-        level = nodes.join(up, "parent_id").select("node_id", F.lit(depth).alias("depth"), F.concat("_up", F.array("ord")).alias("key"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return nodes.join(out, "node_id")
+    rows = nodes.select("node_id", "parent_id", "ord")
+    level = materialize(rows.filter("parent_id IS NULL").select("node_id", F.col("node_id").alias("root"), F.lit(0).alias("depth"), F.array("ord").alias("key")), "level-0")
+    levels, seen, total = [level], level.count(), rows.count()
+    while seen < total:
+        up = level.select(F.col("node_id").alias("parent_id"), "root", "depth", F.col("key").alias("_up"))
+        level = materialize(rows.join(up, "parent_id").select("node_id", "root", (F.col("depth") + 1).alias("depth"), F.concat("_up", F.array("ord")).alias("key")), f"level-{len(levels)}")
+        met = level.count()
+        if not met:
+            raise ValueError(f"{total - seen} nodes hang in a cycle or below a parent that is not there")
+        levels, seen = [*levels, level], seen + met
+    return nodes.join(reduce(DataFrame.unionByName, levels), "node_id")

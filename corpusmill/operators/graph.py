@@ -34,3 +34,10 @@ def aggregate_clusters(told: DataFrame, edges: DataFrame | None = None) -> tuple
     of = told.select("id", "cluster")
     ends = edges.join(of.select(F.col("id").alias("src"), F.col("cluster").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("cluster").alias("b")), "dst")
     return nodes, ends.filter("a <> b").groupBy("a", "b").agg(F.sum("x").alias("x"), F.sum("p_max").alias("p_max"), F.count("*").alias("n"))
+
+
+def dot_source(vertices: DataFrame, edges: DataFrame, default: str = "lightblue") -> DataFrame:
+    """A graph's drawing as lines of DOT source, ``kind, line``: a node line each with its colour, an edge line each."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    nodes = node_colors(vertices, default).select(F.lit("node").alias("kind"), F.concat(F.lit("  "), quoted("id"), F.lit(" [style=filled, fillcolor="), quoted("color"), F.lit("];")).alias("line"))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("kind"), F.concat(F.lit("  "), quoted("src"), F.lit(" -- "), quoted("dst"), F.lit(";")).alias("line")))

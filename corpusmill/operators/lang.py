@@ -35,3 +35,26 @@ def unnest_words(words: DataFrame) -> DataFrame:
 def space_tokens(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """A token is the text between two spaces."""
     return texts.select(*[c for c in texts.columns if c != text_col], F.posexplode(F.split(text_col, " ")).alias("token_no", "token"))
+
+
+def sentences(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``sentence_no, sentence``: a text up to and with each run of ``. ! ?`` that white space or the end follows."""
+    cut = F.filter(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)(?:[^.!?]|[.!?](?![\s.!?]|$))*+[.!?]*"), F.lit(0)), lambda x: F.btrim(x)), lambda x: x != "")
+    return texts.select(*[c for c in texts.columns if c != text_col], F.posexplode(cut).alias("sentence_no", "sentence"))
+
+
+def phrases(sentences_: DataFrame, text_col: str = "sentence") -> DataFrame:
+    """``phrase_no, phrase``: more than a word and less than a sentence, the parts between ``, ; :``."""
+    cut = F.filter(F.transform(F.split(F.col(text_col), "[,;:]"), lambda x: F.btrim(x)), lambda x: x != "")
+    return sentences_.select(*[c for c in sentences_.columns if c != text_col], F.posexplode(cut).alias("phrase_no", "phrase"))
+
+
+def store_meanings(meanings: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """A language's store of ``meaning`` rows: the union of what is there and what is new, each once."""
+    return (meanings if store is None else store.unionByName(meanings)).dropDuplicates()
+
+
+def quantize(vectors: DataFrame, levels: int = 26, vector_col: str = "embedding") -> DataFrame:
+    """Adds ``letters``: each entry of a unit vector as one of ``levels`` letters of equal width, from -1 to 1."""
+    at = lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) / 2 * levels), F.lit(0)), F.lit(levels - 1))
+    return vectors.withColumn("letters", F.array_join(F.transform(vector_col, lambda x: F.char(at(x) + ord("a"))), ""))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import chunk, embed, expand, flatten, pack, retrieve
-from corpusmill.settings import SettingsA, SettingsB
+from corpusmill.runtime import materialize, ship
+from corpusmill.settings import REWRITE_PROMPT, REWRITE_SAMPLING, Sampling, SettingsA, SettingsB
+from corpusmill.sources.files import decode_b, scan_roots
 
 
 def _numbered(chunks: DataFrame) -> DataFrame:
@@ -30,32 +32,65 @@ def ingest_b(docs: DataFrame, settings: SettingsB | None = None) -> DataFrame:
     s = settings or SettingsB()
     capped = F.substring("text", 1, s.max_chars_per_file)
     headed = docs.select("file_ord", F.col("source_path").alias("doc_path"), T.header_b(F.col("source_path"), capped).alias("text"))
-    return _numbered(chunk.chunk_b(headed, s.chunk_size, s.chunk_overlap)).select("chunk_ord", "doc_path", "chunk_id", "chunk_text")
+    made = _numbered(chunk.chunk_b(headed, s.chunk_size, s.chunk_overlap)).select("chunk_ord", "doc_path", "chunk_id", "chunk_text")
+    return made if s.max_chunks_total is None else chunk.cap_chunks(made, s.max_chunks_total, ["chunk_ord"])
+
+
+def embed_b(chunks: DataFrame, make: Callable[[], embed.Embedder], settings: SettingsB | None = None) -> DataFrame:
+    """Vectors of engine B: texts are cut to the model's context less a margin, 128 tokens at least."""
+    s = settings or SettingsB()
+    return embed.embed(chunks, make, max_tokens=max(128, s.embed_n_ctx - s.embed_token_margin))
+
+
+def build_b(files: DataFrame, root: str, make: Callable[[], embed.Embedder], settings: SettingsB | None = None) -> DataFrame:
+    """Engine B's rebuild: ``path, content`` below ``root`` to chunks with vectors; no chunk at all is an error."""
+    s = settings or SettingsB()
+    docs = scan_roots(files, s, root).select("file_ord", F.col("rel").alias("source_path"), decode_b(F.col("content")).alias("text"))
+    chunks = materialize(ingest_b(docs, s), "chunks")
+    if chunks.isEmpty():
+        raise ValueError("No chunks produced: see the root, the extensions and the caps")
+    return embed_b(chunks, make, s)
+
+
+def search_a(index: DataFrame, queries: DataFrame, embedder: Callable[[DataFrame, str], DataFrame], k: int) -> DataFrame:
+    """``query_id, rank, score, source_path, chunk_text``: vector hits, or lexical hits where there are none.
+
+    ``queries`` is ``query_id, question``.  A question has no vector hit if the model gave it no vector.
+    """
+    texts = index.select("chunk_ord", "source_path", "chunk_text")
+    vec = materialize(retrieve.vector_topk(index, embedder(queries, "question").select("query_id", "embedding"), k), "vector-hits")
+    rest = queries.join(vec.select("query_id").distinct(), "query_id", "left_anti")
+    lex = retrieve.lexical_a(texts, rest, k).select("query_id", "rank", "score", "chunk_ord")
+    hits = retrieve.fallback(vec.select("query_id", "rank", "score", "chunk_ord"), lex)  # k rows a question
+    return texts.join(F.broadcast(hits), "chunk_ord").select("query_id", "rank", "score", "source_path", "chunk_text")
 
 
 def ask_a(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsA | None = None) -> DataFrame:
     """``query_id, question, context, prompt``.  ``index`` has chunk_ord, source_path, chunk_text, embedding."""
     s = settings or SettingsA()
     to_vector = embedder or (lambda df, col: embed.hash_embed(df, col))
-    variants = expand.expand_questions(questions)
-    keyed = to_vector(variants, "question").select(F.struct("query_id", "variant").alias("q"), "embedding").withColumn("query_id", F.col("q.query_id") * 100 + F.col("q.variant"))
-    found = retrieve.vector_topk(index, keyed, s.top_k)
-    texts = index.select("chunk_ord", "source_path", "chunk_text")
-    hits = found.join(texts, "chunk_ord").select((F.floor(F.col("query_id") / 100)).cast("long").alias("query_id"), (F.col("query_id") % 100).alias("variant"), "rank", "score", "source_path", "chunk_text")
-    merged = retrieve.merge_variants(hits)
+    keyed = expand.expand_questions(questions).withColumn("query_id", F.col("query_id") * 100 + F.col("variant"))
+    hits = search_a(index, keyed.select("query_id", "question"), to_vector, s.top_k)
+    merged = retrieve.merge_variants(hits.withColumn("variant", F.col("query_id") % 100).withColumn("query_id", F.floor(F.col("query_id") / 100).cast("long")))
     rows = pack.gather(merged, s.max_context_chunks, "merged_rank", ("source_path", "chunk_text"))
     asked = questions.join(rows, "query_id", "left").withColumn("context", pack.context_a(F.col("hits"), s.max_context_chunks))
     return asked.withColumn("prompt", pack.prompt_a(F.col("question"), F.col("context"))).select("query_id", "question", "context", "prompt")
 
 
+def candidate_depth(settings: SettingsB) -> int:
+    """Hits that each side of engine B looks for."""
+    return max(8, settings.top_k)
+
+
 def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsB | None = None) -> DataFrame:
     """``query_id, question, route, messages, reply``.  ``index`` has chunk_ord, doc_path, chunk_id, chunk_text, embedding."""
     s = settings or SettingsB()
     to_vector = embedder or (lambda df, col: embed.hash_embed(df, col))
-    depth = max(8, s.top_k)
+    depth = candidate_depth(s)
     texts = index.select("chunk_ord", "doc_path", "chunk_id", "chunk_text")
-    kw = retrieve.keyword_b(texts, questions.select("query_id", "question"), depth).select("query_id", "rank", "score", "doc_path", "chunk_id", "chunk_text")
-    vec = retrieve.vector_topk(index, to_vector(questions.select("query_id", "question"), "question"), depth).join(texts, "chunk_ord").drop("chunk_ord")
+    kw = materialize(retrieve.keyword_b(texts, questions.select("query_id", "question"), depth).select("query_id", "rank", "score", "doc_path", "chunk_id", "chunk_text"), "keyword-hits")
+    near = retrieve.vector_topk(index, to_vector(questions.select("query_id", "question"), "question"), depth)
+    vec = materialize(texts.join(F.broadcast(near), "chunk_ord").drop("chunk_ord"), "vector-hits")  # depth rows a question
     merged = retrieve.merge_hybrid(vec, kw, s.top_k)
     best = vec.groupBy("query_id").agg(F.max("score").alias("best_vector")).join(kw.groupBy("query_id").agg(F.max("score").alias("best_keyword")), "query_id", "full_outer")
     rows = pack.gather(merged, s.top_k).join(pack.gather(kw, depth).withColumnRenamed("hits", "kw_hits"), "query_id", "full_outer").join(best, "query_id", "left")
@@ -64,16 +99,37 @@ def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame,
     return pack.answer(asked, s).select("query_id", "question", "route", "messages", "reply")
 
 
-def complete(prompts: DataFrame, make: Callable[[], Callable[[str], str]], prompt_col: str = "prompt") -> DataFrame:
-    """Adds ``completion`` by a pluggable model, loaded once a task and run in Arrow batches."""
+def complete(prompts: DataFrame, make: Callable[[], Callable[..., str]], prompt_col: str = "prompt", sampling: Sampling | None = None) -> DataFrame:
+    """Adds ``completion`` by a pluggable model, loaded once a task and run in Arrow batches.
+
+    With ``sampling`` the model is called with it as second argument; an answer ends before the first stop string.
+    """
     import pyarrow as pa
 
+    ship(prompts.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", completion string"
 
+    def said(model: Callable[..., str], prompt: object) -> str:
+        if sampling is None:
+            return model(prompt)
+        out = model(prompt, sampling)
+        return out[: min([at for s in sampling.stop if (at := out.find(s)) >= 0], default=len(out))].strip()
+
     def run(batches):
         model = make()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(prompt_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([model(t) if t is not None else None for t in texts], pa.string())], [*batch.schema.names, "completion"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([said(model, t) if t is not None else None for t in texts], pa.string())], [*batch.schema.names, "completion"])
 
     return prompts.mapInArrow(run, schema)
+
+
+def rewrite(texts: DataFrame, make: Callable[[], Callable[..., str]] | None = None, text_col: str = "text") -> DataFrame:
+    """Adds ``messages`` that ask for a text in three languages; with a model also ``completion``, and ``en, fa, de`` cut out of it."""
+    user = F.struct(F.lit("user").alias("role"), F.col(text_col).alias("content"))
+    asked = texts.withColumn("messages", F.array(F.struct(F.lit("system").alias("role"), F.lit(REWRITE_PROMPT).alias("content")), user))
+    if make is None:
+        return asked
+    done = complete(asked.withColumn("_prompt", pack.prompt_text(F.col("messages"))), make, "_prompt", REWRITE_SAMPLING).drop("_prompt")
+    part = lambda tag: F.nullif(T.strip(F.regexp_extract("completion", rf"(?s)\[{tag}\]\n(.*?)(?=\n\[[A-Z]{{2}}\]\n|$)", 1)), F.lit(""))
+    return done.withColumns({tag.lower(): part(tag) for tag in ("EN", "FA", "DE")})

@@ -20,6 +20,21 @@ PROMPT_A_HEAD = "Answer using the provided context.\nIf the exact answer is not
 REWRITE_PROMPT = "You rewrite or translate any user tex into three outputs in this exact order and format:\n[EN]\n...\n[FA]\n...\n[DE]\n...\nNo explanations."
 
 
+@dataclass(frozen=True)
+class Sampling:
+    """What a completion asks of the model, beside the prompt; the defaults are those of engine A."""
+
+    max_tokens: int = 256
+    temperature: float = 0.2
+    top_p: float = 0.95
+    repeat_penalty: float = 1.15
+    stop: tuple[str, ...] = ("\n\nQuestion:",)
+
+
+#: Sampling of the rewrite into three languages.
+REWRITE_SAMPLING = Sampling(top_p=0.9, repeat_penalty=1.1, stop=())
+
+
 @dataclass(frozen=True)
 class SettingsA:
     """Engine A: crawl, flatten, chunk, vector search over expanded questions."""
@@ -32,6 +47,7 @@ class SettingsA:
     max_context_chunks: int = 8
     n_ctx: int = 4096
     max_tokens: int = 256
+    sampling: Sampling = field(default_factory=Sampling)
 
 
 @dataclass(frozen=True)
@@ -52,15 +68,18 @@ class SettingsB:
     extensions: tuple[str, ...] = EXTENSIONS_B
     excluded: tuple[str, ...] = EXCLUDED_B
     strict_suffix: bool = False
+    include_roots: tuple[str, ...] = ()
     max_files: int = 5000
     max_chars_per_file: int = 250_000
-    max_chunks_total: int = 12_000
+    max_chunks_total: int | None = 12_000
     chunk_size: int = 1500
     chunk_overlap: int = 150
     top_k: int = 12
     max_tokens: int = 220
     n_ctx: int = 2048
+    embed_n_ctx: int = 2048
     embed_token_margin: int = 64
+    sampling: Sampling = field(default_factory=lambda: Sampling(max_tokens=220, stop=()))
     system_prompt: str = SYSTEM_PROMPT
     general_prompt: str = GENERAL_PROMPT
     policy: Policy = field(default_factory=Policy)

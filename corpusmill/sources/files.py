@@ -9,12 +9,14 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusmill.functions import text as T
 from corpusmill.operators.compile import walk_key
+from corpusmill.runtime import ship
+from corpusmill.settings import SettingsB
 
 
 class _Files(InputPartition):
@@ -61,6 +63,7 @@ def read_tree(spark: SparkSession, roots: Sequence[str], hidden: bool = True, co
     ``hidden`` needs folders that every executor mounts.  Without it ``binaryFile`` reads any store.
     """
     if hidden:
+        ship(spark)
         spark.dataSource.register(TreeDataSource)
         return spark.read.format("tree").option("roots", ",".join(roots)).option("content", str(content).lower()).load()
     there = [r for r in roots if "://" in r or os.path.isdir(r)]
@@ -86,11 +89,23 @@ def scan_filter(rel: Column, extensions: Sequence[str], excluded: Sequence[str],
 
 def scan(files: DataFrame, extensions: Sequence[str], excluded: Sequence[str], max_files: int, rel_col: str = "path", strict: bool = False) -> DataFrame:
     """The first ``max_files`` matches in walk order, with ``file_ord`` from 1; a top-k, then a small sort."""
-    from pyspark.sql import Window
+    return _first(files.filter(scan_filter(F.col(rel_col), extensions, excluded, strict)).withColumn("_key", walk_key(F.col(rel_col))), max_files)
 
-    kept = files.filter(scan_filter(F.col(rel_col), extensions, excluded, strict)).withColumn("_key", walk_key(F.col(rel_col)))
-    first = kept.orderBy("_key").limit(max_files)
-    return first.withColumn("file_ord", F.row_number().over(Window.orderBy("_key"))).drop("_key")
+
+def _first(keyed: DataFrame, max_files: int) -> DataFrame:
+    return keyed.orderBy("_key").limit(max_files).withColumn("file_ord", F.row_number().over(Window.orderBy("_key"))).drop("_key")
+
+
+def scan_roots(files: DataFrame, settings: SettingsB, root: str, path_col: str = "path") -> DataFrame:
+    """Engine B's scan below ``root``, or below its ``include_roots`` one after the other (relative ones start at ``root``).
+
+    Adds ``rel`` (the path below its base) and ``file_ord``.  A file below two bases is met twice, as in a walk.
+    """
+    bases = [b if b.startswith("/") or "://" in b else f"{root.rstrip('/')}/{b}" for b in settings.include_roots] or [root]
+    every = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(b.rstrip("/") + "/").alias("base")) for i, b in enumerate(bases)])
+    met = files.withColumn("_b", F.explode(F.filter(every, lambda b: F.startswith(F.col(path_col), b["base"]))))
+    met = met.withColumn("rel", F.substr(path_col, F.length("_b.base") + 1)).filter(scan_filter(F.col("rel"), settings.extensions, settings.excluded, settings.strict_suffix))
+    return _first(met.withColumn("_key", F.struct("_b.n", walk_key(F.col("rel")))).drop("_b"), settings.max_files)
 
 
 def decode_a(content: Column) -> Column:

@@ -9,6 +9,8 @@ from dataclasses import asdict, is_dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.settings import read_instructions
+
 
 def write_chunks_jsonl(chunks: DataFrame, path: str, path_col: str = "source_path", text_col: str = "chunk_text") -> None:
     """Lines ``{"tex", "source_path"}``, as the studied store names them, in several part files."""
@@ -68,6 +70,19 @@ class IndexStore:
         return self.load()
 
 
+    def reload(self, build, instructions_path: str, settings: object = None) -> tuple[DataFrame, tuple[str, str]]:
+        """Reads the instructions again and rebuilds; the fingerprint stays the one of the last save, so ``auto`` still sees changed files."""
+        found = self.state()
+        self.save(build(), found[0] if found else "", settings)
+        return self.load(), read_instructions(instructions_path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """``dim, doc_path, chunk_id, chunk_text`` of a metadata file that is one JSON object with ``dim`` and ``chunks``."""
+    rows = spark.read.schema("dim int, chunks array<struct<doc_path:string,chunk_id:int,text:string>>").option("multiLine", "true").json(path)
+    return rows.select("dim", F.explode("chunks").alias("c")).select("dim", "c.doc_path", "c.chunk_id", F.col("c.text").alias("chunk_text"))
+
+
 def metadata_json(chunks: DataFrame, dim: int) -> DataFrame:
     """One JSON row per chunk with the dimension: the metadata file as lines."""
     return chunks.select(F.to_json(F.struct(F.lit(dim).alias("dim"), F.struct("doc_path", "chunk_id", F.col("chunk_text").alias("text")).alias("chunk"))).alias("value"))
