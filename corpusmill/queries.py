@@ -7,8 +7,8 @@ Scores are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, pack, retrieve
-from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, SettingsB
-from corpusmill.sources import files
+from corpusmill.plans import engines
+from corpusmill.runtime import materialize, shared_dir
+from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
+from corpusmill.sources import files, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,10 +139,9 @@ def normalize_newlines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.squeeze_blank_lines(T.normalize_newlines(raw)).alias("clean"))
 
 
-@query("strip_text", f"SELECT doc_id, {_strip('chr(10) || chr(9) || substring(text, 3, 40) || chr(32)')} AS bare FROM documents")
-def strip_text(spark, sf, whole=False):
-    text = F.col("text") if whole else F.substring("text", 3, 40)
-    return table(spark, sf, "documents").select("doc_id", T.strip(F.concat(F.lit("\n\t"), text, F.lit(" "))).alias("bare"))
+@query("strip_text", f"SELECT doc_id, {_strip('chr(10) || chr(9) || text || chr(32)')} AS bare FROM documents")
+def strip_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.strip(F.concat(F.lit("\n\t"), "text", F.lit(" "))).alias("bare"))
 
 
 @query(
@@ -148,10 +149,10 @@ def strip_text(spark, sf, whole=False):
     """SELECT doc_id, array_to_string(list_filter(string_split_regex(translate(lower(t), '?,', '  '), '\\s+'), lambda x: x <> ''), '|') AS tokens_a,
     array_to_string(list_filter(string_split_regex(lower(trim(t)), '\\s+'), lambda x: x <> ''), '|') AS tokens_b,
     len(list_filter(string_split_regex(lower(trim(t)), '\\s+'), lambda x: x <> '')) = 1 AS single
-    FROM (SELECT doc_id, substring(text, 1, 5 + doc_id % 60) || '?' AS t FROM documents)""",
+    FROM (SELECT doc_id, text || '?' AS t FROM documents)""",
 )
-def query_tokens(spark, sf, whole=False):
-    t = F.concat(F.col("text") if whole else F.substr("text", F.lit(1), (5 + F.col("doc_id") % 60).cast("int")), F.lit("?"))
+def query_tokens(spark, sf):
+    t = F.concat("text", F.lit("?"))
     b = T.query_tokens_b(t)
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.query_tokens_a(t), "|").alias("tokens_a"), F.array_join(b, "|").alias("tokens_b"), (F.size(b) == 1).alias("single"))
 
@@ -225,17 +226,19 @@ def build_chunks_a(spark, sf):
 # ---- retrieval -----------------------------------------------------------------------
 
 
-#: Characters of a document that the queries on DOC_CHUNKS search; the queries named ``_whole`` search all.
-PREFIX = 400
+#: The number of a document's chunks in ``chunk_ord``: document times this, plus chunk.
+PER_DOC = 1 << 24
 
 
-def doc_chunks(spark, sf, chars: int | None = PREFIX) -> DataFrame:
-    """Each document's first ``chars`` characters (None: all of them) as one chunk, with a number for ties."""
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    return corpus(spark, sf).select(F.col("doc_id").alias("chunk_ord"), F.col("path").alias("doc_path"), F.lit(0).alias("chunk_id"), text.alias("chunk_text"))
+def doc_chunks(spark, sf) -> DataFrame:
+    """The chunks of all documents in engine B's geometry, with a number for ties."""
+    made = chunk.chunk_b(corpus(spark, sf).select("doc_id", F.col("path").alias("doc_path"), "text"))
+    return made.select((F.col("doc_id") * PER_DOC + F.col("chunk_id")).alias("chunk_ord"), "doc_path", "chunk_id", "chunk_text")
 
 
-DOC_CHUNKS = f"{CORPUS}, k AS (SELECT doc_id AS chunk_ord, path AS doc_path, stem, 0 AS chunk_id, substring(text, 1, 400) AS chunk_text FROM q)"
+_CHUNK_NO = "row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1"
+DOC_CHUNKS = f"""{CORPUS}, {_windows_sql('text', 1500, 1350, 'doc_id, path, stem', 'q')},
+k AS (SELECT doc_id * {PER_DOC} + {_CHUNK_NO} AS chunk_ord, path AS doc_path, stem, {_CHUNK_NO} AS chunk_id, chunk_text FROM w WHERE chunk_text <> '')"""
 
 
 def _asked(spark, rows: tuple) -> DataFrame:
@@ -249,8 +252,8 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 @query("lexical_a", f"WITH {DOC_CHUNKS}, {_LEXICAL} SELECT query_id, rank, chunk_ord, round(score, 6) AS score FROM lex")
-def lexical_a(spark, sf, chars=PREFIX):
-    hits = retrieve.lexical_a(doc_chunks(spark, sf, chars), _asked(spark, ASKED), 8, "doc_path")
+def lexical_a(spark, sf):
+    hits = retrieve.lexical_a(doc_chunks(spark, sf), _asked(spark, ASKED), 8, "doc_path")
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_ord", F.round("score", 6).alias("score"))
 
 
@@ -262,8 +265,8 @@ kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 @query("keyword_b", f"WITH {DOC_CHUNKS}, {_keyword_sql(KEYWORDS)} SELECT query_id, rank, doc_path, chunk_id::BIGINT AS chunk_id, round(score, 6) AS score FROM kw")
-def keyword_b(spark, sf, chars=PREFIX):
-    hits = retrieve.keyword_b(doc_chunks(spark, sf, chars), _asked(spark, KEYWORDS), 8)
+def keyword_b(spark, sf):
+    hits = retrieve.keyword_b(doc_chunks(spark, sf), _asked(spark, KEYWORDS), 8)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
@@ -287,22 +290,40 @@ def _vectors(spark, sf, step: int, k: int) -> DataFrame:
     return retrieve.vector_topk(every, queries, k, "vec_id")
 
 
-@query("vector_topk", f"WITH {_vector_sql('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 500 = 0', 10)} SELECT query_id, rank, chunk_ord, score FROM vec")
-def vector_topk(spark, sf, step=500):
-    return _vectors(spark, sf, step, 10).withColumn("rank", F.col("rank").cast("long"))
+@query("vector_topk", f"WITH {_vector_sql('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0', 10)} SELECT query_id, rank, chunk_ord, score FROM vec")
+def vector_topk(spark, sf):
+    """The stated query set, every id divisible by 50, against all vectors."""
+    return _vectors(spark, sf, 50, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("vector_topk_multi", f"WITH {_vector_sql('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0', 8)} SELECT query_id, rank, chunk_ord, score FROM vec")
 def vector_topk_multi(spark, sf):
-    """The stated query set, every id divisible by 50, against all vectors."""
     return _vectors(spark, sf, 50, 8).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("lexical_fallback", f"WITH {DOC_CHUNKS}, {_LEXICAL}, {_vector_sql('SELECT 0 AS query_id, embedding FROM embeddings WHERE vec_id = 0', 8)} SELECT query_id::BIGINT AS query_id, rank, chunk_ord, score FROM vec UNION ALL SELECT query_id, rank, chunk_ord, round(score, 6) FROM lex WHERE query_id NOT IN (SELECT query_id FROM vec)")
-def lexical_fallback(spark, sf, chars=PREFIX):
-    every = table(spark, sf, "embeddings")
-    vec = retrieve.vector_topk(every, every.filter("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding"), 8, "vec_id")
-    lex = retrieve.lexical_a(doc_chunks(spark, sf, chars), _asked(spark, ASKED), 8, "doc_path").select("query_id", "rank", "score", "chunk_ord")
+#: Questions of the queries that search both ways: every vector id divisible by 50 asks with its vector and with one of some texts.
+_ASKS = "asks AS (SELECT vec_id AS query_id, (vec_id // 50) % {n} AS text_no FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def _asks(spark, sf, rows: tuple) -> DataFrame:
+    """``query_id, question, text_no, embedding, label``; only the texts are few."""
+    every = table(spark, sf, "embeddings").filter("vec_id % 50 = 0").withColumn("text_no", F.floor(F.col("vec_id") / 50) % len(rows))
+    texts = spark.createDataFrame(list(rows), "text_no long, question string")
+    return every.join(F.broadcast(texts), "text_no").select(F.col("vec_id").alias("query_id"), "question", "text_no", "embedding", "label")
+
+
+@query(
+    "lexical_fallback",
+    f"""WITH {DOC_CHUNKS}, {_LEXICAL}, {_ASKS.format(n=3)}, {_vector_sql('SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0 AND label % 2 = 0', 8)}
+    SELECT query_id, rank, chunk_ord, score FROM vec UNION ALL
+    SELECT asks.query_id, rank, chunk_ord, round(score, 6) FROM lex JOIN asks ON lex.query_id = asks.text_no WHERE asks.query_id NOT IN (SELECT query_id FROM vec)""",
+)
+def lexical_fallback(spark, sf):
+    """Questions of odd label got no vector: lexical hits stand in for them."""
+    asks = _asks(spark, sf, ASKED)
+    vec = retrieve.vector_topk(table(spark, sf, "embeddings"), asks.filter("label % 2 = 0").select("query_id", "embedding"), 8, "vec_id")
+    lex = retrieve.lexical_a(doc_chunks(spark, sf), _asked(spark, ASKED), 8, "doc_path").select(F.col("query_id").alias("text_no"), "rank", "score", "chunk_ord")
+    lex = lex.join(asks.select("query_id", "text_no"), "text_no").select("query_id", "rank", "score", "chunk_ord")
     return retrieve.fallback(vec, lex).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_ord", F.round("score", 6).alias("score"))
 
 
@@ -322,39 +343,40 @@ def expand_question(spark, sf):
 @query(
     "search_many_merge",
     f"""WITH {DOC_CHUNKS}, {_LEXICAL},
-    m AS (SELECT 0 AS query_id, lex.query_id AS variant, rank, score, split_part(doc_path, '/', 1) AS source_path, substring(chunk_text, 1, 3) AS chunk_text FROM lex JOIN k USING (chunk_ord)),
+    m AS (SELECT 0 AS query_id, lex.query_id AS variant, rank, score, doc_path AS source_path, chunk_text FROM lex JOIN k USING (chunk_ord)),
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_path, substring(chunk_text, 1, 80) ORDER BY variant, rank) AS n FROM m) WHERE n = 1)
     SELECT variant, rank, source_path, chunk_text, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, variant, rank) AS merged_rank FROM f""",
 )
-def search_many_merge(spark, sf, whole=False):
-    chunks = doc_chunks(spark, sf, None if whole else PREFIX)
-    hits = retrieve.lexical_a(chunks, _asked(spark, ASKED), 8, "doc_path")
-    hits = hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("variant"), "rank", "score", (F.col("doc_path") if whole else F.substring_index("doc_path", "/", 1)).alias("source_path"), (F.col("chunk_text") if whole else F.substring("chunk_text", 1, 3)).alias("chunk_text"))
+def search_many_merge(spark, sf):
+    """Three variants of one question; chunks with one path and equal first 80 characters are one hit."""
+    hits = retrieve.lexical_a(doc_chunks(spark, sf), _asked(spark, ASKED), 8, "doc_path")
+    hits = hits.select(F.lit(0).alias("query_id"), F.col("query_id").alias("variant"), "rank", "score", F.col("doc_path").alias("source_path"), "chunk_text")
     merged = retrieve.merge_variants(hits)
     return merged.select("variant", F.col("rank").cast("long").alias("rank"), "source_path", "chunk_text", F.round("score", 6).alias("score"), F.col("merged_rank").cast("long").alias("merged_rank"))
 
 
-#: The vector side of the hybrid queries: question i asks with vector i, and vector i stands for document i.
-_PAIRED = f"""WITH {DOC_CHUNKS}, {_keyword_sql(KEYWORDS)}, {_vector_sql("SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 6", 12)},
-vh AS (SELECT vec.query_id, vec.rank, vec.score, k.doc_path, k.chunk_id, k.chunk_text FROM vec JOIN k USING (chunk_ord)),
+#: Vector i stands for the first chunk of document i.
+_PAIRED = f"""WITH {DOC_CHUNKS}, {_keyword_sql(KEYWORDS)}, {_ASKS.format(n=6)}, {_vector_sql("SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0", 12)},
+vh AS (SELECT vec.query_id, vec.rank, vec.score, k.doc_path, k.chunk_id, k.chunk_text FROM vec JOIN k ON k.chunk_ord = vec.chunk_ord * {PER_DOC}),
+kh AS (SELECT asks.query_id, kw.rank, kw.score, kw.doc_path, kw.chunk_id, kw.chunk_text FROM kw JOIN asks ON kw.query_id = asks.text_no),
 un AS (SELECT query_id, rank, score, doc_path, chunk_id, chunk_text, 0 AS src FROM vh UNION ALL
-  SELECT query_id, rank, score + 0.05::DOUBLE, doc_path, chunk_id, chunk_text, 1 FROM kw WHERE (query_id, doc_path) NOT IN (SELECT (query_id, doc_path) FROM vh)),
+  SELECT query_id, rank, score + 0.05::DOUBLE, doc_path, chunk_id, chunk_text, 1 FROM kh WHERE (query_id, doc_path, chunk_id) NOT IN (SELECT (query_id, doc_path, chunk_id) FROM vh)),
 mg AS (SELECT * FROM (SELECT query_id, score, doc_path, chunk_id, chunk_text, src, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, rank) AS rank FROM un) WHERE rank <= 12),
 best AS (SELECT query_id, bv, bk, coalesce(bv >= 0.22, false) OR coalesce(bk >= 0.6, false) AS use_context FROM
-  (SELECT query_id, max(score) AS bv FROM vh GROUP BY 1) FULL JOIN (SELECT query_id, max(score) AS bk FROM kw GROUP BY 1) USING (query_id))"""
+  (SELECT query_id, max(score) AS bv FROM vh GROUP BY 1) FULL JOIN (SELECT query_id, max(score) AS bk FROM kh GROUP BY 1) USING (query_id))"""
 
 
-def _sides(spark, sf, chars: int | None = PREFIX) -> tuple[DataFrame, DataFrame]:
-    chunks, every = doc_chunks(spark, sf, chars), table(spark, sf, "embeddings")
+def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    chunks, every, asks = doc_chunks(spark, sf), table(spark, sf, "embeddings"), _asks(spark, sf, KEYWORDS)
     fields = ("query_id", "rank", "score", "doc_path", "chunk_id", "chunk_text")
-    kw = retrieve.keyword_b(chunks, _asked(spark, KEYWORDS), 8).select(*fields)
-    vec = retrieve.vector_topk(every, every.filter("vec_id < 6").select(F.col("vec_id").alias("query_id"), "embedding"), 12, "vec_id")
-    return vec.join(chunks, "chunk_ord").select(*fields), kw
+    kw = retrieve.keyword_b(chunks, _asked(spark, KEYWORDS), 8).withColumnRenamed("query_id", "text_no").join(asks.select("query_id", "text_no"), "text_no").select(*fields)
+    near = retrieve.vector_topk(every, asks.select("query_id", "embedding"), 12, "vec_id").withColumn("chunk_ord", F.col("chunk_ord") * PER_DOC)
+    return materialize(near.join(chunks, "chunk_ord").select(*fields), "vector-side"), materialize(kw, "keyword-side")
 
 
 @query("hybrid_merge", f"{_PAIRED} SELECT query_id, rank, doc_path, chunk_id::BIGINT AS chunk_id, round(score, 6) AS score, src::BIGINT AS src FROM mg")
-def hybrid_merge(spark, sf, chars=PREFIX):
-    merged = retrieve.merge_hybrid(*_sides(spark, sf, chars), 12)
+def hybrid_merge(spark, sf):
+    merged = retrieve.merge_hybrid(*_sides(spark, sf), 12)
     return merged.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("src").cast("long").alias("src"))
 
 
@@ -366,19 +388,20 @@ _ROUTES = ((0, "the on"), (1, "der die"), (2, "THE"), (3, "  "), (4, "nosuchword
 
 
 @query("policy_gate", f"{_PAIRED} SELECT query_id, round(bv, 6) AS best_vector, round(bk, 6) AS best_keyword, use_context FROM best")
-def policy_gate(spark, sf, chars=PREFIX):
+def policy_gate(spark, sf):
     gate = pack.use_context(F.col("best_vector"), F.col("best_keyword"), Policy())
-    return _best(*_sides(spark, sf, chars)).select("query_id", F.round("best_vector", 6).alias("best_vector"), F.round("best_keyword", 6).alias("best_keyword"), gate.alias("use_context"))
+    return _best(*_sides(spark, sf)).select("query_id", F.round("best_vector", 6).alias("best_vector"), F.round("best_keyword", 6).alias("best_keyword"), gate.alias("use_context"))
 
 
 @query(
     "answer_route",
-    f"""{_PAIRED} SELECT r.query_id::BIGINT AS query_id, CASE WHEN trim(question) = '' THEN 'empty' WHEN NOT coalesce(bv >= 1.5, false) AND NOT coalesce(bk >= 0.6, false) THEN 'not_found'
-    WHEN len(list_filter(string_split_regex(trim(question), '\\s+'), lambda x: x <> '')) = 1 THEN 'snippet' ELSE 'context' END AS route FROM {values(_ROUTES, 'query_id, question').replace(' v(', ' r(')} LEFT JOIN best USING (query_id)""",
+    f"""{_PAIRED} SELECT asks.query_id, CASE WHEN trim(question) = '' THEN 'empty' WHEN NOT coalesce(bv >= 1.5, false) AND NOT coalesce(bk >= 0.6, false) THEN 'not_found'
+    WHEN len(list_filter(string_split_regex(trim(question), '\\s+'), lambda x: x <> '')) = 1 THEN 'snippet' ELSE 'context' END AS route
+    FROM asks JOIN {values(_ROUTES, 'text_no, question').replace(' v(', ' r(')} USING (text_no) LEFT JOIN best USING (query_id)""",
 )
-def answer_route(spark, sf, chars=PREFIX):
+def answer_route(spark, sf):
     p = Policy(vector_min_score=1.5, allow_general_fallback=False)
-    rows = _asked(spark, _ROUTES).join(_best(*_sides(spark, sf, chars)), "query_id", "left")
+    rows = _asks(spark, sf, _ROUTES).join(_best(*_sides(spark, sf)), "query_id", "left")
     return rows.select("query_id", pack.route(F.col("question"), pack.use_context(F.col("best_vector"), F.col("best_keyword"), p), p).alias("route"))
 
 
@@ -390,16 +413,16 @@ x AS (SELECT query_id, string_agg('source_path: ' || doc_path || chr(10) || chun
 a AS (SELECT query_id::BIGINT AS query_id, question, coalesce(context, '{NO_CONTEXT_A}') AS context FROM {values((*ASKED, (9, "qqqqq zzzzz")), 'query_id, question')} LEFT JOIN x USING (query_id))"""
 
 
-def _context_rows(spark, sf, chars: int | None = PREFIX) -> DataFrame:
+def _context_rows(spark, sf) -> DataFrame:
     asked = _asked(spark, (*ASKED, (9, "qqqqq zzzzz")))
-    hits = retrieve.lexical_a(doc_chunks(spark, sf, chars).withColumnRenamed("doc_path", "source_path"), asked, 8)
+    hits = retrieve.lexical_a(doc_chunks(spark, sf).withColumnRenamed("doc_path", "source_path"), asked, 8)
     rows = pack.gather(hits, 8, "rank", ("source_path", "chunk_text"))
     return asked.join(rows, "query_id", "left").withColumn("pieces", pack.context_a(F.col("hits"), 8))
 
 
 @query("context_a", f"{_CONTEXT_A} SELECT query_id, context FROM a")
-def context_a(spark, sf, chars=PREFIX):
-    return _context_rows(spark, sf, chars).select("query_id", F.array_join("pieces", "\n\n---\n\n").alias("context"))
+def context_a(spark, sf):
+    return _context_rows(spark, sf).select("query_id", F.array_join("pieces", "\n\n---\n\n").alias("context"))
 
 
 def _quoted(text: str) -> str:
@@ -407,25 +430,25 @@ def _quoted(text: str) -> str:
 
 
 @query("prompt_a", f"{_CONTEXT_A} SELECT query_id, {_quoted(PROMPT_A_HEAD + 'Context:' + chr(10))} || context || {_quoted(chr(10) * 2 + 'Question:' + chr(10))} || question || {_quoted(chr(10) * 2 + 'Answer:')} AS prompt FROM a")
-def prompt_a(spark, sf, chars=PREFIX):
-    return _context_rows(spark, sf, chars).select("query_id", pack.prompt_a(F.col("question"), F.col("pieces")).alias("prompt"))
+def prompt_a(spark, sf):
+    return _context_rows(spark, sf).select("query_id", pack.prompt_a(F.col("question"), F.col("pieces")).alias("prompt"))
 
 
 _TAG = "printf('[source=%s chunk=%d score=%.4f]', doc_path, chunk_id, score)"
 
 
 @query("snippet_b", f"WITH {DOC_CHUNKS}, {_keyword_sql(KEYWORDS)} SELECT query_id, string_agg({_TAG} || chr(10) || substring(chunk_text, 1, 120), chr(10) || chr(10) ORDER BY rank) AS snippet FROM kw WHERE rank <= 6 GROUP BY query_id")
-def snippet_b(spark, sf, chars=PREFIX):
-    kw = retrieve.keyword_b(doc_chunks(spark, sf, chars), _asked(spark, KEYWORDS), 8)
+def snippet_b(spark, sf):
+    kw = retrieve.keyword_b(doc_chunks(spark, sf), _asked(spark, KEYWORDS), 8)
     return pack.gather(kw, 8).select("query_id", pack.snippet(F.col("hits"), Policy(), 120).alias("snippet"))
 
 
 _FIT = SettingsB(n_ctx=420, max_tokens=100)
 
 
-def _fit_rows(spark, sf, chars: int | None = PREFIX) -> DataFrame:
-    merged = retrieve.merge_hybrid(*_sides(spark, sf, chars), 12)
-    return pack.fit_context(_asked(spark, KEYWORDS).join(pack.gather(merged, 12), "query_id"), _FIT)
+def _fit_rows(spark, sf) -> DataFrame:
+    merged = retrieve.merge_hybrid(*_sides(spark, sf), 12)
+    return pack.fit_context(_asks(spark, sf, KEYWORDS).select("query_id", "question").join(pack.gather(merged, 12), "query_id"), _FIT)
 
 
 _FIT_SQL = f"""{_PAIRED}, nh AS (SELECT query_id, max(rank) AS n FROM mg GROUP BY 1),
@@ -435,20 +458,20 @@ st AS (SELECT query_id, chars, n AS n_hits, row_number() OVER () * 0 + s AS stat
 cx AS (SELECT st.query_id, st.state, st.chars, st.n_hits, string_agg({_TAG} || chr(10) || substring(chunk_text, 1, st.chars), chr(10) || chr(10) ORDER BY rank) AS context
   FROM st JOIN mg ON mg.query_id = st.query_id AND mg.rank <= least(st.n_hits, 6) GROUP BY ALL),
 pr AS (SELECT cx.*, {_quoted('SYSTEM:' + chr(10) + SYSTEM_PROMPT + chr(10) * 2 + 'USER:' + chr(10) + 'CONTEXT:' + chr(10))} || context || {_quoted(chr(10) * 2 + 'QUESTION:' + chr(10))} || question || chr(10) AS prompt
-  FROM cx JOIN {values(KEYWORDS, 'query_id, question')} USING (query_id)),
+  FROM cx JOIN asks USING (query_id) JOIN {values(KEYWORDS, 'text_no, question')} USING (text_no)),
 tk AS (SELECT *, len(list_filter(string_split_regex(prompt, '\\s+'), lambda x: x <> '')) AS tokens FROM pr),
 ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN tokens + 100 <= 420 THEN state ELSE 1000 - state END) AS pick FROM tk)"""
 
 
 @query("context_fit", f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, chars::BIGINT AS chars, n_hits::BIGINT AS n_hits, tokens::BIGINT AS tokens, state::BIGINT AS state, tokens + 100 <= 420 AS fits FROM ch WHERE pick = 1")
-def context_fit(spark, sf, chars=PREFIX):
-    fit = _fit_rows(spark, sf, chars).select("query_id", "fit.*")
+def context_fit(spark, sf):
+    fit = _fit_rows(spark, sf).select("query_id", "fit.*")
     return fit.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("chars", "n_hits", "tokens", "state")], "fits")
 
 
 @query("prompt_b", f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, prompt FROM ch WHERE pick = 1")
-def prompt_b(spark, sf, chars=PREFIX):
-    rows = _fit_rows(spark, sf, chars)
+def prompt_b(spark, sf):
+    rows = _fit_rows(spark, sf)
     context = pack.shown(F.slice("hits", F.lit(1), F.col("fit.n_hits")), F.col("fit.chars"), Policy())
     return rows.select("query_id", pack.prompt_text(pack.messages(F.col("question"), context, SYSTEM_PROMPT)).alias("prompt"))
 
@@ -456,10 +479,13 @@ def prompt_b(spark, sf, chars=PREFIX):
 # ---- index state, trees, graphs, language ----------------------------------------------
 
 
-@query("fingerprint", "SELECT sha256(string_agg(source || '/' || doc_id || doc_id || n_chars, '' ORDER BY doc_id)) AS fingerprint, count(*) AS n_files FROM documents WHERE doc_id < 5000")
-def fingerprint_query(spark, sf, files_below=5000):
-    rows = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("file_ord"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("mtime"), F.col("n_chars").alias("size"))
-    return fingerprint.fingerprint(rows if files_below is None else rows.filter(F.col("doc_id") < files_below))
+@query(
+    "fingerprint",
+    """WITH b AS (SELECT doc_id // 5000 AS block, sha256(string_agg(source || '/' || doc_id || doc_id || n_chars, '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1)
+    SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY block)) END AS fingerprint, sum(n)::BIGINT AS n_files FROM b""",
+)
+def fingerprint_query(spark, sf):
+    return fingerprint.fingerprint(table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("file_ord"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").alias("mtime"), F.col("n_chars").alias("size")))
 
 
 @query("changed_files", "SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'gone' ELSE 'modified' END AS change FROM documents WHERE doc_id % 10 < 3")
@@ -474,11 +500,9 @@ def section_level(spark, sf):
     return tree.sections(corpus(spark, sf)).select("doc_id", F.col("depth").cast("long").alias("depth"), "command")
 
 
-@query("compile_tree", f"WITH {CORPUS} SELECT split_part(path, '/', 1) AS source_dir, string_agg('\\' || (['chapter', 'section', 'subsection', 'subsubsection'])[len(parts)] || '{{' || stem || '}}' || chr(10) || substring(text, 1, 50), chr(10) ORDER BY {_WALK}) AS source, count(*) AS n_parts FROM q GROUP BY 1")
-def compile_tree(spark, sf, chars=50):
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    rows = corpus(spark, sf).withColumn("text", text).withColumn("source_dir", F.substring_index("path", "/", 1))
-    return tree.compile_tree(rows, "source_dir")
+@query("compile_tree", f"WITH {CORPUS}, h AS (SELECT *, (['chapter', 'section', 'subsection', 'subsubsection'])[len(parts)] AS command FROM q) SELECT split_part(path, '/', 1) AS source_dir, row_number() OVER (PARTITION BY split_part(path, '/', 1) ORDER BY {_WALK}) AS part, command, '\\' || command || '{{' || stem || '}}' || chr(10) || text AS source FROM h")
+def compile_tree(spark, sf):
+    return tree.compile_tree(corpus(spark, sf).withColumn("source_dir", F.substring_index("path", "/", 1)), "source_dir")
 
 
 @query("extended_levels", "SELECT i::BIGINT AS depth, CASE WHEN i = 0 THEN 'part' WHEN i = 1 THEN 'chapter' ELSE repeat('sub', (i - 2)::INT) || 'section' END AS command FROM range(0, 12) r(i)")
@@ -540,23 +564,34 @@ def node_color_default(spark, sf):
     return graph.node_colors(spark.createDataFrame(rows, "id string, attrs map<string,string>"))
 
 
-BUSES = [("bus_1", 47.0, 15.0, 100.0), ("bus_2", 47.1, 15.1, 150.0), ("bus_3", 47.2, 15.0, 200.0), ("bus_4", 47.0, 15.2, 120.0)]
-LINES = [("bus_1", "bus_2", 0.01, 500.0), ("bus_2", "bus_3", 0.02, 400.0), ("bus_3", "bus_4", 0.015, 450.0), ("bus_4", "bus_1", 0.018, 300.0)]
+@query(
+    "geo_cluster_agg",
+    """WITH g AS (SELECT s_suppkey AS id, s_nationkey < 12 AS west, CASE WHEN s_nationkey < 12 THEN 10 ELSE 60 END + (s_suppkey % 7) / 10.0 AS lat,
+      CASE WHEN s_nationkey < 12 THEN 10 ELSE 100 END + (s_suppkey % 5) / 10.0 AS lon, s_acctbal AS load FROM supplier)
+    SELECT min(id) AS cluster, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, round(sum(load), 2) AS load, count(*) AS members FROM g GROUP BY west""",
+)
+def geo_cluster_agg(spark, sf):
+    """Suppliers of two regions far apart, so that k-means has one answer."""
+    west, i = F.col("s_nationkey") < 12, F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(i.alias("id"), (F.when(west, 10).otherwise(60) + (i % 7) / 10).alias("lat"), (F.when(west, 10).otherwise(100) + (i % 5) / 10).alias("lon"), F.col("s_acctbal").alias("load"))
+    nodes = graph.aggregate_clusters(graph.geo_clusters(rows))[0]
+    return nodes.select("cluster", *[F.round(c, n).alias(c) for c, n in (("lat", 6), ("lon", 6), ("load", 2))], "members")
 
 
-@query("geo_cluster_agg")
-def geo_cluster_agg(spark, sf):
-    told = graph.geo_clusters(spark.createDataFrame(BUSES, "id string, lat double, lon double, load double"))
-    return graph.aggregate_clusters(told, spark.createDataFrame(LINES, "src string, dst string, x double, p_max double"))[0]
+@query("dot_source", "SELECT 'node' AS kind, '  \"' || n_name || '\" [style=filled, fillcolor=\"' || CASE WHEN n_regionkey = 1 THEN 'red' ELSE 'lightblue' END || '\"];' AS line FROM nation UNION ALL SELECT 'edge', '  \"' || n_name || '\" -- \"' || r_name || '\";' FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dot_source(spark, sf):
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    attrs = F.when(F.col("n_regionkey") == 1, F.create_map(F.lit("color"), F.lit("red")))
+    edges = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    return graph.dot_source(n.select(F.col("n_name").alias("id"), attrs.alias("attrs")), edges)
 
 
-_BUCKETS = """SELECT doc_id, b, count(*)::DOUBLE AS n FROM (SELECT doc_id, ('0x' || substring(md5(w), 1, 7))::BIGINT % 16 AS b FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(substring(text, 1, 300)), '\\s+'), lambda x: x <> '')) AS w FROM documents)) GROUP BY ALL"""
+_BUCKETS = """SELECT doc_id, b, count(*)::DOUBLE AS n FROM (SELECT doc_id, ('0x' || substring(md5(w), 1, 7))::BIGINT % 16 AS b FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents)) GROUP BY ALL"""
 
 
 @query("hash_embed", f"WITH h AS ({_BUCKETS}), z AS (SELECT doc_id, sqrt(sum(n * n)) AS s FROM h GROUP BY 1) SELECT doc_id, b AS bucket, round(n / s, 6) AS x FROM h JOIN z USING (doc_id)")
-def hash_embed(spark, sf, chars=300):
-    text = F.col("text") if chars is None else F.substring("text", 1, chars)
-    rows = embed.hash_embed(table(spark, sf, "documents").select("doc_id", text.alias("chunk_text")), dim=16)
+def hash_embed(spark, sf):
+    rows = embed.hash_embed(table(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk_text")), dim=16)
     flat = rows.select("doc_id", F.posexplode("embedding").alias("bucket", "x")).filter("x <> 0")
     return flat.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 6).alias("x"))
 
@@ -569,49 +604,260 @@ def kv_embed_concat(spark, sf):
     return both.select("event_id", at(1, 8).alias("key_at"), (8 + at(9, 8)).alias("value_at"))
 
 
-@query("hybrid_end_to_end")
-def hybrid_end_to_end(spark, sf):
-    """Engine B over chunked documents with the hash embedder: ingest, index, retrieve, route, pack."""
-    from corpusmill.plans import engines
+# ---- whole engines -----------------------------------------------------------------------
+
+
+def _near_sql(asked: str, k: int, dim: int = 64) -> str:
+    """The ``k`` chunks of ``k`` nearest to each row of ``asked`` (query_id, text) by the hash embedder, zeros included."""
+    words = "unnest(list_filter(string_split_regex(lower(x), '\\s+'), lambda w: w <> ''))"
+    vector = lambda source: f"(SELECT id, b, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM (SELECT id, ('0x' || substring(md5(w), 1, 7))::BIGINT % {dim} AS b, count(*)::DOUBLE AS n FROM (SELECT id, {words} AS w FROM {source}) GROUP BY ALL))"
+    return f"""va AS {vector(f"(SELECT query_id AS id, text AS x FROM {asked})")}, vb AS {vector("(SELECT chunk_ord AS id, chunk_text AS x FROM k)")},
+dots AS (SELECT va.id AS query_id, vb.id AS chunk_ord, sum(va.x * vb.x) AS score FROM va JOIN vb USING (b) GROUP BY ALL),
+vec AS (SELECT * FROM (SELECT q.query_id, k.chunk_ord, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(coalesce(score, 0), 6) DESC, k.chunk_ord) AS rank
+  FROM {asked} q CROSS JOIN k LEFT JOIN dots ON dots.query_id = q.query_id AND dots.chunk_ord = k.chunk_ord) WHERE rank <= {k})"""
+
+
+_TAIL = "len(list_filter(string_split_regex(trim(question), '\\s+'), lambda x: x <> ''))"
+_HEADED = f"'__DOC_PATH__ ' || path || chr(10) || '__DOC_STEM__ ' || stem || chr(10) || '__DOC_TOKENS__ ' || {_TOKENS} || chr(10) || chr(10) || text"
+
 
+@query(
+    "hybrid_end_to_end",
+    f"""WITH {CORPUS}, {_windows_sql(_HEADED, 1500, 1350, 'doc_id, path, stem', 'q')},
+    k AS (SELECT doc_id * {PER_DOC} + {_CHUNK_NO} AS chunk_ord, path AS doc_path, stem, {_CHUNK_NO} AS chunk_id, chunk_text FROM w WHERE chunk_text <> ''),
+    {_keyword_sql(KEYWORDS).replace('rank <= 8', 'rank <= 12')}, qs AS (SELECT query_id::BIGINT AS query_id, question AS text FROM {values(KEYWORDS, 'query_id, question')}), {_near_sql('qs', 12)},
+    vh AS (SELECT vec.*, k.doc_path, k.chunk_id, k.chunk_text FROM vec JOIN k USING (chunk_ord)),
+    un AS (SELECT query_id, rank, score, doc_path, chunk_id, chunk_text, 0 AS src FROM vh UNION ALL
+      SELECT query_id, rank, score + 0.05::DOUBLE, doc_path, chunk_id, chunk_text, 1 FROM kw WHERE (query_id, doc_path, chunk_id) NOT IN (SELECT (query_id, doc_path, chunk_id) FROM vh)),
+    mg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, rank) AS place FROM un) WHERE place <= 6),
+    cx AS (SELECT query_id, string_agg({_TAG} || chr(10) || substring(chunk_text, 1, 600), chr(10) || chr(10) ORDER BY place) AS context, string_agg({_TAG} || chr(10) || substring(chunk_text, 1, 800), chr(10) || chr(10) ORDER BY place) AS instead FROM mg GROUP BY 1),
+    sn AS (SELECT query_id, string_agg({_TAG} || chr(10) || substring(chunk_text, 1, 800), chr(10) || chr(10) ORDER BY rank) AS snippet FROM kw WHERE rank <= 6 GROUP BY 1),
+    best AS (SELECT query_id, max(score) AS bv FROM vh GROUP BY 1), bk AS (SELECT query_id, max(score) AS bk FROM kw GROUP BY 1),
+    r AS (SELECT query_id, text AS question, CASE WHEN NOT (coalesce(bv >= 0.22, false) OR coalesce(bk >= 0.6, false)) THEN 'general' WHEN {_TAIL.replace('question', 'text')} = 1 THEN 'snippet' ELSE 'context' END AS route FROM qs LEFT JOIN best USING (query_id) LEFT JOIN bk USING (query_id))
+    SELECT query_id, question, route, CASE WHEN route = 'snippet' THEN coalesce(snippet, instead) END AS reply,
+      CASE route WHEN 'context' THEN 'CONTEXT:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION:' || chr(10) || question WHEN 'general' THEN trim(question) END AS asked
+    FROM r LEFT JOIN cx USING (query_id) LEFT JOIN sn USING (query_id)""",
+)
+def hybrid_end_to_end(spark, sf):
+    """Engine B over all documents with the hash embedder: ingest, index, retrieve both ways, merge, route, pack."""
     docs = corpus(spark, sf).select(F.col("doc_id").alias("file_ord"), F.col("path").alias("source_path"), "text")
-    index = embed.embed(engines.ingest_b(docs), embed.HashEmbedder).cache()
-    return engines.ask_b(index, _asked(spark, KEYWORDS)).select("query_id", "question", "route", "reply", F.size("messages").alias("n_messages"))
+    settings = SettingsB(max_chunks_total=None, n_ctx=1 << 20)
+    index = materialize(embed.hash_embed(engines.ingest_b(docs, settings)), "index-b")
+    told = engines.ask_b(index, _asked(spark, KEYWORDS), settings=settings)
+    return told.select("query_id", "question", "route", "reply", F.get("messages", F.lit(1))["content"].alias("asked"))
 
 
-@query("ask_a_end_to_end")
+_ASK_A = ((0, "the embassy in vienna"), (1, "der die das"), (2, ""))
+
+
+@query(
+    "ask_a_end_to_end",
+    f"""WITH {CORPUS}, {_windows_sql("'source_path: ' || path || chr(10) || text", 1000, 800, 'doc_id, path', "(SELECT * FROM q WHERE lower(path) NOT LIKE '%.yaml')")},
+    k AS (SELECT doc_id * {PER_DOC} + i AS chunk_ord, path AS source_path, chunk_text FROM w WHERE chunk_text <> ''),
+    qs AS (SELECT * FROM (VALUES (0::BIGINT, 'the embassy in vienna'), (1, 'the embassy in vienna consulate'), (2, 'the embassy in wien'), (100, 'der die das')) v(query_id, text)), {_near_sql('qs', 8)},
+    h AS (SELECT query_id // 100 AS query_id, query_id % 100 AS variant, rank, score, source_path, chunk_text FROM vec JOIN k USING (chunk_ord)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_path, substring(chunk_text, 1, 80) ORDER BY variant, rank) AS n FROM h),
+    m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, variant, rank) AS place FROM f WHERE n = 1),
+    x AS (SELECT query_id, string_agg('source_path: ' || source_path || chr(10) || chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS context FROM m WHERE place <= 8 GROUP BY 1)
+    SELECT query_id::BIGINT AS query_id, question, {_quoted(PROMPT_A_HEAD + 'Context:' + chr(10))} || coalesce(context, '{NO_CONTEXT_A}') || {_quoted(chr(10) * 2 + 'Question:' + chr(10))} || question || {_quoted(chr(10) * 2 + 'Answer:')} AS prompt
+    FROM {values(_ASK_A, 'query_id, question')} LEFT JOIN x USING (query_id)""",
+)
 def ask_a_end_to_end(spark, sf):
     """Engine A: expanded questions, merged variants, prompt."""
-    from corpusmill.plans import engines
+    docs = corpus(spark, sf).filter(~F.lower("path").endswith(".yaml")).select(F.col("doc_id").alias("file_ord"), F.col("path").alias("source_path"), "text")
+    index = materialize(embed.hash_embed(engines.ingest_a(docs)), "index-a")
+    return engines.ask_a(index, _asked(spark, _ASK_A)).select("query_id", "question", "prompt")
 
-    docs = corpus(spark, sf).select(F.col("doc_id").alias("file_ord"), F.col("path").alias("source_path"), "text")
-    index = embed.embed(engines.ingest_a(docs), embed.HashEmbedder).cache()
-    return engines.ask_a(index, _asked(spark, ((0, "the embassy in vienna"), (1, "der die das")))).select("query_id", "question", "prompt")
 
+@query("embed_model", "SELECT doc_id, count(DISTINCT ('0x' || substring(md5(w), 1, 7))::BIGINT % 64) AS used FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:128]) AS o, lower(o) AS w FROM documents) GROUP BY 1")
+def embed_model(spark, sf):
+    """The model plug in Arrow batches, its input cut to 128 tokens."""
+    rows = engines.embed_b(table(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk_text")), embed.HashEmbedder, SettingsB(embed_n_ctx=100))
+    return rows.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("used"))
 
-# ---- whole texts: siblings of queries whose SQL fixes a cut ------------------------------
 
+@query("embed_letters", "SELECT vec_id, array_to_string(list_transform(embedding, lambda x: chr((97 + least(greatest(floor((x::DOUBLE + 1) / 2 * 26), 0), 25))::INT)), '') AS letters FROM embeddings")
+def embed_letters(spark, sf):
+    return lang.quantize(table(spark, sf, "embeddings").select("vec_id", "embedding")).select("vec_id", "letters")
 
-def _whole(name: str, *cuts: tuple[str, str], **settings: object) -> None:
-    """Registers ``name_whole``: the query over whole texts, with its SQL after ``cuts`` (each old, new) are lifted."""
-    sql = ORACLES[name]
-    for old, new in cuts:
-        if old not in sql:
-            raise ValueError(f"{name}: no {old!r} in its SQL")
-        sql = sql.replace(old, new)
-    query(f"{name}_whole", sql)(partial(QUERIES[name], **settings))
 
+# ---- sources, sinks, stores --------------------------------------------------------------
 
-for _name in ("lexical_a", "keyword_b", "lexical_fallback", "hybrid_merge", "policy_gate", "answer_route", "context_a", "prompt_a", "snippet_b", "context_fit", "prompt_b"):
-    _whole(_name, ("substring(text, 1, 400)", "text"), chars=None)
-_whole("strip_text", ("substring(text, 3, 40)", "text"), whole=True)
-_whole("query_tokens", ("substring(text, 1, 5 + doc_id % 60)", "text"), whole=True)
-_whole("search_many_merge", ("substring(text, 1, 400)", "text"), ("split_part(doc_path, '/', 1)", "doc_path"), ("substring(chunk_text, 1, 3)", "chunk_text"), whole=True)
-_whole("compile_tree", ("substring(text, 1, 50)", "text"), chars=None)
-_whole("hash_embed", ("substring(text, 1, 300)", "text"), chars=None)
-query(
-    "fingerprint_whole",
-    """WITH b AS (SELECT doc_id // 5000 AS block, sha256(string_agg(source || '/' || doc_id || doc_id || n_chars, '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1)
-    SELECT CASE WHEN count(*) = 1 THEN any_value(digest) ELSE sha256(string_agg(digest, '' ORDER BY block)) END AS fingerprint, sum(n)::BIGINT AS n_files FROM b""",
-)(partial(fingerprint_query, files_below=None))
-_whole("vector_topk", ("vec_id % 500 = 0", "vec_id % 50 = 0"), step=50)
+
+@query("decode_bytes", "SELECT doc_id, text || chr(65533) || chr(65533) || 'x' AS a, text || 'x' AS b FROM documents")
+def decode_bytes(spark, sf):
+    raw = F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FFFE78")))
+    rows = table(spark, sf, "documents").select("doc_id", raw.alias("content"))
+    return rows.select("doc_id", files.decode_a(F.col("content")).alias("a"), files.decode_b(F.col("content")).alias("b"))
+
+
+@query(
+    "scan_roots",
+    f"""WITH {CORPUS}, m AS (SELECT doc_id, parts[1] AS root, substring(path, length(parts[1]) + 2) AS rel, list_slice(parts, 2, len(parts)) AS below FROM q WHERE parts[1] IN ('src1', 'src0')),
+    o AS (SELECT *, array_to_string(list_transform(below, lambda x, i: CASE WHEN i = len(below) THEN '0' ELSE '1' END || x), chr(1)) AS key FROM m WHERE (lower(rel) LIKE '%_.md' OR lower(rel) LIKE '%_.schema.yaml') AND NOT list_has_any(below[:-2], ['node_modules', 'venv']))
+    SELECT doc_id, rel, row_number() OVER (ORDER BY root = 'src0', key) AS file_ord FROM o ORDER BY file_ord LIMIT 150""",
+)
+def scan_roots(spark, sf):
+    """Two roots, one relative, one after the other, with default sets and a cap over both."""
+    rows = corpus(spark, sf).withColumn("path", F.concat(F.lit("/r/"), "path"))
+    return files.scan_roots(rows, SettingsB(include_roots=("src1", "/r/src0"), max_files=150), "/r").select("doc_id", "rel", F.col("file_ord").cast("long").alias("file_ord"))
+
+
+@query("crawl_defaults", f"WITH {CORPUS} SELECT doc_id FROM q WHERE lower(suffix) IN ('.yaml', '.yml', '.md', '.txt', '.builder') AND NOT list_has_any(parts, ['.git', '__pycache__', '.venv', 'venv', 'node_modules', 'builder', 'dist', 'out'])")
+def crawl_defaults(spark, sf):
+    s = SettingsA()
+    return corpus(spark, sf).filter(files.crawl_filter(F.col("path"), s.extensions, s.ignored)).select("doc_id")
+
+
+def _place(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+@query("chunk_jsonl_roundtrip", f"WITH {DOC_CHUNKS} SELECT doc_path AS source_path, chunk_text FROM k")
+def chunk_jsonl_roundtrip(spark, sf):
+    path = _place(spark, "chunks-jsonl")
+    store.write_chunks_jsonl(doc_chunks(spark, sf), path, "doc_path")
+    return store.read_chunks_jsonl(spark, path)
+
+
+@query("index_meta", f"WITH {DOC_CHUNKS} SELECT 64::BIGINT AS dim, doc_path, chunk_id::BIGINT AS chunk_id, chunk_text FROM k")
+def index_meta(spark, sf):
+    """The metadata rows, and what they are read back to."""
+    lines = store.metadata_json(doc_chunks(spark, sf), 64).select(F.from_json("value", "dim long, chunk struct<doc_path:string,chunk_id:long,text:string>").alias("v"))
+    return lines.select("v.dim", "v.chunk.doc_path", "v.chunk.chunk_id", F.col("v.chunk.text").alias("chunk_text"))
+
+
+@query("tex_sink", f"WITH {CORPUS} SELECT line, count(*) AS n FROM (SELECT unnest(string_split('\\' || (['chapter', 'section', 'subsection', 'subsubsection'])[len(parts)] || '{{' || stem || '}}' || chr(10) || text, chr(10))) AS line FROM q) GROUP BY 1")
+def tex_sink(spark, sf):
+    """Compiled parts written as text and read again, line by line."""
+    path = _place(spark, "tex")
+    store.write_source(compile_tree(spark, sf), path)
+    return spark.read.option("lineSep", "\n").text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "index_state",
+    """SELECT step, built, n FROM (VALUES ('first', true), ('again', false), ('other settings', true), ('other files', true), ('reuse', false), ('rebuild', true), ('reload', true)) v(step, built), (SELECT count(*) AS n FROM documents)""",
+)
+def index_state(spark, sf):
+    """When an index over all documents is built and when it is reused."""
+    index, built, rows = store.IndexStore(spark, _place(spark, "index")), [], []
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("chunk_text"))
+
+    def build() -> DataFrame:
+        built.append(1)
+        return embed.hash_embed(docs, dim=8)
+
+    for step, mark, settings, mode in (("first", "f", 1, "auto"), ("again", "f", 1, "auto"), ("other settings", "f", 2, "auto"), ("other files", "g", 2, "auto"), ("reuse", "h", 2, "reuse"), ("rebuild", "g", 2, "rebuild"), ("reload", "", 2, "reload")):
+        before = len(built)
+        loaded = index.reload(build, "/no/instructions", settings)[0] if mode == "reload" else index.ensure(build, mark, settings, mode)
+        rows.append((step, len(built) > before, loaded.count()))
+    return spark.createDataFrame(rows, "step string, built boolean, n long")
+
+
+@query("candidate_depth", "SELECT * FROM (VALUES (1::BIGINT, 8::BIGINT), (8, 8), (12, 12), (200, 200)) v(top_k, depth)")
+def candidate_depth(spark, sf):
+    return spark.createDataFrame([(k, engines.candidate_depth(SettingsB(top_k=k))) for k in (1, 8, 12, 200)], "top_k long, depth long")
+
+
+@query("pretty_yaml", "SELECT n_name || '.yml' AS path, 'name: ' || n_name || chr(10) || 'key: ' || n_nationkey || chr(10) || 'in:' || chr(10) || '- a' || chr(10) || '- é' || chr(10) AS text FROM nation UNION ALL SELECT r_name || '.yaml', '{k: 1}' FROM region")
+def pretty_yaml(spark, sf):
+    flow = F.concat(F.lit("{name: "), "n_name", F.lit(", key: "), F.col("n_nationkey").cast("string"), F.lit(", in: [a, é]}"))
+    rows = table(spark, sf, "nation").select(F.concat("n_name", F.lit(".yml")).alias("path"), flow.alias("text"))
+    other = table(spark, sf, "region").select(F.concat("r_name", F.lit(".yaml")).alias("path"), F.lit("{k: 1}").alias("text"))
+    return flatten.pretty_yaml(rows.unionByName(other), "path")
+
+
+# ---- nodes, parts, texts -----------------------------------------------------------------
+
+
+def _nodes(spark, sf) -> DataFrame:
+    """Regions, their nations, their customers, as ``node_id, parent_id, ord, source``."""
+    r = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_regionkey").cast("long").alias("ord"), F.col("r_name").alias("source"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey").cast("long"), "n_name")
+    c = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey"), F.col("c_custkey").cast("long"), "c_name")
+    return r.union(n).union(c)
+
+
+_NODES = """t AS (SELECT 'r' || r_regionkey AS node_id, 'r' || r_regionkey AS root, 0 AS depth, [r_regionkey::BIGINT] AS key, r_name AS source FROM region UNION ALL
+  SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, [n_regionkey::BIGINT, n_nationkey::BIGINT], n_name FROM nation UNION ALL
+  SELECT 'c' || c_custkey, 'r' || n_regionkey, 2, [n_regionkey::BIGINT, n_nationkey::BIGINT, c_custkey::BIGINT], c_name FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("preorder", f"WITH {_NODES} SELECT node_id, root, depth::BIGINT AS depth, array_to_string(key, '/') AS key FROM t")
+def preorder(spark, sf):
+    return tree.preorder(_nodes(spark, sf)).select("node_id", "root", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("key").cast("array<string>"), "/").alias("key"))
+
+
+@query("composed", f"WITH {_NODES} SELECT root, row_number() OVER (PARTITION BY root ORDER BY key) AS part, source FROM t")
+def composed(spark, sf):
+    return tree.composed(_nodes(spark, sf))
+
+
+@query("preamble", "SELECT r_regionkey::BIGINT AS id, '\\documentclass{article}' || chr(10) || '\\title{' || r_name || '}' || CASE WHEN r_regionkey % 2 = 0 THEN chr(10) || '\\author{A}' ELSE '' END || chr(10) || '\\date{today}' AS head FROM region")
+def preamble(spark, sf):
+    i = F.col("r_regionkey")
+    return table(spark, sf, "region").select(i.cast("long").alias("id"), tree.preamble(F.col("r_name"), F.when(i % 2 == 0, F.lit("A")), F.lit("today")).alias("head"))
+
+
+@query("built_kinds", "SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 3 WHEN 0 THEN '\\section{' || n_name || '}' WHEN 1 THEN '\\begin{itemize}' || chr(10) || '\\item ' || n_name || chr(10) || '\\item end' || chr(10) || '\\end{itemize}' ELSE n_name END AS source FROM nation")
+def built_kinds(spark, sf):
+    """Each node's source by the builder of its kind."""
+    kinds = F.element_at(F.array(F.lit("heading"), F.lit("list"), F.lit("plain")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    builders = {"heading": F.concat(F.lit("\\section{"), "n_name", F.lit("}")), "list": tree.itemize(F.array("n_name", F.lit("end"))), "plain": F.col("n_name")}
+    return tree.build(table(spark, sf, "nation").withColumn("kind", kinds), builders).select(F.col("n_nationkey").cast("long").alias("id"), "source")
+
+
+@query("misplaced", "SELECT 'n' || n_nationkey AS node_id FROM nation WHERE n_regionkey % 2 = 0 AND n_nationkey % 3 <> 0")
+def misplaced(spark, sf):
+    """Below documents only lists may stand."""
+    r = table(spark, sf, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.when(F.col("r_regionkey") % 2 == 0, "document").otherwise("figure").alias("kind"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), F.when(F.col("n_nationkey") % 3 == 0, "itemize").otherwise("text"))
+    return tree.misplaced(r.union(n)).select("node_id")
+
+
+@query(
+    "comment_node",
+    """SELECT n_nationkey::BIGINT AS id, '\\node[gray, anchor=south west] (c' || n_nationkey || ') at ([xshift=2mm,yshift=6mm]' || n_name || '.north east) {\\shortstack{see}};' || chr(10) || '\\draw[dashed, gray, <-] (c' || n_nationkey || '.south west) -| (' || n_name || '.east);' AS at_right,
+    '\\node[gray, anchor=south east] (c' || n_nationkey || ') at ([xshift=-2mm,yshift=6mm]' || n_name || '.north west) {\\shortstack{see}};' || chr(10) || '\\draw[dashed, gray, <-] (c' || n_nationkey || '.south east) |- (' || n_name || '.west);' AS at_left FROM nation""",
+)
+def comment_node(spark, sf):
+    made = [T.comment_node(side, F.col("n_name"), F.concat(F.lit("c"), "n_nationkey"), F.lit("see"), F.lit("2mm")).alias(f"at_{side}") for side in ("right", "left")]
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), *made)
+
+
+@query(
+    "sentence_phrases",
+    """SELECT n_nationkey::BIGINT AS id, s::BIGINT AS sentence_no, p::BIGINT AS phrase_no, phrase FROM nation, LATERAL (VALUES (0, 0, n_name), (0, 1, 'one of 2.5 kinds.'), (1, 0, 'And then?!'), (2, 0, 'no'), (2, 1, 'end')) v(s, p, phrase)""",
+)
+def sentence_phrases(spark, sf):
+    text = F.concat("n_name", F.lit(", one of 2.5 kinds.  And then?! no; end"))
+    cut = lang.phrases(lang.sentences(table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), text.alias("text"))))
+    return cut.select("id", F.col("sentence_no").cast("long").alias("sentence_no"), F.col("phrase_no").cast("long").alias("phrase_no"), "phrase")
+
+
+@query("meanings", "SELECT DISTINCT n_regionkey::BIGINT AS meaning FROM nation")
+def meanings(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("meaning"))
+    return lang.store_meanings(rows, lang.store_meanings(rows))
+
+
+@query("completion", "SELECT n_nationkey::BIGINT AS id, 'to ' || n_name AS completion FROM nation")
+def completion(spark, sf):
+    """The model plug: the answer ends before the first stop string."""
+    prompts = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("prompt"))
+    return engines.complete(prompts, lambda: lambda p, s: f" to {p}{s.stop[0]} and more", sampling=Sampling()).select("id", "completion")
+
+
+@query("rewrite", "SELECT n_nationkey::BIGINT AS id, n_name AS en, CAST(NULL AS VARCHAR) AS fa, 'de ' || n_name AS de FROM nation")
+def rewrite(spark, sf):
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("text"))
+
+    def model():
+        def say(prompt, sampling):
+            said = prompt.rpartition("USER:\n")[2].strip()
+            return f"[EN]\n{said}\n[FA]\n\n[DE]\nde {said}"
+
+        return say
+
+    return engines.rewrite(rows, model).select("id", "en", "fa", "de")

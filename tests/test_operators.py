@@ -246,7 +246,7 @@ def test_embedders_agree_and_recover(spark):
 
 def test_compile(spark):
     rows = [("s", "b.md", "B"), ("s", "a/x.md", "X"), ("s", "a/c/y.md", "Y"), ("s", "z/q.md", "Q")]
-    out = tree.compile_tree(spark.createDataFrame(rows, "project string, path string, text string"), "project").first()
+    out = tree.joined(tree.compile_tree(spark.createDataFrame(rows, "project string, path string, text string"), "project"), "project").first()
     assert out.source == "\\chapter{b}\nB\n\\section{x}\nX\n\\subsection{y}\nY\n\\section{q}\nQ"
     nodes = spark.createDataFrame([("r", None, 0), ("b", "r", 1), ("a", "r", 0), ("c", "a", 0)], "node_id string, parent_id string, ord int")
     assert [r.node_id for r in tree.preorder(nodes).orderBy("key").collect()] == ["r", "a", "c", "b"]
@@ -262,12 +262,12 @@ def test_document_parts(spark):
 
 
 def test_clusters(spark):
-    from corpusmill.queries import BUSES, LINES
-
-    told = graph.geo_clusters(spark.createDataFrame(BUSES, "id string, lat double, lon double, load double"))
-    nodes, edges = graph.aggregate_clusters(told, spark.createDataFrame(LINES, "src string, dst string, x double, p_max double"))
-    assert sum(r.load for r in nodes.collect()) == 570 and nodes.count() == 2
-    assert edges.agg(F.sum("n")).first()[0] == sum(1 for a, b, *_ in LINES if told.filter(F.col("id").isin(a, b)).select("cluster").distinct().count() == 2)
+    points = [(f"p{i}", 10.0 * (i % 2) + i / 100, 50.0 * (i % 2), float(i)) for i in range(12)]
+    lines = [(f"p{i}", f"p{i + 1}", 0.5, 10.0) for i in range(11)] + [("p0", "p2", 0.25, 1.0)]
+    told = graph.geo_clusters(spark.createDataFrame(points, "id string, lat double, lon double, load double"))
+    nodes, edges = graph.aggregate_clusters(told, spark.createDataFrame(lines, "src string, dst string, x double, p_max double"))
+    assert {r.cluster: (r.load, r.members) for r in nodes.collect()} == {"p0": (30.0, 6), "p1": (36.0, 6)}
+    assert {(r.a, r.b): (r.x, r.p_max, r.n) for r in edges.collect()} == {("p0", "p1"): (3.0, 60.0, 6), ("p1", "p0"): (2.5, 50.0, 5)}
 
 
 def test_comment_nodes(spark):
@@ -299,7 +299,7 @@ def test_whole_text_queries_find_what_stands_behind_the_prefix(spark, tmp_path):
     texts = ["x " * 300 + "the on", "the on " + "y " * 300, "nothing"]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_path for r in Q.QUERIES["keyword_b_whole"](spark, str(tmp_path)).filter("query_id = 0 AND score > 2").collect()}
+    got = {r.doc_path for r in Q.QUERIES["keyword_b"](spark, str(tmp_path)).filter("query_id = 0 AND score > 2").collect()}
     paths = {r.doc_id: r.path for r in Q.corpus(spark, str(tmp_path)).collect()}
     assert {i for i, p in paths.items() if p in got} == {i for i, t in enumerate(texts) if "the on" in t} == {0, 1}
 
@@ -310,17 +310,80 @@ def test_whole_text_queries_differ_where_texts_differ_late(spark, tmp_path):
     texts = ["the " * 200 + "on", "the " * 200 + "was end"]
     rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    run = lambda name: Q.QUERIES[f"{name}_whole"](spark, str(tmp_path)).collect()
+    run = lambda name: Q.QUERIES[name](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.bare for r in run("strip_text")} == dict(enumerate(texts))
     assert {r.doc_id: r.tokens_b for r in run("query_tokens")} == {i: "|".join([*t.split()[:-1], t.split()[-1] + "?"]) for i, t in enumerate(texts)}
-    assert all(t in run("compile_tree")[0].source for t in texts)
+    assert [r.source.split("\n", 1)[1] for r in sorted(run("compile_tree"), key=lambda r: r.part)] == texts[1:] + texts[:1]
     assert sorted(r.doc_id for r in run("hash_embed") if r.x == 1) == [] and {r.doc_id for r in run("hash_embed")} == {0, 1}
     # one source, equal first letters: both documents stay
     assert len({r.source_path for r in run("search_many_merge")}) == 2
 
 
-def test_vector_topk_whole_asks_every_id_divisible_by_50(spark, tmp_path):
+def test_vector_topk_asks_every_id_divisible_by_50(spark, tmp_path):
     from corpusmill import queries as Q
 
     spark.range(120).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert {r.query_id for r in Q.QUERIES["vector_topk_whole"](spark, str(tmp_path)).collect()} == {0, 50, 100}
+    assert {r.query_id for r in Q.QUERIES["vector_topk"](spark, str(tmp_path)).collect()} == {0, 50, 100}
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(1, "abc dé\n" * 700_000)], "i int, text string")
+    made = chunk.chunk_b(rows).agg(F.count("*"), F.max("chunk_id")).first()
+    assert made[0] == made[1] + 1 == len(restated_windows("abc dé\n" * 700_000, 1500, 150))
+    blank = spark.createDataFrame([("x" + " " * 1_000_000 + "x\u3000\x1c",)], "t string")
+    assert blank.select(F.length(T.strip(F.col("t"))), T.is_blank(F.col("t"))).first() == (1_000_002, False)
+    lines = "\n".join("  " * (i % 4) + f"k{i}: v{i}" for i in range(100_000))
+    out = spark.createDataFrame([(lines,)], "t string").select(flatten.flatten_lines(F.col("t"))).first()[0]
+    assert out == restated_flatten(lines)
+    assert time.perf_counter() - began < 60
+
+
+def test_vectors_with_nulls_and_many_queries(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(300)] + [(900, None), (901, [1.0, None, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "chunk_ord long, embedding array<float>")
+    queries = vectors.filter("chunk_ord % 7 = 0 OR chunk_ord >= 900").withColumnRenamed("chunk_ord", "query_id")
+    want = sorted(map(tuple, retrieve.vector_topk(vectors, queries, 5).collect()))
+    assert {r[0] for r in want} == set(range(0, 300, 7)) and all(r[3] < 900 for r in want)
+
+    def unit(v):
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n if n else x for x in v]
+
+    for q in (0, 7, 294):
+        scores = sorted((-round(sum(a * b for a, b in zip(unit(rows[q][1]), unit(v))), 6), i) for i, v in rows[:300])[:5]
+        assert [r[3] for r in want if r[0] == q] == [i for _, i in scores]
+    monkeypatch.setattr(retrieve, "BLOCK", 4)
+    monkeypatch.setattr(retrieve, "VECTOR_ROWS", 10)
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 400)
+    assert sorted(map(tuple, retrieve.vector_topk(vectors.repartition(5), queries, 5).collect())) == want
+    with pytest.raises(ValueError, match="differ in length"):
+        retrieve.vector_topk(vectors, spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "query_id long, embedding array<float>"), 3)
+
+
+def test_trees_of_any_depth_and_cycles(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, 0) for i in range(30)]
+    nodes = spark.createDataFrame(chain, "node_id string, parent_id string, ord int")
+    assert sorted(r.depth for r in tree.preorder(nodes).collect()) == list(range(30))
+    for bad in ([("a", "b", 0), ("b", "a", 0), ("c", None, 0)], [("a", "gone", 0)]):
+        with pytest.raises(ValueError, match="cycle"):
+            tree.preorder(spark.createDataFrame(bad, "node_id string, parent_id string, ord int"))
+
+
+def test_a_hot_source_is_numbered_over_many_tasks(spark):
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 else f"s{i % 7}", rng.randrange(100_000)) for i in range(3000)]
+    made = tree.number_parts(spark.createDataFrame(rows, "s string, k long"), "s", "k").collect()
+    for s in {r.s for r in made}:
+        mine = sorted([r for r in made if r.s == s], key=lambda r: r.part)
+        assert [r.part for r in mine] == list(range(1, len(mine) + 1)) and [r.k for r in mine] == sorted(r.k for r in mine)
+
+
+def test_builders_by_kind(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "kind string, t string")
+    assert [r.source for r in tree.build(rows, {"a": F.col("t"), "b": F.upper("t")}).collect()] == ["x", "Y"]
+    with pytest.raises(Exception, match="no builder"):
+        tree.build(rows, {"a": F.col("t")}).collect()

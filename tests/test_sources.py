@@ -108,6 +108,42 @@ def test_streamed_questions_reach_subscribers(spark, tmp_path):
     assert sorted(seen) == [1, 2]
 
 
+def test_engine_b_from_files(spark, folder):
+    from corpusmill.settings import SettingsB
+
+    rows = files.read_tree(spark, [str(folder)])
+    index = engines.build_b(rows, str(folder), embed.HashEmbedder, SettingsB(include_roots=("a", str(folder)), max_files=4))
+    assert [r[0] for r in index.select("doc_path").distinct().orderBy("doc_path").collect()] == ["_hidden.md", "bad.md", "blank.md", "n.schema.yaml"]
+    assert engines.build_b(rows, str(folder), embed.HashEmbedder, SettingsB(max_chunks_total=2)).count() == 2
+    with pytest.raises(ValueError, match="No chunks"):
+        engines.build_b(rows, str(folder / "missing"), embed.HashEmbedder)
+
+
+def test_engine_a_falls_back_to_words(spark):
+    docs = spark.createDataFrame([(0, "a.md", "cats and dogs"), (1, "b.md", "birds")], "file_ord long, source_path string, text string")
+    index = embed.hash_embed(engines.ingest_a(docs))
+    asked = spark.createDataFrame([(0, "birds"), (1, "dogs"), (2, "nosuchword"), (3, " ")], "query_id long, question string")
+    silent = lambda df, col: embed.hash_embed(df, col).filter(F.col(col) == "birds")
+    got = {r.query_id: r.context for r in engines.ask_a(index, asked, silent).collect()}
+    assert got[0][0] == "source_path: b.md\nsource_path: b.md\nbirds" and got[1] == ["source_path: a.md\nsource_path: a.md\ncats and dogs"]
+    assert got[2] == got[3] == ["No relevant context found in indexed files."]
+
+
+def test_tables_are_released(spark):
+    from corpusmill import runtime
+
+    table = runtime.materialize(spark.range(3), "t")
+    path = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert table.count() == 3 and path in runtime.tables(spark)
+    runtime.release(spark, [path])
+    assert not os.path.exists(path) and path not in runtime.tables(spark)
+
+
+def test_metadata_file(spark, tmp_path):
+    (tmp_path / "meta.json").write_text('{"dim": 3,\n "chunks": [{"doc_path": "a", "chunk_id": 0, "text": "x\\ny"}]}')
+    assert [tuple(r) for r in store.read_metadata(spark, str(tmp_path / "meta.json")).collect()] == [(3, "a", 0, "x\ny")]
+
+
 def test_completion_plug(spark):
     prompts = spark.createDataFrame([(0, "a"), (1, None)], "i int, prompt string")
     assert {r.i: r.completion for r in engines.complete(prompts, lambda: str.upper).collect()} == {0: "A", 1: None}
