@@ -1,7 +1,8 @@
 """Building blocks shared by the training-data operators.
 
-* :func:`materialize` cuts lineage with a Parquet table in the shared folder
-  named by ``spark.checkpoint.dir`` (executors may be lost at any time).
+* ``materialize`` (of ``corpusmill.runtime``) cuts lineage with a Parquet table in the
+  shared folder named by ``spark.checkpoint.dir`` (executors may be lost at any time);
+  ``release`` deletes such tables.
 * :func:`key_bitmap` / :func:`probe` are a filter of fixed size: a set of keys
   hashed into ``2**log2_bits`` bits.  It is broadcast, and its size is known
   before it is built, whatever the size of the data.
@@ -14,63 +15,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import materialize, release, shared_dir, ship, tables
+
+__all__ = ["materialize", "release", "shared_dir", "ship", "tables"]
+
 #: A key is hot when it holds more than one row in this many.
 HOT_SHARE = 1000
 #: Bits of one bitmap row; fixed by Spark's bitmap functions.
 _ROW_BITS = 15
 #: Largest filter: 2**27 bits are 16 MB, the most that is ever broadcast.
 MAX_LOG2_BITS = 27
+#: Keys above which a filter is too full to be of use (four bits a key): joins then go without it.
+FILTER_KEYS = 1 << (MAX_LOG2_BITS - 2)
 #: The ASCII white space that separates words, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
-#: Applications whose executors have this package.
-_SHIPPED: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  Set here only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python workers can import it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir() and (root / "__init__.py").exists():
-        path = Path(tempfile.mkdtemp(prefix="corpusmill-")) / "corpusmill.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for base, _, names in os.walk(root):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = Path(base) / name
-                        z.write(full, full.relative_to(root.parent))
-        sc.addPyFile(str(path))
-    _SHIPPED.add(sc.applicationId)
 
 
 def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -165,6 +128,23 @@ def unboxed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
+def with_lists(rows: DataFrame, lists: DataFrame, n: int, on: Sequence[str], keep_rest: bool = False) -> DataFrame:
+    """``rows`` joined to the row that ``lists`` has for some keys (nulls are equal); of the others only as many are shuffled as the filter cannot clear.
+
+    ``n`` is the number of ``lists``.  With ``keep_rest`` rows without a list stay, with nulls.
+    """
+    renamed = lists.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in lists.columns])
+    drop = [f"_r_{k}" for k in on]
+    kind = "left" if keep_rest else "inner"
+    if n > FILTER_KEYS:
+        return rows.join(renamed, _null_safe(rows, renamed, on), kind).drop(*drop)
+    bits, key = log2_bits_for(n), F.xxhash64(*on)
+    marked = probe(rows, key, key_bitmap(lists, key, bits), bits, "_flag")
+    hit = marked.filter("_flag").drop("_flag")
+    out = hit.join(renamed, _null_safe(hit, renamed, on), kind).drop(*drop)
+    return out.unionByName(marked.filter(~F.col("_flag")).drop("_flag"), allowMissingColumns=True) if keep_rest else out
+
+
 def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Column]) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys``; only rows the filter flags are shuffled.
 
@@ -173,10 +153,6 @@ def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Colu
     if not n_keys:
         return df
     names = list(exprs)
-    bits = log2_bits_for(n_keys)
-    bitmap = key_bitmap(keys, F.xxhash64(*names), bits)
-    marked = probe(df.select(boxed(df), *[e.alias(k) for k, e in exprs.items()]), F.xxhash64(*names), bitmap, bits, "_flag")
-    flagged = marked.filter("_flag")
-    gone = keys.select(*[F.col(k).alias(f"_r_{k}") for k in names]).distinct()
-    left = flagged.join(gone, _null_safe(flagged, gone, names), "left_anti")
-    return unboxed(marked.filter(~F.col("_flag")), df.columns).unionByName(unboxed(left, df.columns))
+    rows = df.select(boxed(df), *[e.alias(k) for k, e in exprs.items()])
+    listed = keys.select(*names).distinct().withColumn("_gone", F.lit(True))
+    return unboxed(with_lists(rows, listed, n_keys, names, keep_rest=True).filter("_gone IS NULL"), df.columns)

@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
+import xxhash
 
 from corpusmill.llm import substring_dedup as S
-from tests.llm.helpers import EN, FR, SCHEMA, no_docs, odd_docs, odd_rows, prose
+from tests.llm.helpers import DE, EN, FR, SCHEMA, no_docs, odd_rows, prose
 
 
 def test_rolling_hash():
@@ -26,62 +28,117 @@ def test_insertions_move_only_near_chunks():
     assert b"".join(text[a:b] for a, b in zip([0, *S.chunk_starts(text)[0][1:]], [*S.chunk_starts(text)[0][1:], len(text)])) == text
 
 
-def test_passages_of_over_50_words_are_caught_and_others_left():
-    rng = random.Random(3)
-    for _ in range(300):
-        words = [rng.choice(EN + FR) + str(rng.randrange(50)) for _ in range(51)]
-        a = " ".join([prose(rng, EN, 60), *words, prose(rng, EN, 20)]).encode()
-        b = " ".join([prose(rng, FR, 30), *words, prose(rng, FR, 60)]).encode()
-        held = set(S._chunks(a)[2])
-        run = best = 0
-        for chunk, n in zip(S._chunks(b)[2], S._chunks(b)[1].tolist()):
-            run = run + n if chunk in held else 0
-            best = max(best, run)
-        assert best >= S.MIN_WORDS
-
-
-def brute_spans(rows):
-    """(doc, start, end) in code points, from all documents' chunks at once."""
-    docs, first = {}, {}
-    for doc, text, *_ in rows:
-        docs[doc, text] = S._chunks(text.encode()) if text else ([], [], [])
-        for chunk in docs[doc, text][2]:
-            first[chunk] = min(first.get(chunk, doc), doc)
-    out = set()
-    for (doc, text), (starts, words, chunks) in docs.items():
-        run = []
-        for i in range(len(chunks) + 1):
-            if i < len(chunks) and first[chunks[i]] != doc:
-                run.append(i)
-                continue
-            if run and sum(int(words[k]) for k in run) >= S.MIN_WORDS:
-                ends = [*starts[1:].tolist(), len(text.encode())]
-                chars = lambda n, t=text: len(t.encode()[:n].decode())
-                out.add((doc, chars(int(starts[run[0]])), chars(ends[run[-1]])))
-            run = []
+def document_order(row):
+    return row[0] is None, row[0] or 0, text_hash(row[1])
+
+
+def text_hash(text):
+    """xxhash64 of Spark: seed 42, signed."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_words(rows, least):
+    """For each document (id, text) the places, in words, that windows of ``least`` words shared with an earlier document cover."""
+    docs = sorted({(r[0], r[1]) for r in rows if r[1]}, key=document_order)
+    seen, out = {}, {}
+    for doc in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", doc[1])
+        covered = set()
+        for i in range(len(words) - least + 1):
+            if seen.setdefault(tuple(words[i : i + least]), doc) != doc:
+                covered.update(range(i, i + least))
+        if covered:
+            out[doc] = covered
     return out
 
 
+def covered_words(text, spans):
+    """The words that spans cover; each span starts at a word and ends before the next one."""
+    places = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    for s in spans:
+        assert s.start in places and (s.end in places or s.end == len(text))
+        assert s.n_words == sum(s.start <= p < s.end for p in places) >= S.MIN_WORDS
+    return {i for i, p in enumerate(places) if any(s.start <= p < s.end for s in spans)}
+
+
+def check(rows, spans):
+    want = brute_words(rows, S.MIN_WORDS)
+    got = {}
+    for s in spans:
+        got.setdefault((s.doc_id, s.text_hash), []).append(s)
+    texts = {(r[0], text_hash(r[1])): r[1] for r in rows if r[1]}
+    assert {(i, t): covered_words(t, got[i, h]) for (i, h), t in texts.items() if (i, h) in got} == want
+
+
+def passages(seed, n, least, most):
+    """Pairs of documents that share one passage of ``least`` to ``most`` words at different places."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = [rng.choice(EN + FR) + str(rng.randrange(50)) for _ in range(rng.randint(least, most))]
+        for k, own in enumerate((EN, FR)):
+            rows.append((2 * i + k, " ".join([prose(rng, own, rng.randint(0, 60)), *words, prose(rng, own, rng.randint(0, 60))]).strip()))
+    return rows
+
+
+def test_shared_passages_are_spans_from_51_words_on(spark):
+    rows = passages(3, 500, 45, 60) + [(i + 2000, t) for i, t in passages(4, 20, 300, 900)]
+    spans = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    check(rows, spans)
+    assert all(s.doc_id % 2 and s.kept_doc_ids == [s.doc_id - 1] for s in spans)
+
+
+def test_words_between_the_edits_of_a_near_copy_are_left(spark):
+    rng = random.Random(6)
+    words = [rng.choice(EN) + str(rng.randrange(90)) for _ in range(400)]
+    near = [w if i % 45 else "edited" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join([*words[:50], "x", *words[60:120]]))]
+    spans = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, spans)
+    assert {s.doc_id for s in spans} == {3}
+
+
 def test_query_against_brute_force(spark):
-    rows = [r for r in odd_rows() if r[0] is not None]
-    nameless = spark.createDataFrame([(None, rows[3][1], *odd_rows()[3][2:])] * 2, SCHEMA)  # never named, never cut
-    docs = odd_docs(spark).unionByName(nameless)
+    rows = odd_rows()
+    rows += [(None, rows[3][1], *rows[3][2:])] * 2 + [(None, prose(random.Random(8), DE, 80), *rows[3][2:])]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     spans = S.repeated_spans(docs)
     got = spans.collect()
-    assert {(r.doc_id, r.start, r.end) for r in got} == brute_spans(rows)
-    ids = {r.doc_id for r in got}
-    assert {201, 210, 211, 212, 214} <= ids and not {0, 1, 2, 3, 229} & ids
-    assert all(r.doc_id not in r.kept_doc_ids and r.n_words >= S.MIN_WORDS for r in got)
+    check(rows, got)
+    assert 201 in {r.doc_id for r in got}
     cut = S.cut_spans(docs, spans)
     assert cut.columns == docs.columns
-    left = {r.doc_id: r for r in cut.collect()}
-    assert sum(r.doc_id is None and r.text == rows[3][1] for r in cut.collect()) == 2
-    assert left[201].n_chars == len(left[201].text) < len(dict((r[0], r[1]) for r in rows)[201])
-    assert left[3].text == dict((r[0], r[1]) for r in rows)[3] and 220 in left and 222 in left
-    assert 210 not in left or left[210].text.strip()  # nothing left: dropped
+    left = {(r.doc_id, r.text) for r in cut.collect()}
+    assert {(r[0], r[1]) for r in rows if r[0] in (3, 220, 221, 222, 229)} <= left
+    short = next(r for r in cut.collect() if r.doc_id == 201)
+    assert short.n_chars == len(short.text) < len(dict((r[0], r[1]) for r in rows)[201])
     assert S.repeated_spans(cut).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    rng = random.Random(12)
+    shared, own = prose(rng, EN + FR, 90), prose(rng, DE, 200)
+    rows = [(1, shared + " " + prose(rng, EN, 30)), (2, prose(rng, FR, 40) + " " + shared), (2, own), (5, own + " " + shared), (5, prose(rng, FR, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = S.repeated_spans(docs)
+    check(rows, spans.collect())
+    cut = sorted((r.doc_id, r.text) for r in S.cut_spans(docs, spans).collect())
+    assert {rows[0], rows[2], rows[4]} <= set(cut) and len(cut) == 4  # of row 3 nothing is left
+
+
+def test_a_very_long_text_and_a_passage_that_many_share(spark):
+    rng = random.Random(13)
+    shared = prose(rng, EN + FR, 70)
+    long = " ".join(str(i * 7919 % 1_000_003) for i in range(750_000))
+    rows = [(1, long), (2, "start " + long[1_000_000:1_003_000] + " end")] + [(10 + i, f"head{i} " + shared + f" tail{i}") for i in range(300)]
+    assert len(long) > 5_000_000
+    spans = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {s.doc_id for s in spans} == {2, *range(11, 310)}
+    texts = dict(rows)
+    assert all(texts[s.doc_id][s.start : s.end].split() == shared.split() for s in spans if s.doc_id > 10)
+
+
 def test_empty_table(spark):
     spans = S.repeated_spans(no_docs(spark))
     assert spans.count() == 0
