@@ -3,11 +3,15 @@
 Turns of a conversation, in order, become windows of at most BUDGET tokens:
 
 * prefix sums of turn tokens choose the turns of a window, whole turns only, and end
-  it on an assistant turn where one is within reach (a turn longer than the budget is
-  a window of its own, uncut);
+  it on an assistant turn where one is within reach;
 * the opening system turn stands in every window;
 * up to HISTORY turns before the window, of at most a quarter of the budget, are
-  repeated as context;
+  repeated as context; they give way, the oldest first, where the next new turn needs
+  the room;
+* a window passes the budget only where it must: a turn is never cut, so a new turn
+  that does not fit beside the system turn is a window of its own with the system turn
+  and no history.  Where the system turn alone passes half the budget it stands in the
+  first window only (its own), so that it cannot push every window over;
 * the loss mask covers the text of assistant turns that are new in the window, so
   each assistant text is a target once and repeated ones are masked.
 
@@ -20,9 +24,9 @@ worker streams over them and holds one window and its history, so a conversation
 any length needs bounded memory.
 
 Defined results.  Null text and null role count as empty.  Turns are ordered by turn
-(null first), then role, then text; repeated rows are turns like any other.  A null
-conversation id is one conversation.  An empty table gives no windows.  Extra columns
-are ignored.
+(null first), then role, then text; repeated rows are turns like any other.  Texts of
+any length are whole turns.  A null conversation id is one conversation.  An empty table
+gives no windows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,20 +84,23 @@ class Windows:
         self.open: list[Turn] = []
         self.first = 0
 
-    def _context(self) -> list[Turn]:
-        back, room = [], self.budget // 4
+    def _context(self, first: int) -> list[Turn]:
+        """The turns that are repeated before a window whose first new turn has ``first`` tokens."""
+        head = [self.system] if self.system and self.first and 2 * self.system[2] <= self.budget else []
+        room = min(self.budget // 4, self.budget - first - sum(t[2] for t in head))
+        back: list[Turn] = []
         for turn in reversed(self.past):
             room -= turn[2]
             if room < 0:
                 break
             back.append(turn)
-        return [*([self.system] if self.system and self.first else []), *reversed(back)]
+        return [*head, *reversed(back)]
 
     def push(self, turn: Turn) -> Iterator[tuple]:
         if not self.first and not self.open and turn[0] == SYSTEM:
             self.system = turn
         self.open.append(turn)
-        while sum(t[2] for t in self.open) + sum(t[2] for t in self._context()) > self.budget and len(self.open) > 1:
+        while len(self.open) > 1 and sum(t[2] for t in self.open) + sum(t[2] for t in self._context(self.open[0][2])) > self.budget:
             yield self._window()
 
     def flush(self) -> Iterator[tuple]:
@@ -101,7 +108,7 @@ class Windows:
             yield self._window()
 
     def _window(self) -> tuple:
-        context = self._context()
+        context = self._context(self.open[0][2])
         sums = list(accumulate((t[2] for t in self.open), initial=0))
         n = max(1, bisect_right(sums, self.budget - sum(t[2] for t in context)) - 1)
         if n < len(self.open):

@@ -60,11 +60,56 @@ def test_windows(spark):
             assert len(context) <= C.HISTORY and context == back[len(back) - len(context) :]
             targets = [C.unescape(w.text[s.start : s.end]) for s in w.loss_spans]
             assert targets == [t for role, t in new if role == "assistant"]
-            assert w.tokens <= budget or w.n_new == 1
             back += new
         assert back == said
 
 
+def chosen(turns, budget, history):
+    """The windows of ``(role, tokens)`` turns, from the whole list at once: first turn, repeated turns, new turns, tokens."""
+    system = turns[0][1] if turns[0][0] == "system" else 0
+    out, i = [], 0
+    while i < len(turns):
+        head = system if i and 2 * system <= budget else 0
+        room = min(budget // 4, budget - head - turns[i][1])
+        fits = [k for k in range(history + 1) if i - k >= bool(system) and sum(t for _, t in turns[i - k : i]) <= max(0, room)] if i else [0]
+        k = 0
+        while k + 1 in fits:
+            k += 1
+        used = head + sum(t for _, t in turns[i - k : i])
+        most = max([n for n in range(1, len(turns) - i + 1) if used + sum(t for _, t in turns[i : i + n]) <= budget], default=1)
+        if i + most < len(turns):
+            most = max([n for n in range(1, most + 1) if turns[i + n - 1][0] == "assistant"], default=most)
+        out.append((i, k + bool(head), most, used + sum(t for _, t in turns[i : i + most])))
+        i += most
+    return out
+
+
+def test_which_turns_a_window_takes():
+    rng = random.Random(11)
+    for _ in range(2000):
+        budget, history = rng.choice([20, 60, 100]), rng.randint(0, 3)
+        roles = [rng.choice(["user", "assistant"]) for _ in range(rng.randint(1, 25))]
+        if rng.random() < 0.5:
+            roles[0] = "system"
+        turns = [(r, rng.choice([1, 5, 10, 10, 30, 50, 95, 150])) for r in roles]
+        made, w = [], C.Windows(budget, history)
+        for role, n in turns:
+            made += w.push((role, "x", n))
+        made += w.flush()
+        assert [m[:4] for m in made] == chosen(turns, budget, history)
+        system = turns[0][1] if roles[0] == "system" and 2 * turns[0][1] <= budget else 0
+        for first, n_context, n_new, tokens, *_ in made:
+            assert tokens <= budget or (n_new == 1 and n_context <= 1 and turns[first][1] + (system if first else 0) > budget)
+
+
+def test_a_very_long_turn_and_a_long_conversation(spark):
+    long = "word </s> " * 600_000
+    data = [(1, 0, "user", long), (1, 1, "assistant", long), *((2, i, "user" if i % 2 else "assistant", f"turn {i}") for i in range(5000))]
+    got = {r.conv_id: r for r in C.digest_windows(C.format_conversations(table(spark, data), 50)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].n_windows) == (2, len(long), 2)
+    assert got[2].n_turns == 5000 and got[2].loss_chars == sum(len(f"turn {i}") for i in range(0, 5000, 2))
+
+
 def test_digests(spark):
     got = {r.conv_id: r for r in C.digest_windows(C.format_conversations(table(spark, rows()), 80)).collect()}
     for conv in {r[0] for r in rows()}:
