@@ -128,31 +128,37 @@ def unboxed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
 
-def with_lists(rows: DataFrame, lists: DataFrame, n: int, on: Sequence[str], keep_rest: bool = False) -> DataFrame:
+def with_lists(rows: DataFrame, lists: DataFrame, n: int, on: Sequence[str], keep_rest: bool = False, size: str | None = None, total: int = 0) -> DataFrame:
     """``rows`` joined to the row that ``lists`` has for some keys (nulls are equal); of the others only as many are shuffled as the filter cannot clear.
 
     ``n`` is the number of ``lists``.  With ``keep_rest`` rows without a list stay, with nulls.
+    Where a key can be hot, ``size`` names its number of rows and ``total`` is their sum, as for :func:`join_unique`.
     """
-    renamed = lists.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in lists.columns])
-    drop = [f"_r_{k}" for k in on]
-    kind = "left" if keep_rest else "inner"
+
+    def join(left: DataFrame) -> DataFrame:
+        if size:
+            return join_unique(left, lists, on, size, total, keep_rest)
+        renamed = lists.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in lists.columns])
+        return left.join(renamed, _null_safe(left, renamed, on), "left" if keep_rest else "inner").drop(*[f"_r_{k}" for k in on])
+
     if n > FILTER_KEYS:
-        return rows.join(renamed, _null_safe(rows, renamed, on), kind).drop(*drop)
+        return join(rows)
     bits, key = log2_bits_for(n), F.xxhash64(*on)
     marked = probe(rows, key, key_bitmap(lists, key, bits), bits, "_flag")
-    hit = marked.filter("_flag").drop("_flag")
-    out = hit.join(renamed, _null_safe(hit, renamed, on), kind).drop(*drop)
+    out = join(marked.filter("_flag").drop("_flag"))
     return out.unionByName(marked.filter(~F.col("_flag")).drop("_flag"), allowMissingColumns=True) if keep_rest else out
 
 
-def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Column]) -> DataFrame:
+def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Column], total: int = 0) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys``; only rows the filter flags are shuffled.
 
     ``exprs`` gives for each column of ``keys`` the expression over ``df``.  Nulls are equal.
+    With ``total``, ``keys`` has one row per key and its number of rows in ``copies``; hot keys then are no hot task.
     """
     if not n_keys:
         return df
     names = list(exprs)
     rows = df.select(boxed(df), *[e.alias(k) for k, e in exprs.items()])
-    listed = keys.select(*names).distinct().withColumn("_gone", F.lit(True))
-    return unboxed(with_lists(rows, listed, n_keys, names, keep_rest=True).filter("_gone IS NULL"), df.columns)
+    listed = keys.select(*names, *(["copies"] if total else [])).distinct().withColumn("_gone", F.lit(True))
+    found = with_lists(rows, listed, n_keys, names, True, "copies" if total else None, total)
+    return unboxed(found.filter("_gone IS NULL"), df.columns)

@@ -51,6 +51,32 @@ def test_drop_keeps_columns_and_one_row_each(spark):
     assert all(r.doc_id == best[normal(r.text)][0] for r in rows)
 
 
+def test_a_row_that_repeats_often(spark):
+    rows = [(7, "the same text", "b")] * 1500 + [(7, "the same text", "a")] * 500 + [(None, "thesame text", "c")] * 1000 + [(i, f"text {i}", "d") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(6)
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == len(rows) and sum(r.kept for r in got) == 201
+    assert {(r.keep_id, r.group_size) for r in got if r.doc_id in (7, None)} == {(7, 3000)}
+    for parts in (2, 9):
+        left = exact_dedup.drop_duplicates(docs.repartition(parts)).collect()
+        assert len(left) == 201 and [tuple(r) for r in left if r.doc_id == 7] == [(7, "the same text", "a")]
+
+
+def test_without_a_filter(spark, monkeypatch):
+    """Past the size at which a bitmap is of use, results are the same."""
+    want = sorted(map(str, exact_dedup.exact_duplicates(odd_docs(spark), digest_all=True).collect()))
+    kept = sorted(map(str, exact_dedup.drop_duplicates(odd_docs(spark)).collect()))
+    monkeypatch.setattr(exact_dedup.C, "FILTER_KEYS", 0)
+    assert sorted(map(str, exact_dedup.exact_duplicates(odd_docs(spark), digest_all=True).collect())) == want
+    assert sorted(map(str, exact_dedup.drop_duplicates(odd_docs(spark)).collect())) == kept
+
+
+def test_very_long_texts(spark):
+    long = "word " * 1_000_000
+    docs = spark.createDataFrame([(1, long), (2, long.replace(" ", "\n")), (3, long + "x")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.exact_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_empty_table(spark):
     assert exact_dedup.exact_duplicates(no_docs(spark)).count() == 0
     assert exact_dedup.drop_duplicates(no_docs(spark)).count() == 0
