@@ -34,7 +34,7 @@ def test_tournament_tree_is_first_fit():
 
 def test_every_id_lies_in_one_piece(spark):
     library = tokenizers.Tokenizer.from_file(PATH)
-    rows = packing.pack_documents(odd_docs(spark), PATH, room=64, group_docs=40, with_ids=True)
+    rows = packing.pack_documents(odd_docs(spark), PATH, room=64, group_rests=40, with_ids=True)
     pieces = rows.collect()
     want, got = {}, {}
     for r in odd_rows():
@@ -66,5 +66,38 @@ def test_little_padding():
     assert len(bins) * 2048 < 1.005 * sum(sizes) + 2048
 
 
+def test_packing_does_not_depend_on_the_split(spark):
+    rng = random.Random(7)
+    rows = [(i, "word " * rng.randint(0, 300)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def sequences(df):
+        by = {}
+        for p in packing.pack_documents(df, PATH, room=256, group_rests=50).collect():
+            by.setdefault(p.sequence_id, []).append((p.offset, p.doc_id, p.start, p.length))
+        return sorted(sorted(parts) for parts in by.values())
+
+    assert sequences(docs.repartition(2)) == sequences(docs.repartition(7))
+
+
+def test_a_rest_that_repeats_fills_no_group(spark):
+    docs = spark.createDataFrame([(1, "same words here")] * 1000 + [(i, f"other {i}") for i in range(2, 500)], "doc_id long, text string").repartition(5)
+    pieces = packing.pack_documents(docs, PATH, room=64, group_rests=100).collect()
+    groups = {}
+    for p in pieces:
+        groups[p.sequence_id >> 32] = groups.get(p.sequence_id >> 32, 0) + 1
+    assert len(pieces) == 1498 and max(groups.values()) < 200
+    assert len({(p.sequence_id, p.offset) for p in pieces}) == 1498
+
+
+def test_full_sequences_and_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "ab " * 1_700_000), (2, "x"), (None, None)], "doc_id long, text string")
+    pieces = packing.pack_documents(docs, PATH).collect()
+    long = sorted((p.start, p.length, p.sequence_id) for p in pieces if p.doc_id == 1)
+    assert [s for s, _, _ in long] == list(range(0, long[-1][0] + 1, 2048)) and all(n == 2048 and s < 0 for _, n, s in long[:-1])
+    assert len({s for *_, s in long}) == len(long) and sum(n for _, n, _ in long) == next(p.doc_tokens for p in pieces if p.doc_id == 1)
+    assert len({p.sequence_id for p in pieces if p.sequence_id >= 0}) <= 2
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(no_docs(spark), PATH).count() == 0
