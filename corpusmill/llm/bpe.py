@@ -15,13 +15,15 @@ left out of the automaton.
 Words recur, so a bounded cache in each worker holds the result by piece of text
 between ASCII white space.  Cleaning and cutting a piece into words follows the
 file's normalizer and pre-tokenizer; pieces with rare characters are handed to
-the library for that step (not for merging).
+the library for that step (not for merging).  A file with another normalizer, word
+pattern, decoder or kind of special token is refused.
 
 Decoding joins token strings from one byte blob by an offset table.
 
 Defined results.  Null and empty texts have no ids and decode to the empty text.
-Ids may be null or repeat; rows are encoded one by one, in any order.  Extra
-columns are ignored.
+Texts of any length are encoded whole, and so is a word of any length.  Ids may be null
+or repeat; rows are encoded one by one, in any order.  An empty table gives no rows.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from struct import pack
+from struct import pack, unpack
 
 import ahocorasick
 import numpy as np
@@ -49,7 +51,8 @@ _MARKS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 #: Below this code point, lower-casing and letter classes are the same in all Unicode versions and NFC changes nothing.
 _PLAIN = "ɐ"
 _END = "</w>"
-#: Fixed value: the word pattern of the vocabulary's pre-tokenizer.
+#: The normalizer that the code follows, and the word pattern of the vocabulary's pre-tokenizer.
+_CLEANING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -92,6 +95,11 @@ class Cutter:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec["model"].get("end_of_word_suffix") != _END or json.dumps(_WORDS) not in json.dumps(spec["pre_tokenizer"]):
             raise ValueError("this encoder needs byte-level BPE with word ends and the pattern it knows")
+        if (spec["normalizer"] or {}).get("normalizers") != _CLEANING:
+            raise ValueError("this encoder follows another normalizer")
+        odd = [t["content"] for t in spec["added_tokens"] if not t["content"].startswith("<|") or any(c.isspace() for c in t["content"]) or any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+        if odd:
+            raise ValueError(f"special tokens of a kind that this encoder does not find: {odd}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(_WORDS)
@@ -281,7 +289,8 @@ class Encoder:
 
     def _view(self, piece: bytes) -> tuple[bytes, bytes]:
         """Decimal ids and decoded text of a piece."""
-        ids = np.frombuffer(self.pieces[piece], "<u4").tolist()
+        packed = self.pieces[piece]
+        ids = unpack(f"<{len(packed) // 4}I", packed)
         return " ".join(map(str, ids)).encode(), self.vocabulary.decode(ids)
 
     def encode(self, text: bytes | None) -> bytes:

@@ -66,3 +66,25 @@ def test_round_trip_tables(spark, library):
 
 def test_empty_table(spark):
     assert bpe.encode_digests(no_docs(spark), PATH).count() == 0
+
+
+def test_very_long_texts_and_words(spark, library):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcdefgh,.'é") for _ in range(rng.randint(1, 9))) for _ in range(900_000))
+    docs = spark.createDataFrame([(1, long), (2, "theinan" * 20_000)], "doc_id long, text string")
+    assert len(long) > 5_000_000
+    for r in bpe.encode_digests(docs, PATH).collect():
+        ids = library.encode(long if r.doc_id == 1 else "theinan" * 20_000, add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"added_tokens": [{**spec["added_tokens"][0], "content": "[X]"}]}, {"added_tokens": [{**spec["added_tokens"][0], "content": "<|a b|>"}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(path))
