@@ -13,8 +13,8 @@ driver is the two models: 2 * BUCKETS sums.  The noise is a function of the id,
 rerun draws the same rows.  The k-th key is found exactly by counting key digits,
 four small aggregations over narrow rows; nothing is sorted or collected.
 
-Defined results.  Null, empty and wordless texts have weight 0 in log.  Null ids share
-one noise value.  Rows whose key ties with the k-th are all drawn, so rows that repeat
+Defined results.  Null, empty and wordless texts have weight 0 in log.  Texts of any length
+are read whole, one at a time.  Null ids share one noise value.  Rows whose key ties with the k-th are all drawn, so rows that repeat
 a document are drawn together.  Without target documents all log weights are 0.  An
 empty table gives no rows.  Extra columns are ignored.
 """

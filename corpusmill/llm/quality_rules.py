@@ -10,7 +10,7 @@ hosts are joined by broadcast (``common.join_unique``), so a host with a third o
 all rows is no hot task.
 
 Defined results.  Null, empty and wordless texts have zero counts and fail the base
-rule.  A null host is a host of its own.  Rows that repeat are judged one by one and
+rule.  Texts of any length are measured whole, one at a time.  A null host is a host of its own.  Rows that repeat are judged one by one and
 all count for their host.  An empty table gives no rows.  Extra columns are ignored.
 """
 

@@ -22,8 +22,12 @@ Only a spanning forest of the links leaves a task, so a group of ``k`` near copi
 gives at most ``k - 1`` edges.  ``components`` joins the forests.
 
 Defined results.  Null and wordless texts have fingerprint zero and link like any
-other.  Rows that repeat a document share its component.  A null id is never the
-smallest id (a component of null ids only has id null).  Empty tables give no rows.
+other.  Texts of any length are read whole, _HASHES_AT_ONCE shingles at a time.  Rows that
+repeat a document share its component.  A null id is never the smallest id (a component
+of null ids only has id null).  Of a component :func:`drop_near_duplicates` keeps one
+document: the smallest id, and of several texts with that id the one with the smallest
+``xxhash64``; rows that repeat both are that document and stay.  Empty tables give no
+rows.  Extra columns are ignored, and carried through by :func:`drop_near_duplicates`.
 """
 
 from __future__ import annotations
@@ -247,24 +251,29 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id, text_hash (tells rows with one id apart)."""
+    """One row per document: doc_id, fp (signed long), component_id, text_hash (tells rows with one id apart), first_hash (that of the component's first document)."""
     spark = docs.sparkSession
     C.ship(spark)
     C.small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     prints = C.materialize(rows.mapInArrow(C.tidied(_fingerprints), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, text_hash long"), "simhash")
     total = prints.count()
-    each = C.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    each = C.materialize(prints.groupBy("fp").agg(first, F.count("*").alias("n")), "simhash-distinct")
     labels = C.materialize(connected_components(fingerprint_links(each.select("fp"))), "simhash-labels")
-    linked = C.materialize(labels.join(each, labels["node"] == each["fp"]).select("fp", "component", "first_id"), "simhash-linked")
-    tops = linked.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members"))
-    named = C.join_unique(linked, tops, ["component"], "members", linked.count()).select(F.col("fp").alias("_fp"), "component_id")
-    where = C.materialize(each.join(named, each["fp"] == named["_fp"], "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-components")
-    return C.join_unique(prints, where, ["fp"], "n", total).select("doc_id", "fp", "component_id", "text_hash")
+    linked = C.materialize(labels.join(each, labels["node"] == each["fp"]).select("fp", "component", "first"), "simhash-linked")
+    tops = linked.groupBy("component").agg(F.min("first").alias("top"), F.count("*").alias("members"))
+    named = C.join_unique(linked, tops, ["component"], "members", linked.count()).select(F.col("fp").alias("_fp"), "top")
+    top = F.coalesce("top", "first")
+    where = each.join(named, each["fp"] == named["_fp"], "left").select("fp", "n", top["doc_id"].alias("component_id"), top["text_hash"].alias("first_hash"))
+    where = C.materialize(where, "simhash-components")
+    return C.join_unique(prints, where, ["fp"], "n", total).select("doc_id", "fp", "component_id", "text_hash", "first_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the smallest id of each component.  Rows that repeat that id stay."""
+    """``docs`` with one document of each component, the first."""
     found = simhash_components(docs, id_col, text_col)
-    gone = C.materialize(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct(), "simhash-gone")
-    return C.drop_keys(docs, gone, gone.count(), {"doc_id": F.col(id_col), "text_hash": F.xxhash64(text_col)})
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = C.materialize(found.filter(~kept).groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies")), "simhash-gone")
+    size = gone.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    return C.drop_keys(docs, gone, size[0], {"doc_id": F.col(id_col), "text_hash": F.xxhash64(text_col)}, size[1])

@@ -49,5 +49,13 @@ def test_hosts_are_shrunk(spark):
     assert got[9991].host_rate < 0.5 < got[9900].host_rate
 
 
+def test_a_very_long_text_and_a_hot_host(spark):
+    long = " ".join(f"word{i % 50_000}" for i in range(600_000))
+    rows = [(i, "a few words " * 10, "hot") for i in range(3000)] + [(9000, long, "hot"), (9001, None, None)]
+    got = {r.doc_id: r for r in Q.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(got) == len(rows) and got[9000].n_words == got[9000].n_repeat_words == 600_000 and got[9000].base_failed
+    assert got[9001].base_failed and got[9001].n_words == 0
+
+
 def test_empty_table(spark):
     assert Q.judge_documents(no_docs(spark)).count() == 0

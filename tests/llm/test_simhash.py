@@ -83,5 +83,49 @@ def test_query_against_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in got}
 
 
+def test_one_document_of_each_component_stays(spark):
+    words = " ".join(f"word{i}" for i in range(400))
+    near = [words, words + " ", words.upper(), words.replace("word7 ", "word7\n")]
+    assert len({slow_print(t) for t in near}) == 1
+    rows = [(5, near[0]), (5, near[1]), (None, near[2]), (9, near[3]), (None, "alone here"), (None, "Alone here"), (7, "other"), (7, "words")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+    assert len(kept) == 4 and {(7, "other"), (7, "words")} <= set(kept)
+    assert sorted(str(i) for i, _ in kept) == ["5", "7", "7", "None"]
+    hot = spark.createDataFrame([(1, words)] + [(2, words)] * 2000 + [(i, f"text {i}") for i in range(10, 60)], "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(hot).collect()) == [1, *range(10, 60)]
+
+
+def test_a_very_long_text_and_small_parts(spark, monkeypatch):
+    long = " ".join(f"w{i % 977}" for i in range(1_200_000))
+    assert len(long) > 5_000_000
+    whole = simhash.fingerprint(long.encode())
+    docs = spark.createDataFrame([(1, long), (2, long + " end")], "doc_id long, text string")
+    assert {(r.fp & (1 << 64) - 1, r.component_id) for r in simhash.simhash_components(docs).collect() if r.doc_id == 1} == {(whole, 1)}
+    short = " ".join(long.split()[:3000])
+    monkeypatch.setattr(simhash, "_HASHES_AT_ONCE", 7)
+    assert simhash.fingerprint(short.encode()) == slow_print(short)
+
+
+def test_parts_of_the_search_do_not_change_its_links(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    fps = sorted({int(x) ^ (1 << int(b)) for x in rng.integers(0, 1 << 64, 40, np.uint64) for b in rng.integers(0, 64, 12)})
+    rows = sorted((t, f & m, f) for t, m in enumerate(simhash.subtable_masks()) for f in fps)
+    cols = [np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.uint64).view(np.int64), np.array([r[2] for r in rows], np.uint64).view(np.int64)]
+
+    def links(step):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in cols], ["table", "bits", "fp"]) for i in range(0, len(rows), step)]
+        edges = {(a, b) for batch in simhash._links(iter(batches)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        return classes([f - (1 << 64) if f >> 63 else f for f in fps], lambda a, b: (a, b) in edges or (b, a) in edges)
+
+    want = classes([f - (1 << 64) if f >> 63 else f for f in fps], lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    assert links(10_000) == want
+    monkeypatch.setattr(simhash, "CHUNK", 30)
+    monkeypatch.setattr(simhash, "FRONTIER", 11)
+    assert links(17) == want
+
+
 def test_empty_table(spark):
     assert simhash.simhash_components(no_docs(spark)).count() == 0
