@@ -139,6 +139,13 @@ def test_a_very_long_text_and_a_passage_that_many_share(spark):
     assert all(texts[s.doc_id][s.start : s.end].split() == shared.split() for s in spans if s.doc_id > 10)
 
 
+def test_a_run_of_one_word(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, EN, 40) + " |" * n + " " + prose(rng, FR, 40)) for i, n in enumerate((60, 55, 45, 51, 200))]
+    spans = S.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {s.doc_id for s in spans} in ({1, 4}, {1, 3, 4})  # such a run has no places of its own to cut at, so one just long enough can be missed
+
+
 def test_empty_table(spark):
     spans = S.repeated_spans(no_docs(spark))
     assert spans.count() == 0
