@@ -284,7 +284,7 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _grown_along(rows: DataFrame, short: DataFrame, found: DataFrame, groups: DataFrame, kind: str) -> DataFrame:
     """Runs that are a little short, grown by what any earlier document shares: doc_id, text_hash and the fields of a run."""
     doc = ["doc_id", "text_hash"]
-    sides = F.array_compact(F.array(F.when(F.col("before") > 0, F.struct(F.lit(0).alias("side"), F.col("first_digest").alias("digest"), F.col("run_start").alias("place"))), F.when(F.col("after") > 0, F.struct(F.lit(1).alias("side"), F.col("last_digest").alias("digest"), F.col("run_end").alias("place")))))
+    sides = F.array_compact(F.array(F.when((F.col("before") > 0) & F.col("first_digest").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("first_digest").alias("digest"), F.col("run_start").alias("place"))), F.when((F.col("after") > 0) & F.col("last_digest").isNotNull(), F.struct(F.lit(1).alias("side"), F.col("last_digest").alias("digest"), F.col("run_end").alias("place")))))
     ends = short.select(*doc, "run_start", F.explode(sides).alias("e")).select(*doc, "run_start", "e.*")
     wanted = ends.groupBy("digest").agg(F.collect_set("side").alias("sides")).join(groups.select("digest", "n"), "digest")
     held = C.join_unique(found.select(*doc, "start", "end", "digest"), C.materialize(wanted, "edges"), ["digest"], "n", found.count(), keep_unmatched=False)
@@ -327,10 +327,12 @@ def _runs(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.partitionBy("doc_id", "text_hash").orderBy("ord")
     runs = repeats.withColumn("run", F.col("ord") - F.dense_rank().over(order)).groupBy("doc_id", "text_hash", "run")
     place = lambda side, at: F.struct(F.lit(side).alias("side"), F.col("kept.kept_id").alias("kept_id"), F.col("kept.kept_hash").alias("kept_hash"), F.col(f"kept.{at}").alias("place"))
+    # shorter chunks stand in stretches of one word, where one place says as much as the next
+    own = F.when(F.col("to_word") - F.col("from_word") > REACH, F.col("digest"))
     made = runs.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to_word") - F.min("from_word")).alias("words"), (F.max("ord") - F.min("ord") + 1).alias("n_chunks"),
         F.sort_array(F.collect_set("kept.kept_id")).alias("kept_doc_ids"), F.min("from_word").alias("before"), F.min("after").alias("after"),
-        F.min_by(place(0, "start"), "ord").alias("left"), F.max_by(place(1, "end"), "ord").alias("right"), F.min_by("digest", "ord").alias("first_digest"), F.max_by("digest", "ord").alias("last_digest"),
+        F.min_by(place(0, "start"), "ord").alias("left"), F.max_by(place(1, "end"), "ord").alias("right"), F.min_by(own, "ord").alias("first_digest"), F.max_by(own, "ord").alias("last_digest"),
     )
     ends = F.array_compact(F.array(F.when(F.col("before") > 0, F.col("left")), F.when(F.col("after") > 0, F.col("right"))))
     return made.filter(F.col("words") >= CANDIDATE_WORDS).select("doc_id", "text_hash", *_RUN, *_WAS[3:], ends.alias("ends")), found, groups
