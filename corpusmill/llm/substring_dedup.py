@@ -22,17 +22,13 @@ share an id.
    So each run is grown word by word: the words beside the kept chunk, CONTEXT of them at
    most, are fetched from the document that keeps it, once for all that ask, and held
    against the words beside the run.
-4. Where that leaves a run a little short, another document than the one that keeps the
-   chunk may share more.  For such runs every place that holds the chunk at the run's end
-   gives digests of its next 1, 2, ... GROW words; the first document of each digest tells
-   how far any earlier document goes along.  That is linear in the places: nothing is
-   compared in pairs.
 
 Runs that then have MIN_WORDS words or more are spans to cut: exactly the shared words,
 so a shared phrase, or the words between two edits of a near copy, is left.  (Repeats of
-several earlier documents that stand side by side are one run; in a stretch of one word
-over and over, chunks have no content to begin at, and a few words at its ends can be
-missed.)  Only
+several earlier documents that stand side by side are one run.  A run is grown beside the
+document that keeps its first or last chunk; where another one shares more words there, or
+in a stretch of one word over and over, whose chunks have no content to begin at, a few
+words can be missed.)  Only
 documents that keep or hold a run's end are shuffled as text.
 
 Defined results.  Null, empty and wordless texts have no chunks and no spans.  Rows
@@ -63,8 +59,6 @@ REACH = 3
 MIN_WORDS = 51
 #: Words of a run of repeated chunks that is looked at, and words looked at on each side of it.
 CANDIDATE_WORDS, CONTEXT = 12, 40
-#: Words on each side of a run that may be shared with any other document.
-GROW = 24
 #: Bytes without white space after which every character may start a chunk.
 LONG_WORD = 64
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 5) for b in range(256)], np.uint32)
@@ -236,80 +230,29 @@ def grow(text: str, run: dict, near: dict[int, str]) -> tuple[int, int, int]:
 
 _SPACE_CHARS = frozenset(" \t\n\r\x0b\x0c")
 _RUN = ("start", "end", "words", "n_chunks", "kept_doc_ids")
-#: What a run was before it has grown, and its first and last chunk.
-_WAS = ("run_start", "run_end", "run_words", "before", "after", "first_digest", "last_digest")
 
 
 def _grown(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, cols = [], tuple([] for _ in range(len(_RUN) + len(_WAS)))
+            docs, cols = [], ([], [], [], [], [])
             for doc, (text, asks) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 runs: dict[int, tuple[dict, dict]] = {}
                 for ask in asks:
                     runs.setdefault(ask["start"], (ask, {}))[1][ask["side"]] = ask["near"]
                 for one, near in runs.values():
                     docs.append(doc)
-                    for col, x in zip(cols, (*grow(text, one, near), one["n_chunks"], one["kept_doc_ids"], one["start"], one["end"], one["words"], *(one[f] for f in _WAS[3:]))):
+                    for col, x in zip(cols, (*grow(text, one, near), one["n_chunks"], one["kept_doc_ids"])):
                         col.append(x)
             of = pa.array(docs, pa.int64())
-            kinds = (*[pa.int64()] * 4, pa.list_(kind), *[pa.int64()] * 5, pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "text_hash", *_RUN, *_WAS])
+            kinds = (*[pa.int64()] * 4, pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "text_hash", *_RUN])
 
     return run
 
 
-def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each place that holds a chunk: digests of the chunk and the next 1 to GROW words (before it on side 0), and where these begin or end."""
-    for batch in batches:
-        docs, cols = [], ([], [], [], [], [])
-        for doc, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            for p in places:
-                side, place = p["side"], p["place"]
-                if not _SPACE_CHARS.issuperset(text[place - 1 : place]):
-                    continue
-                near = words_after(text, place, GROW + 1) if side else words_before(text, place, GROW)[::-1]
-                state = xxhash.xxh3_128(bytes([side]) + p["digest"])
-                for n, m in enumerate(near[:GROW], 1):
-                    state.update(m[0].encode() + b" ")
-                    docs.append(doc)
-                    at = m.start() if not side else near[n].start() if n < len(near) else len(text)
-                    for col, x in zip(cols, (place, side, n, state.digest(), at)):
-                        col.append(x)
-        of = pa.array(docs, pa.int64())
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "text_hash", "place", "side", "far", "key", "at"])
-
-
-def _grown_along(rows: DataFrame, short: DataFrame, found: DataFrame, groups: DataFrame, kind: str) -> DataFrame:
-    """Runs that are a little short, grown by what any earlier document shares: doc_id, text_hash and the fields of a run."""
-    doc = ["doc_id", "text_hash"]
-    sides = F.array_compact(F.array(F.when((F.col("before") > 0) & F.col("first_digest").isNotNull(), F.struct(F.lit(0).alias("side"), F.col("first_digest").alias("digest"), F.col("run_start").alias("place"))), F.when((F.col("after") > 0) & F.col("last_digest").isNotNull(), F.struct(F.lit(1).alias("side"), F.col("last_digest").alias("digest"), F.col("run_end").alias("place")))))
-    ends = short.select(*doc, "run_start", F.explode(sides).alias("e")).select(*doc, "run_start", "e.*")
-    wanted = ends.groupBy("digest").agg(F.collect_set("side").alias("sides")).join(groups.select("digest", "n"), "digest")
-    held = C.join_unique(found.select(*doc, "start", "end", "digest"), C.materialize(wanted, "edges"), ["digest"], "n", found.count(), keep_unmatched=False)
-    held = held.select(*doc, "digest", "start", "end", F.explode("sides").alias("side"))
-    place = F.struct(F.when(F.col("side") == 0, F.col("start")).otherwise(F.col("end")).alias("place"), "side", "digest")
-    lists = C.materialize(held.groupBy(*doc).agg(F.collect_set(place).alias("places")), "places")
-    told = C.with_lists(rows, lists, lists.count(), doc).select(*doc, "text", "places")
-    keys = C.materialize(told.mapInArrow(C.tidied(_along), f"doc_id {kind}, text_hash long, place long, side int, far long, key binary, at long"), "along")
-    first = keys.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *doc)).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    met = C.join_unique(keys, C.materialize(first, "along-first"), ["key"], "n", keys.count(), keep_unmatched=False)
-    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
-    far = met.filter(other).groupBy(*doc, "place", "side").agg(F.max("far").alias("far"), F.max_by("at", "far").alias("at"))
-    of = [F.col(c).alias(f"_{c}") for c in (*doc, "place", "side")]
-    far = far.select(*of, "far", "at")
-    same = ends["doc_id"].eqNullSafe(far["_doc_id"])
-    for c in ("text_hash", "place", "side"):
-        same = same & (ends[c] == far[f"_{c}"])
-    grown = ends.join(far, same).groupBy(*doc, "run_start").agg(F.sum("far").alias("more"), F.max(F.when(F.col("side") == 0, F.col("at"))).alias("from"), F.max(F.when(F.col("side") == 1, F.col("at"))).alias("to"))
-    grown = grown.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("run_start").alias("_s"), "more", "from", "to")
-    both = short.join(grown, short["doc_id"].eqNullSafe(grown["_d"]) & (short["text_hash"] == grown["_h"]) & (short["run_start"] == grown["_s"]))
-    return both.select(*doc, F.coalesce("from", "run_start").alias("start"), F.coalesce("to", "run_end").alias("end"), (F.col("run_words") + F.col("more")).alias("words"), "n_chunks", "kept_doc_ids")
-
-
-def _runs(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs of repeated chunks (doc_id, text_hash, the fields of a run, first and last digest, words before and after, and the kept place at each end that is not the text's), the candidates, and the groups of equal ones."""
+def _runs(rows: DataFrame, kind: str) -> DataFrame:
+    """Runs of repeated chunks: doc_id, text_hash, start, end, words, n_chunks, kept_doc_ids, and at each end the kept place (null: none to look at)."""
     spark = rows.sparkSession
     met = rows.select("text").mapInArrow(C.tidied(_hashes), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     shared = C.materialize(met.select("hash"), "chunk-hashes")
@@ -322,20 +265,18 @@ def _runs(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     several = ~(F.col("kept.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("kept.text_hash") == F.col("last.text_hash")))
     groups = C.materialize(groups.filter(several).select("digest", "n", F.struct(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"), F.col("kept.start").alias("start"), F.col("kept.end").alias("end")).alias("kept")), "chunk-groups")
     repeats = C.join_unique(found, groups, ["digest"], "n", found.count(), keep_unmatched=False)
-    repeats = repeats.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.kept_id")) & (F.col("text_hash") == F.col("kept.kept_hash")))).drop("n")
+    repeats = repeats.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.kept_id")) & (F.col("text_hash") == F.col("kept.kept_hash")))).drop("digest", "n")
     # rows that repeat a document have equal places, so they change no run
     order = Window.partitionBy("doc_id", "text_hash").orderBy("ord")
     runs = repeats.withColumn("run", F.col("ord") - F.dense_rank().over(order)).groupBy("doc_id", "text_hash", "run")
     place = lambda side, at: F.struct(F.lit(side).alias("side"), F.col("kept.kept_id").alias("kept_id"), F.col("kept.kept_hash").alias("kept_hash"), F.col(f"kept.{at}").alias("place"))
-    # shorter chunks stand in stretches of one word, where one place says as much as the next
-    own = F.when(F.col("to_word") - F.col("from_word") > REACH, F.col("digest"))
     made = runs.agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("to_word") - F.min("from_word")).alias("words"), (F.max("ord") - F.min("ord") + 1).alias("n_chunks"),
         F.sort_array(F.collect_set("kept.kept_id")).alias("kept_doc_ids"), F.min("from_word").alias("before"), F.min("after").alias("after"),
-        F.min_by(place(0, "start"), "ord").alias("left"), F.max_by(place(1, "end"), "ord").alias("right"), F.min_by(own, "ord").alias("first_digest"), F.max_by(own, "ord").alias("last_digest"),
+        F.min_by(place(0, "start"), "ord").alias("left"), F.max_by(place(1, "end"), "ord").alias("right"),
     )
     ends = F.array_compact(F.array(F.when(F.col("before") > 0, F.col("left")), F.when(F.col("after") > 0, F.col("right"))))
-    return made.filter(F.col("words") >= CANDIDATE_WORDS).select("doc_id", "text_hash", *_RUN, *_WAS[3:], ends.alias("ends")), found, groups
+    return made.filter(F.col("words") >= CANDIDATE_WORDS).select("doc_id", "text_hash", *_RUN, ends.alias("ends"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -349,27 +290,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType
     name = kind.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    runs, found, groups = _runs(rows, name)
-    runs = C.materialize(runs, "runs")
-    asked = runs.filter(F.size("ends") > 0).select("doc_id", "text_hash", *_RUN, *_WAS[3:], F.explode("ends").alias("e")).select("*", "e.*").drop("e")
+    runs = C.materialize(_runs(rows, name), "runs")
+    asked = runs.filter(F.size("ends") > 0).select("doc_id", "text_hash", *_RUN, F.explode("ends").alias("e")).select("*", "e.*").drop("e")
     key = ["kept_id", "kept_hash", "place", "side"]
     each = asked.groupBy(*key).agg(F.count("*").alias("n"))
     asks = C.materialize(each.groupBy(F.col("kept_id").alias("doc_id"), F.col("kept_hash").alias("text_hash")).agg(F.collect_list(F.struct("place", "side", "n")).alias("asks")), "asks")
     told = C.with_lists(rows, asks, asks.count(), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asks")
     near = told.mapInArrow(C.tidied(_contexts), f"kept_id {name}, kept_hash long, place long, side int, n long, near string").dropDuplicates(key)
     near = C.materialize(near, "contexts")
-    met = C.join_unique(asked, near, key, "n", asked.count(), keep_unmatched=False)
-    lists = C.materialize(met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*_RUN, *_WAS[3:], "side", "near")).alias("asks")), "ends")
+    found = C.join_unique(asked, near, key, "n", asked.count(), keep_unmatched=False)
+    lists = C.materialize(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*_RUN, "side", "near")).alias("asks")), "ends")
     open_ = C.with_lists(rows, lists, lists.count(), ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "asks")
-    run = f"start long, end long, words long, n_chunks long, kept_doc_ids array<{name}>"
-    grown = open_.mapInArrow(C.tidied(_grown(to_arrow_type(kind))), f"doc_id {name}, text_hash long, {run}, run_start long, run_end long, run_words long, before long, after long, first_digest binary, last_digest binary")
+    schema = f"doc_id {name}, text_hash long, start long, end long, words long, n_chunks long, kept_doc_ids array<{name}>"
+    grown = open_.mapInArrow(C.tidied(_grown(to_arrow_type(kind))), schema)
+    both = grown.unionByName(runs.filter(F.size("ends") == 0).drop("ends")).filter(F.col("words") >= min_words)
     # rows that repeat a document have been grown alike
-    grown = C.materialize(grown.dropDuplicates(["doc_id", "text_hash", "run_start"]), "grown")
-    short = grown.filter(F.col("words").between(min_words - 2 * GROW, min_words - 1))
-    fields = ("doc_id", "text_hash", *_RUN)
-    whole = runs.filter(F.size("ends") == 0).select(*fields)
-    every = grown.filter(F.col("words") >= min_words).select(*fields).unionByName(whole)
-    return every.unionByName(_grown_along(rows, short, found, groups, name)).filter(F.col("words") >= min_words).withColumnRenamed("words", "n_words")
+    return both.dropDuplicates(["doc_id", "text_hash", "start", "end"]).withColumnRenamed("words", "n_words")
 
 
 def cut_text(text: str, spans: list[dict]) -> str:
