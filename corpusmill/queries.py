@@ -20,6 +20,7 @@ from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
 from corpusmill.sources import files, store
+from corpusmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -861,3 +862,17 @@ def rewrite(spark, sf):
         return say
 
     return engines.rewrite(rows, model).select("id", "en", "fa", "de")
+
+
+_TYPED = "CASE WHEN doc_id % 9 = 7 THEN ' :reload' WHEN doc_id % 10 = 3 THEN '  ' WHEN doc_id = 150 THEN ':exit ' ELSE ' question ' || doc_id || ' ' END"
+
+
+@query(
+    "question_lines",
+    f"""WITH l AS (SELECT doc_id % 7 AS session, doc_id AS query_id, trim({_TYPED}) AS question FROM documents),
+    o AS (SELECT *, bool_or(question = ':exit') OVER w AS over_, sum((question = ':reload')::BIGINT) OVER w AS reloads FROM l WINDOW w AS (PARTITION BY session ORDER BY query_id))
+    SELECT session, query_id, question, reloads::BIGINT AS reloads FROM o WHERE NOT over_ AND question NOT IN ('', ':reload')""",
+)
+def question_lines(spark, sf):
+    rows = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("session"), F.col("doc_id").alias("line_no"), F.expr(_TYPED).alias("line"))
+    return ingest.question_lines(rows)

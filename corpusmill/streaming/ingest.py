@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusmill.functions import text as T
 from corpusmill.operators import chunk
 from corpusmill.sources.files import decode_b
 
@@ -30,6 +31,18 @@ def append_chunks(docs: DataFrame, out: str, checkpoint: str, size: int = 1500,
     return made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def question_lines(lines: DataFrame) -> DataFrame:
+    """Typed lines (session, line_no, line) as questions: ``session, query_id, question, reloads``.
+
+    Blank lines are passed over, ``:exit`` ends a session, and ``reloads`` counts the ``:reload`` lines before a question,
+    so that each is asked of the index it was meant for.  A session is one ordered sequence, of one person's lines.
+    """
+    order = Window.partitionBy("session").orderBy("line_no")
+    bare = T.strip(F.col("line"))
+    said = lines.select("session", F.col("line_no").alias("query_id"), bare.alias("question"), F.max(bare == ":exit").over(order).alias("_over"), F.sum((bare == ":reload").cast("long")).over(order).alias("reloads"))
+    return said.filter(~F.col("_over") & (F.col("question") != "") & (F.col("question") != ":reload")).drop("_over")
+
+
 def answer_stream(questions: DataFrame, answer: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Answers micro-batches of ``query_id, question`` and hands each to ``sink`` with its number."""
 
