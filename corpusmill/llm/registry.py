@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, exact_dedup, importance, language_id, license_scan, packing, quality_rules, simhash, substring_dedup
+from corpusmill.llm import bpe, chat_format, complement_packing, exact_dedup, importance, language_id, license_scan, packing, quality_rules, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return complement_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i+7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-6)) AS i FROM d)),
@@ -126,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
+    "op11_complement_packing": op11_complement_packing,
 }
 
 ORACLES: dict[str, str] = {
