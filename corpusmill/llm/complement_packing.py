@@ -12,6 +12,8 @@ so the plan is made from the table of counts by length, whatever the number of d
 * lengths for which nothing fills the gap are placed by best fit, largest first, in the
   sequence with the smallest gap that takes them, whole classes of equal sequences at a time.
 
+Where best fit alone needs fewer sequences (some tens of documents, scarce small ones), its plan is taken.
+
 The plan is a few thousand rows.  Pieces are then numbered within their length, in parallel
 (a length with very many pieces is dealt into groups by a hash, and the groups' sizes give
 each its first number), and a piece's number says its place in the plan.  Only descriptions
@@ -251,8 +253,9 @@ def best_fit(counts: dict[int, int], room: int) -> list[tuple[Counter, int]]:
 
 
 def plan_sequences(counts: dict[int, int], room: int) -> list[tuple[Counter, int]]:
+    """Exact combinations, then best fit; where small lengths are so scarce that best fit alone takes fewer sequences, that."""
     exact, rest = exact_patterns(counts, room)
-    return exact + best_fit(rest, room)
+    return min(exact + best_fit(rest, room), best_fit(counts, room), key=lambda plan: sum(of for _, of in plan))
 
 
 def _plan_table(counts: dict[int, int], room: int) -> tuple[dict[int, int], dict[str, np.ndarray]]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, complement_packing, exact_dedup, importance, language_id, license_scan, packing, quality_rules, simhash, substring_dedup
+from corpusmill.llm import bpe, chat_format, complement_packing, exact_dedup, importance, language_id, license_scan, packing, periodic_runs, quality_rules, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +91,21 @@ def op11_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complement_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's rewriting of some documents: from word ``a`` on they repeat ``p`` words.  A document without an id stays."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(len(words) - a)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.find_runs(_table(spark, sf_dir, "documents"), rewrite=planted_period))
+
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i+7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-6)) AS i FROM d)),
@@ -133,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_simhash": op10_simhash,
     "op11_complement_packing": op11_complement_packing,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
