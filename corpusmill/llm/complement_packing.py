@@ -48,7 +48,7 @@ from corpusmill.llm import common as C
 ROOM = 2048
 END_ID = 0
 #: Pieces of one length that are numbered together, at least, and the number of such groups at most (besides one a length).
-GROUP_ROWS, GROUPS = 4096, 100_000
+GROUP_ROWS, GROUPS = 1024, 100_000
 #: Parts kept in each half of a worker's cache, and the longest part that is kept or left to the fast encoder.
 CACHE_ENTRIES, CACHE_BYTES, LONG_BYTES = 300_000, 48, 4096
 #: A space or line break that is not followed by a character that surely is no white space.
