@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat_format, complement_packing, exact_dedup, importance, language_id, license_scan, packing, periodic_runs, quality_rules, simhash, substring_dedup
+from corpusmill.llm import bpe, chat_format, complement_packing, exact_dedup, importance, language_id, license_scan, packing, periodic_runs, prefix_trie, quality_rules, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +106,41 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.find_runs(_table(spark, sf_dir, "documents"), rewrite=planted_period))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.build_trie(*prefix_trie.grafted(turns))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, x: list_reduce(list_concat([xor(a, x)], list_transform(range(8), lambda i: i)), lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+lent AS (SELECT ids.*, coalesce(n, 0) AS n FROM ids LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM t GROUP BY 1) USING (base)),
+r AS (
+  SELECT lent.conv_id, t.pos, k, chars FROM lent JOIN t ON t.conv_id = base WHERE t.pos <= h
+  UNION ALL
+  SELECT conv_id, pos - h + least(h, n), k, chars FROM lent JOIN t USING (conv_id) WHERE pos > h),
+c AS (SELECT conv_id, coalesce(list(k ORDER BY pos) FILTER (k IS NOT NULL), []) AS ks, list(chars ORDER BY pos) FILTER (k IS NOT NULL) AS cs FROM ids LEFT JOIN r USING (conv_id) GROUP BY conv_id),
+m AS (SELECT conv_id, d AS depth, ks[1:d] AS p, ks[1:d - 1] AS above, CASE WHEN d = 0 THEN 0 ELSE cs[d] END AS chars, len(ks) = d AS ends FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM c)),
+n AS (
+  SELECT depth, p, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS gain,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY depth, p),
+kids AS (SELECT depth - 1 AS depth, above AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (depth, p)),
+below AS (
+  SELECT e AS depth, p[1:e] AS p, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(gain)::BIGINT AS saved_tokens
+  FROM (SELECT p, n_children, gain, unnest(range(0, depth + 1)) AS e FROM full_) GROUP BY ALL)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM full_ f JOIN below USING (depth, p) LEFT JOIN full_ u ON u.depth = f.depth - 1 AND u.p = f.above
+"""
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''),'[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i+7), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w)-6)) AS i FROM d)),
@@ -150,9 +185,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_complement_packing": op11_complement_packing,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
