@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import chunk, embed, expand, flatten, pack, retrieve
+from corpusmill.operators import chunk, embed, expand, flatten, pack, retrieve, trigram
 from corpusmill.runtime import materialize, ship
 from corpusmill.settings import REWRITE_PROMPT, REWRITE_SAMPLING, Sampling, SettingsA, SettingsB
 from corpusmill.sources.files import decode_b, scan_roots
 
 
+#: Hits that are broadcast at most; each is a few numbers.
+FETCHED = 100_000
+
+
 def _numbered(chunks: DataFrame) -> DataFrame:
     """A stable number for ties: position within the document, under the document's own order."""
     return chunks.withColumn("chunk_ord", F.col("file_ord") * F.lit(1 << 24) + F.col("chunk_id"))
@@ -52,17 +56,23 @@ def build_b(files: DataFrame, root: str, make: Callable[[], embed.Embedder], set
     return embed_b(chunks, make, s)
 
 
-def search_a(index: DataFrame, queries: DataFrame, embedder: Callable[[DataFrame, str], DataFrame], k: int) -> DataFrame:
+def _fetch(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """The chunks of ``hits``, a few rows a question; they are broadcast up to FETCHED rows."""
+    return texts.join(F.broadcast(hits) if hits.count() <= FETCHED else hits, "chunk_ord")
+
+
+def search_a(index: DataFrame, queries: DataFrame, embedder: Callable[[DataFrame, str], DataFrame], k: int, words: trigram.TrigramIndex | None = None) -> DataFrame:
     """``query_id, rank, score, source_path, chunk_text``: vector hits, or lexical hits where there are none.
 
     ``queries`` is ``query_id, question``.  A question has no vector hit if the model gave it no vector.
+    With ``words``, an index over ``trigram.hay_a``, lexical hits come from posting lists.
     """
     texts = index.select("chunk_ord", "source_path", "chunk_text")
     vec = materialize(retrieve.vector_topk(index, embedder(queries, "question").select("query_id", "embedding"), k), "vector-hits")
     rest = queries.join(vec.select("query_id").distinct(), "query_id", "left_anti")
-    lex = retrieve.lexical_a(texts, rest, k).select("query_id", "rank", "score", "chunk_ord")
-    hits = retrieve.fallback(vec.select("query_id", "rank", "score", "chunk_ord"), lex)  # k rows a question
-    return texts.join(F.broadcast(hits), "chunk_ord").select("query_id", "rank", "score", "source_path", "chunk_text")
+    lex = trigram.lexical_a(words, rest, k) if words else retrieve.lexical_a(texts, rest, k).select("query_id", "rank", "score", "chunk_ord")
+    hits = materialize(retrieve.fallback(vec.select("query_id", "rank", "score", "chunk_ord"), lex), "hits")
+    return _fetch(texts, hits).select("query_id", "rank", "score", "source_path", "chunk_text")
 
 
 def ask_a(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsA | None = None) -> DataFrame:
@@ -82,15 +92,20 @@ def candidate_depth(settings: SettingsB) -> int:
     return max(8, settings.top_k)
 
 
-def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsB | None = None) -> DataFrame:
-    """``query_id, question, route, messages, reply``.  ``index`` has chunk_ord, doc_path, chunk_id, chunk_text, embedding."""
+def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsB | None = None, words: trigram.TrigramIndex | None = None) -> DataFrame:
+    """``query_id, question, route, messages, reply``.  ``index`` has chunk_ord, doc_path, chunk_id, chunk_text, embedding.
+
+    With ``words``, an index over ``trigram.hay_b``, keyword hits come from posting lists.
+    """
     s = settings or SettingsB()
     to_vector = embedder or (lambda df, col: embed.hash_embed(df, col))
     depth = candidate_depth(s)
     texts = index.select("chunk_ord", "doc_path", "chunk_id", "chunk_text")
-    kw = materialize(retrieve.keyword_b(texts, questions.select("query_id", "question"), depth).select("query_id", "rank", "score", "doc_path", "chunk_id", "chunk_text"), "keyword-hits")
-    near = retrieve.vector_topk(index, to_vector(questions.select("query_id", "question"), "question"), depth)
-    vec = materialize(texts.join(F.broadcast(near), "chunk_ord").drop("chunk_ord"), "vector-hits")  # depth rows a question
+    asks, shown = questions.select("query_id", "question"), ("query_id", "rank", "score", "doc_path", "chunk_id", "chunk_text")
+    kw = _fetch(texts, materialize(trigram.keyword_b(words, asks, depth), "keyword-ranks")) if words else retrieve.keyword_b(texts, asks, depth)
+    kw = materialize(kw.select(*shown), "keyword-hits")
+    near = materialize(retrieve.vector_topk(index, to_vector(asks, "question"), depth), "vector-ranks")
+    vec = materialize(_fetch(texts, near).drop("chunk_ord"), "vector-hits")
     merged = retrieve.merge_hybrid(vec, kw, s.top_k)
     best = vec.groupBy("query_id").agg(F.max("score").alias("best_vector")).join(kw.groupBy("query_id").agg(F.max("score").alias("best_keyword")), "query_id", "full_outer")
     rows = pack.gather(merged, s.top_k).join(pack.gather(kw, depth).withColumnRenamed("hits", "kw_hits"), "query_id", "full_outer").join(best, "query_id", "left")

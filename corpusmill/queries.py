@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
-from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, pack, retrieve
+from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, pack, retrieve, trigram
 from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
@@ -271,6 +271,27 @@ def keyword_b(spark, sf):
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
+#: Questions of the indexed searches: three words of every document whose id is divisible by 50.
+_WORDS = "qs AS (SELECT doc_id AS query_id, array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[3:5], ' ') AS question FROM documents WHERE doc_id % 50 = 0)"
+
+
+def _word_questions(spark, sf) -> DataFrame:
+    picked = F.array_join(F.slice(T.words(F.col("text")), 3, 3), " ")
+    return table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), picked.alias("question"))
+
+
+@query("lexical_indexed", f"WITH {DOC_CHUNKS}, {_WORDS}, {_LEXICAL.replace(values(ASKED, 'query_id, question'), 'qs')} SELECT query_id, rank, chunk_ord, round(score, 6) AS score FROM lex")
+def lexical_indexed(spark, sf):
+    index = trigram.TrigramIndex.build(doc_chunks(spark, sf), trigram.hay_a("doc_path"))
+    return trigram.lexical_a(index, _word_questions(spark, sf), 8).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_ord", F.round("score", 6).alias("score"))
+
+
+@query("keyword_indexed", f"WITH {DOC_CHUNKS}, {_WORDS}, {_keyword_sql(KEYWORDS).replace(values(KEYWORDS, 'query_id, question'), 'qs')} SELECT query_id, rank, chunk_ord, round(score, 6) AS score FROM kw")
+def keyword_indexed(spark, sf):
+    index = trigram.TrigramIndex.build(doc_chunks(spark, sf), trigram.hay_b())
+    return trigram.keyword_b(index, _word_questions(spark, sf), 8).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_ord", F.round("score", 6).alias("score"))
+
+
 @query("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS size, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 3)) AS v FROM embeddings))")
 def l2_normalize(spark, sf):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3))
