@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -777,6 +777,32 @@ def index_state(spark, sf):
     return spark.createDataFrame(rows, "step string, built boolean, n long")
 
 
+@query(
+    "index_update",
+    f"""WITH {CORPUS}, live AS (SELECT doc_id, path, stem, CASE WHEN doc_id % 7 = 0 THEN 'edited ' || text ELSE text END AS text, (doc_id % 7 = 0 OR doc_id % 10 = 9)::INT + 1 AS built FROM q WHERE doc_id % 13 <> 0),
+    {_windows_sql('text', 1500, 1350, 'doc_id, path, built', 'live')}
+    SELECT path AS doc_path, {_CHUNK_NO} AS chunk_id, chunk_text, built::BIGINT AS built FROM w WHERE chunk_text <> ''""",
+)
+def index_update(spark, sf):
+    """An index over nine tenths of the documents is brought up to date: a seventh changed, a thirteenth went, a tenth is new.  ``built`` is the update that embedded a chunk."""
+    index, docs, updates = store.IndexStore(spark, _place(spark, "updated")), corpus(spark, sf), []
+    edited = F.col("doc_id") % 7 == 0
+
+    def build(text: Column) -> Callable[[DataFrame], DataFrame]:
+        def run(changed: DataFrame) -> DataFrame:
+            updates.append(1)
+            made = chunk.chunk_b(docs.join(changed, "path", "left_semi").select("doc_id", F.col("path").alias("doc_path"), text.alias("text")))
+            return embed.hash_embed(made, "chunk_text", dim=8).withColumn("built", F.lit(len(updates)).cast("long"))
+
+        return run
+
+    listed = docs.select("doc_id", "path", F.lit(1).alias("mtime"), F.length("text").alias("size"))
+    index.update(listed.filter("doc_id % 10 <> 9").drop("doc_id"), build(F.col("text")))
+    later = listed.filter("doc_id % 13 <> 0").withColumn("mtime", F.when(edited, 2).otherwise(1)).drop("doc_id")
+    index.update(later, build(F.when(edited, F.concat(F.lit("edited "), "text")).otherwise(F.col("text"))))
+    return index.load().select("doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk_text", "built")
+
+
 @query("candidate_depth", "SELECT * FROM (VALUES (1::BIGINT, 8::BIGINT), (8, 8), (12, 12), (200, 200)) v(top_k, depth)")
 def candidate_depth(spark, sf):
     return spark.createDataFrame([(k, engines.candidate_depth(SettingsB(top_k=k))) for k in (1, 8, 12, 200)], "top_k long, depth long")
