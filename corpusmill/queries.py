@@ -20,7 +20,7 @@ from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
 from corpusmill.sources import files, store
-from corpusmill.streaming import ingest
+from corpusmill.streaming import ingest, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -914,12 +914,28 @@ def rewrite(spark, sf):
 _TYPED = "CASE WHEN doc_id % 9 = 7 THEN ' :reload' WHEN doc_id % 10 = 3 THEN '  ' WHEN doc_id = 150 THEN ':exit ' ELSE ' question ' || doc_id || ' ' END"
 
 
-@query(
-    "question_lines",
-    f"""WITH l AS (SELECT doc_id % 7 AS session, doc_id AS query_id, trim({_TYPED}) AS question FROM documents),
+_LINES_SQL = f"""WITH l AS (SELECT doc_id % 7 AS session, doc_id AS query_id, trim({_TYPED}) AS question FROM documents),
     o AS (SELECT *, bool_or(question = ':exit') OVER w AS over_, sum((question = ':reload')::BIGINT) OVER w AS reloads FROM l WINDOW w AS (PARTITION BY session ORDER BY query_id))
-    SELECT session, query_id, question, reloads::BIGINT AS reloads FROM o WHERE NOT over_ AND question NOT IN ('', ':reload')""",
-)
+    SELECT session, query_id, question, reloads::BIGINT AS reloads FROM o WHERE NOT over_ AND question NOT IN ('', ':reload')"""
+
+
+def _typed(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("session"), F.col("doc_id").alias("line_no"), F.expr(_TYPED).alias("line"))
+
+
+@query("question_lines", _LINES_SQL)
 def question_lines(spark, sf):
-    rows = table(spark, sf, "documents").select((F.col("doc_id") % 7).alias("session"), F.col("doc_id").alias("line_no"), F.expr(_TYPED).alias("line"))
-    return ingest.question_lines(rows)
+    return ingest.question_lines(_typed(spark, sf))
+
+
+@query("question_stream", _LINES_SQL)
+def question_stream(spark, sf):
+    """The same lines in three lots; the stream ends after each and starts again from its checkpoint."""
+    lines, place = _typed(spark, sf), _place(spark, "typed")
+    most = lines.agg(F.max("line_no")).first()[0] or 0
+    for lot in range(3):
+        lines.filter(F.floor(F.col("line_no") * 3 / (most + 1)) == lot).write.mode("append").parquet(f"{place}/lines")
+        stream = spark.readStream.schema(lines.schema).parquet(f"{place}/lines")
+        out = sessions.question_stream(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/mark")
+        sessions.started(out.trigger(availableNow=True), spark).awaitTermination()
+    return spark.read.parquet(f"{place}/out")
