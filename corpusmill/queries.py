@@ -19,7 +19,7 @@ from corpusmill.operators import chunk, compile as tree, embed, expand, fingerpr
 from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
-from corpusmill.sources import files, store
+from corpusmill.sources import files, store, walk
 from corpusmill.streaming import ingest, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -939,3 +939,18 @@ def question_stream(spark, sf):
         out = sessions.question_stream(stream).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/mark")
         sessions.started(out.trigger(availableNow=True), spark).awaitTermination()
     return spark.read.parquet(f"{place}/out")
+
+
+@query(
+    "frontier_walk",
+    f"""WITH {CORPUS} SELECT 'file' AS kind, path, strlen(text)::BIGINT AS size FROM q
+    WHERE NOT list_has_any(parts[:-2], ['node_modules', 'venv']) AND (lower(name) LIKE '%_.md' OR lower(name) LIKE '%_.txt' OR lower(name) LIKE '%_.yaml')
+    UNION ALL SELECT 'opened', '', 1 + count(DISTINCT array_to_string(parts[:i], '/')) FROM (SELECT parts, unnest(range(1, len(parts))) AS i FROM q) WHERE NOT list_has_any(parts[:i], ['node_modules', 'venv'])""",
+)
+def frontier_walk(spark, sf):
+    """The corpus written as files and walked again, and how many folders were opened for it."""
+    root = _place(spark, "tree").removeprefix("file:").replace("///", "/")
+    walk.write_tree(corpus(spark, sf), root)
+    met = walk.walk(spark, [root], IGNORED, EXT)
+    rows = met.files.select(F.lit("file").alias("kind"), F.substr("path", F.lit(len(root) + 2)).alias("path"), "size")
+    return rows.unionByName(spark.createDataFrame([("opened", "", met.opened)], rows.schema))
