@@ -85,8 +85,8 @@ def composed(nodes: DataFrame, text_col: str = "source") -> DataFrame:
 
     ``nodes`` has node_id, parent_id, ord and the text.
     """
-    rows = preorder(nodes).select(F.col("root"), F.struct("key", "node_id").alias("_key"), F.col(text_col).alias("source"))
-    return number_parts(rows, "root", "_key").select("root", "part", "source")
+    rows = places(nodes).select("root", "key", F.col(text_col).alias("source"))
+    return number_parts(rows, "root", "key").select("root", "part", "source")
 
 
 def document(body: Column, documentclass: str = "article", bibliography: str | None = None) -> Column:
@@ -129,3 +129,36 @@ def preorder(nodes: DataFrame) -> DataFrame:
             raise ValueError(f"{total - seen} nodes hang in a cycle or below a parent that is not there")
         levels, seen = [*levels, level], seen + met
     return nodes.join(reduce(DataFrame.unionByName, levels), "node_id")
+
+
+def places(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node_id, parent_id, ord) with ``root``, ``depth`` and a number ``key`` that sorts a root's nodes in preorder.
+
+    The tour that enters and leaves every node is a list, ranked by pointer doubling: each element knows a later
+    one and how many enterings and leavings lie between, and takes over its target's target, so the rounds are
+    the logarithm of the longest tour, whatever the depth.  Rows stay of one size and no element has two
+    before it, so no key is hot.  Siblings with equal ``ord`` go by id.  A node that no root reaches
+    is an error, as in :func:`preorder`.
+    """
+    rows = materialize(nodes.select("node_id", "parent_id", F.struct("ord", "node_id").alias("_order")), "tour-nodes")
+    total = rows.count()
+    kids = materialize(number_parts(rows.filter("parent_id IS NOT NULL"), "parent_id", "_order").select("parent_id", "node_id", "part"), "tour-children")
+    first = kids.filter("part = 1").select(F.col("parent_id").alias("node"), F.col("node_id").alias("to"))
+    enter = rows.select(F.col("node_id").alias("node")).join(first, "node", "left")
+    enter = enter.select("node", F.lit(False).alias("out"), F.coalesce("to", "node").alias("to"), F.col("to").isNull().alias("to_out"), F.lit(1).alias("hops"), F.lit(1).alias("level"), F.lit(False).alias("done"))
+    next_ = kids.select("parent_id", (F.col("part") - 1).alias("part"), F.col("node_id").alias("_next"))
+    leave = kids.join(next_, ["parent_id", "part"], "left").select(F.col("node_id").alias("node"), F.lit(True).alias("out"), F.coalesce("_next", "parent_id").alias("to"), F.col("_next").isNull().alias("to_out"), F.lit(1).alias("hops"), F.lit(-1).alias("level"), F.lit(False).alias("done"))
+    last = rows.filter("parent_id IS NULL").select(F.col("node_id").alias("node"), F.lit(True).alias("out"), F.col("node_id").alias("to"), F.lit(True).alias("to_out"), F.lit(0).alias("hops"), F.lit(0).alias("level"), F.lit(True).alias("done"))
+    long = lambda df: df.withColumns({c: F.col(c).cast("long") for c in ("hops", "level")})
+    tour = materialize(long(enter.unionByName(leave).unionByName(last)), "tour-0")
+    for i in range((2 * total).bit_length() + 1):
+        going = tour.filter("NOT done")
+        if going.isEmpty():
+            break
+        ahead = tour.select(F.col("node").alias("to"), F.col("out").alias("to_out"), F.col("to").alias("_to"), F.col("to_out").alias("_out"), F.col("hops").alias("_hops"), F.col("level").alias("_level"), F.col("done").alias("_done"))
+        went = going.join(ahead, ["to", "to_out"]).select("node", "out", F.col("_to").alias("to"), F.col("_out").alias("to_out"), (F.col("hops") + F.col("_hops")).alias("hops"), (F.col("level") + F.col("_level")).alias("level"), F.col("_done").alias("done"))
+        tour = materialize(tour.filter("done").unionByName(went), f"tour-{i + 1}")
+    met = tour.filter("done AND NOT out").select(F.col("node").alias("node_id"), F.col("to").alias("root"), (1 - F.col("level")).cast("int").alias("depth"), F.expr("-((hops + level) div 2)").alias("key"))
+    if (reached := met.count()) < total:
+        raise ValueError(f"{total - reached} nodes hang in a cycle or below a parent that is not there")
+    return nodes.join(met, "node_id")

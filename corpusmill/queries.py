@@ -837,6 +837,13 @@ def preorder(spark, sf):
     return tree.preorder(_nodes(spark, sf)).select("node_id", "root", F.col("depth").cast("long").alias("depth"), F.array_join(F.col("key").cast("array<string>"), "/").alias("key"))
 
 
+@query("preorder_places", f"WITH {_NODES} SELECT node_id, root, depth::BIGINT AS depth, row_number() OVER (PARTITION BY root ORDER BY key) AS place FROM t")
+def preorder_places(spark, sf):
+    """The same order by ranking the tour, without paths."""
+    found = tree.number_parts(tree.places(_nodes(spark, sf)).select("node_id", "root", "depth", "key"), "root", "key")
+    return found.select("node_id", "root", F.col("depth").cast("long").alias("depth"), F.col("part").alias("place"))
+
+
 @query("composed", f"WITH {_NODES} SELECT root, row_number() OVER (PARTITION BY root ORDER BY key) AS part, source FROM t")
 def composed(spark, sf):
     return tree.composed(_nodes(spark, sf))
