@@ -10,7 +10,8 @@ near, the text is flagged as ambiguous.
 
 Learning reads text and language of labelled rows only, a sample of about
 TRAIN_DOCS rows a language drawn by a hash of the id (all rows if there are fewer), of
-which one in TRUST_SHARE measures the bits.  Every language of those rows is learned.
+which one in TRUST_SHARE measures the bits.  Every language of those rows is learned: the first
+row drawn never measures, and a bit counts half for a language that none measures.
 The n-gram counts stay distributed and are summed by bucket into the bits; the driver
 gets the model alone: BUCKETS times bits, and languages times bits, where the bits grow
 with the logarithm of the number of languages.  Prediction is one scan over whole texts.
@@ -28,7 +29,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,6 @@ BUCKETS = 1 << 16
 TRAIN_DOCS = 3000
 #: One in so many rows of the sample measures the bits instead of being learned from.
 TRUST_SHARE = 5
-#: Up to so many languages the code holds every possible bit, and any two codewords differ in half of the
-#: possible ones (2 ** (n - 2)); beyond, codewords are drawn at random and differ in a quarter of their bits at least.
-EXHAUSTIVE = 6
 SMOOTHING = 0.5
 #: Bytes of a text whose n-grams are summed together, bytes and numbers (n-grams times bits) looked at together.
 PART, BLOCK, NUMBERS = 1 << 15, 1 << 17, 1 << 22
@@ -70,11 +67,9 @@ class Model:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """``n`` codewords; every column splits the languages in two."""
+    """``n`` codewords, drawn at random; any two differ in a quarter of the bits at least, and every column splits the languages in two."""
     if n < 2:
         return np.ones((n, 1))
-    if n <= EXHAUSTIVE:
-        return np.array([(1, *c) for c in product((1, -1), repeat=n - 1)][1:]).T.astype(float)
     rng, bits = np.random.default_rng(seed), 10 * math.ceil(math.log2(n))
     code = np.empty((n, bits), np.int8)
     have = 0
@@ -161,13 +156,13 @@ def decode(found: np.ndarray, model: Model) -> tuple[str, float, bool]:
 
 def _sample(docs: DataFrame, usable: Column, per_language: int) -> DataFrame:
     """``lang``, ``text`` of the rows to learn from, and ``measures``, true for those that measure the bits."""
-    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    rates = rows.groupBy("lang").count().select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("rate"))
+    rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) / 1_000_000
+    rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"), F.min(draw).alias("first"))
     measures = F.pmod(F.xxhash64("doc_id", F.lit("language trust")), F.lit(TRUST_SHARE)) == 0
-    # a row for each language, as the model has, which is broadcast too
-    kept = rows.join(F.broadcast(rates), "lang").filter((draw < F.col("rate")) & F.col("text").isNotNull())
-    return kept.select("lang", "text", measures.alias("measures"))
+    # a row for each language, as the model has, which is broadcast too; the first drawn row of each is always learned from
+    kept = rows.join(F.broadcast(rates), "lang").filter((draw < F.col("rate")) | (draw == F.col("first")))
+    return kept.select("lang", "text", (measures & (draw > F.col("first"))).alias("measures"))
 
 
 def _counts(languages: object):
@@ -264,8 +259,7 @@ def learn(docs: DataFrame, usable: Column, per_language: int = TRAIN_DOCS) -> Mo
     up, down = plus[:, :-1] + base @ sides, every - plus[:, :-1] + base @ (1 - sides)
     weights = np.log(up / np.maximum(sides.sum(0), 1)) - np.log(np.maximum(down, 1e-300) / np.maximum((1 - sides).sum(0), 1)) if len(languages) > 1 else np.zeros((BUCKETS, 1))
     shared = sc.broadcast((languages, code, weights))
-    known = F.broadcast(spark.createDataFrame([(x,) for x in languages], "lang string"))  # a language may have measuring rows alone
-    tests = sample.filter("measures").join(known, "lang").select("lang", "text")
+    tests = sample.filter("measures").select("lang", "text")
     seen = np.zeros((len(languages), 1 + 2 * code.shape[1]))
     for r in tests.mapInArrow(C.tidied(_bits_right(shared)), "lang long, sums array<double>").toLocalIterator():
         seen[r["lang"]] += r["sums"]

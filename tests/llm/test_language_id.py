@@ -15,7 +15,7 @@ def test_codewords_differ():
         assert code.shape[0] == n and set(np.unique(code)) == {-1.0, 1.0}
         assert (np.abs(code.sum(0)) < n).all()
         apart = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
-        assert apart >= (2 ** (n - 2) if n <= L.EXHAUSTIVE else 10 * int(np.ceil(np.log2(n))) / 4)
+        assert apart >= 10 * int(np.ceil(np.log2(n))) / 4
 
 
 def slow_grams(text):
@@ -143,3 +143,15 @@ def test_one_language(spark):
     docs = spark.createDataFrame([(i, "some words of it", "en") for i in range(9)] + [(50, "123", "en")], "doc_id long, text string, lang string")
     told = {r.doc_id: (r.lang_pred, r.score) for r in L.predict(docs, L.learn(docs, ~L.held_out())).collect()}
     assert told[50] == ("und", 0.0) and told[0] == ("en", 1.0)
+
+
+def test_languages_with_one_row_are_all_learned(spark):
+    rows = [(i, f"l{i:02d}", f"{chr(97 + i % 26)}{chr(98 + i // 3)} " * 30 + f"word{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    usable = {r.lang for r in docs.filter(~L.held_out()).collect()}
+    model = L.learn(docs, ~L.held_out())
+    assert set(model.languages) == usable and len(usable) > 25
+    told = {r.doc_id: r.lang_pred for r in L.predict(docs, model).collect()}
+    assert sum(told[i] == lang for i, lang, _ in rows if lang in usable) > 0.9 * len(usable)
+    many = spark.createDataFrame([(i, "one" if i % 50 else f"x{i}", f"text {i}") for i in range(1, 400)], "doc_id long, lang string, text string")
+    assert set(L.learn(many, ~L.held_out(), per_language=20).languages) == {r.lang for r in many.filter(~L.held_out()).collect()}
