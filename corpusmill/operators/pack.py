@@ -6,6 +6,8 @@ shuffle beyond the one that gathers them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,18 @@ def fit_states(hits: Column, first: int = 600, min_hits: int = 1) -> Column:
     return F.concat(short, fewer, shortest)
 
 
+def fit_limits(first: int = 600) -> list[int]:
+    """The lengths to which the fitting cuts chunks, each once."""
+    return list(dict.fromkeys([first, *_limits(first, 200, 0.8), 200, *_limits(200, 80, 0.7)]))
+
+
+def first_fitting(df: DataFrame, states: Column) -> DataFrame:
+    """Adds ``fit``: the first of the weighed ``states`` that fits, else the last."""
+    tried = df.withColumn("_tried", states)
+    fitting = F.filter("_tried", lambda t: t["fits"])
+    return tried.withColumn("fit", F.when(F.size(fitting) > 0, F.element_at(fitting, 1)).otherwise(F.element_at("_tried", -1))).drop("_tried")
+
+
 def fit_context(df: DataFrame, settings: SettingsB | None = None) -> DataFrame:
     """Adds ``fit`` (chars, n_hits, tokens, state, fits): the first state whose prompt fits, else the last.
 
@@ -88,9 +102,7 @@ def fit_context(df: DataFrame, settings: SettingsB | None = None) -> DataFrame:
         tokens = T.token_count(prompt_text(messages(F.col("question"), context, s.system_prompt)))
         return F.struct(state["chars"].alias("chars"), state["n_hits"].alias("n_hits"), tokens.alias("tokens"), i.alias("state"), (tokens + max(1, s.max_tokens) <= s.n_ctx).alias("fits"))
 
-    tried = df.withColumn("_tried", F.transform(states, weigh))
-    fitting = F.filter("_tried", lambda t: t["fits"])
-    return tried.withColumn("fit", F.when(F.size(fitting) > 0, F.element_at(fitting, 1)).otherwise(F.element_at("_tried", -1))).drop("_tried")
+    return first_fitting(df, F.transform(states, weigh))
 
 
 def use_context(best_vector: Column, best_keyword: Column, policy: Policy | None = None) -> Column:
@@ -107,20 +119,28 @@ def route(question: Column, with_context: Column, policy: Policy | None = None)
     return F.when(bare == "", "empty").when(~with_context, none).when(F.size(T.query_tokens_b(bare)) == 1, "snippet").otherwise("context")
 
 
-def answer(df: DataFrame, settings: SettingsB | None = None, keep_fitted_limit: bool = True) -> DataFrame:
+def answer(df: DataFrame, settings: SettingsB | None = None, keep_fitted_limit: bool = True, tokenizer: Callable | None = None) -> DataFrame:
     """Adds ``route, messages, reply`` to rows of question, hits (merged), kw_hits, best_vector, best_keyword.
 
+    ``tokenizer`` makes an ``operators.tokens.Tokenizer`` for the counts; without it tokens are words.
     ``reply`` is the final text where no model is needed; ``messages`` what a model would get.
     The studied code forgets the fitted chunk length; ``keep_fitted_limit=False`` does too.
     """
     s = settings or SettingsB()
     p = s.policy
-    fitted = fit_context(df, s).withColumn("route", route(F.col("question"), use_context(F.col("best_vector"), F.col("best_keyword"), p), p))
+    from corpusmill.operators import tokens
+
+    fitted = (fit_context(df, s) if tokenizer is None else tokens.fit_counted(df, tokenizer, s)).withColumn("route", route(F.col("question"), use_context(F.col("best_vector"), F.col("best_keyword"), p), p))
     context = shown(F.slice("hits", F.lit(1), F.col("fit.n_hits")), F.col("fit.chars") if keep_fitted_limit else 600, p)
     chat = messages(F.col("question"), context, s.system_prompt)
-    over = T.token_count(prompt_text(chat)) + s.max_tokens > s.n_ctx
+    if tokenizer is None:
+        size = T.token_count(prompt_text(chat))
+    else:
+        fitted = tokens.count_tokens(fitted.withColumn("_prompt", prompt_text(chat)), tokenizer, "_prompt", "_size").drop("_prompt")
+        size = F.col("_size")
+    over = size + s.max_tokens > s.n_ctx
     general = F.array(F.struct(F.lit("system").alias("role"), F.lit(s.general_prompt).alias("content")), F.struct(F.lit("user").alias("role"), T.strip(F.col("question")).alias("content")))
-    fitted = fitted.withColumn("route", F.when((F.col("route") == "context") & over, "general" if p.allow_general_fallback else "no_room").otherwise(F.col("route")))
+    fitted = fitted.withColumn("route", F.when((F.col("route") == "context") & over, "general" if p.allow_general_fallback else "no_room").otherwise(F.col("route"))).drop("_size")
     sources = F.when(F.size("kw_hits") > 0, F.col("kw_hits")).otherwise(F.col("hits"))
     reply = F.when(F.col("route") == "empty", "").when(F.col("route") == "not_found", NOT_FOUND).when(F.col("route") == "no_room", NO_ROOM).when(F.col("route") == "snippet", snippet(sources, p))
     return fitted.withColumn("messages", F.when(F.col("route") == "context", chat).when(F.col("route") == "general", general)).withColumn("reply", reply)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.operators import chunk, embed, expand, flatten, pack, retrieve, trigram
+from corpusmill.operators import chunk, embed, expand, flatten, pack, retrieve, tokens, trigram
 from corpusmill.runtime import materialize, ship
 from corpusmill.settings import REWRITE_PROMPT, REWRITE_SAMPLING, Sampling, SettingsA, SettingsB
 from corpusmill.sources.files import decode_b, scan_roots
@@ -40,10 +40,13 @@ def ingest_b(docs: DataFrame, settings: SettingsB | None = None) -> DataFrame:
     return made if s.max_chunks_total is None else chunk.cap_chunks(made, s.max_chunks_total, ["chunk_ord"])
 
 
-def embed_b(chunks: DataFrame, make: Callable[[], embed.Embedder], settings: SettingsB | None = None) -> DataFrame:
+def embed_b(chunks: DataFrame, make: Callable[[], embed.Embedder], settings: SettingsB | None = None, tokenizer: Callable[[], tokens.Tokenizer] | None = None) -> DataFrame:
     """Vectors of engine B: texts are cut to the model's context less a margin, 128 tokens at least."""
     s = settings or SettingsB()
-    return embed.embed(chunks, make, max_tokens=max(128, s.embed_n_ctx - s.embed_token_margin))
+    most = max(128, s.embed_n_ctx - s.embed_token_margin)
+    if tokenizer is None:
+        return embed.embed(chunks, make, max_tokens=most)
+    return embed.embed(tokens.truncate(chunks, tokenizer, most, "chunk_text", "_short"), make, "_short").drop("_short")
 
 
 def build_b(files: DataFrame, root: str, make: Callable[[], embed.Embedder], settings: SettingsB | None = None) -> DataFrame:
@@ -92,10 +95,10 @@ def candidate_depth(settings: SettingsB) -> int:
     return max(8, settings.top_k)
 
 
-def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsB | None = None, words: trigram.TrigramIndex | None = None) -> DataFrame:
+def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsB | None = None, words: trigram.TrigramIndex | None = None, tokenizer: Callable[[], tokens.Tokenizer] | None = None) -> DataFrame:
     """``query_id, question, route, messages, reply``.  ``index`` has chunk_ord, doc_path, chunk_id, chunk_text, embedding.
 
-    With ``words``, an index over ``trigram.hay_b``, keyword hits come from posting lists.
+    With ``words``, an index over ``trigram.hay_b``, keyword hits come from posting lists; ``tokenizer`` counts the prompts.
     """
     s = settings or SettingsB()
     to_vector = embedder or (lambda df, col: embed.hash_embed(df, col))
@@ -111,7 +114,7 @@ def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame,
     rows = pack.gather(merged, s.top_k).join(pack.gather(kw, depth).withColumnRenamed("hits", "kw_hits"), "query_id", "full_outer").join(best, "query_id", "left")
     none = F.array().cast(pack.gather(kw, 1).schema["hits"].dataType)
     asked = questions.join(rows, "query_id", "left").withColumn("hits", F.coalesce("hits", none)).withColumn("kw_hits", F.coalesce("kw_hits", none))
-    return pack.answer(asked, s).select("query_id", "question", "route", "messages", "reply")
+    return pack.answer(asked, s, tokenizer=tokenizer).select("query_id", "question", "route", "messages", "reply")
 
 
 def complete(prompts: DataFrame, make: Callable[[], Callable[..., str]], prompt_col: str = "prompt", sampling: Sampling | None = None) -> DataFrame:

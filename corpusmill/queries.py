@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
-from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, pack, retrieve, trigram
+from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, pack, retrieve, tokens, trigram
 from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
@@ -485,12 +485,34 @@ tk AS (SELECT *, len(list_filter(string_split_regex(prompt, '\\s+'), lambda x: x
 ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN tokens + 100 <= 420 THEN state ELSE 1000 - state END) AS pick FROM tk)"""
 
 
-@query("context_fit", f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, chars::BIGINT AS chars, n_hits::BIGINT AS n_hits, tokens::BIGINT AS tokens, state::BIGINT AS state, tokens + 100 <= 420 AS fits FROM ch WHERE pick = 1")
-def context_fit(spark, sf):
-    fit = _fit_rows(spark, sf).select("query_id", "fit.*")
+_FITTED_SQL = f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, chars::BIGINT AS chars, n_hits::BIGINT AS n_hits, tokens::BIGINT AS tokens, state::BIGINT AS state, tokens + 100 <= 420 AS fits FROM ch WHERE pick = 1"
+
+
+def _fitted(rows: DataFrame) -> DataFrame:
+    fit = rows.select("query_id", "fit.*")
     return fit.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("chars", "n_hits", "tokens", "state")], "fits")
 
 
+@query("context_fit", _FITTED_SQL)
+def context_fit(spark, sf):
+    return _fitted(_fit_rows(spark, sf))
+
+
+@query("context_fit_counted", _FITTED_SQL)
+def context_fit_counted(spark, sf):
+    """The same by a tokenizer plug, from sums of counted pieces."""
+    merged = pack.gather(retrieve.merge_hybrid(*_sides(spark, sf), 12), 12)
+    return _fitted(tokens.fit_counted(_asks(spark, sf, KEYWORDS).select("query_id", "question").join(merged, "query_id"), tokens.WordTokenizer, _FIT))
+
+
+@query("token_cut", """SELECT doc_id, n_tokens, CASE WHEN n_tokens > 40 THEN regexp_extract(text, '^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){40}') ELSE text END AS cut
+    FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents)""")
+def token_cut(spark, sf):
+    """Token counts and cuts at a token's end, by a plug."""
+    counted = tokens.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), tokens.WordTokenizer, "text", "n_tokens")
+    return tokens.truncate(counted, tokens.WordTokenizer, 40).select("doc_id", "n_tokens", "cut")
+
+
 @query("prompt_b", f"{_FIT_SQL} SELECT query_id::BIGINT AS query_id, prompt FROM ch WHERE pick = 1")
 def prompt_b(spark, sf):
     rows = _fit_rows(spark, sf)
