@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -95,6 +95,11 @@ def candidate_depth(settings: SettingsB) -> int:
     return max(8, settings.top_k)
 
 
+def depth_of(top_k: Column) -> Column:
+    """:func:`candidate_depth` where each question has its own ``top_k``."""
+    return F.greatest(F.lit(8), top_k)
+
+
 def ask_b(index: DataFrame, questions: DataFrame, embedder: Callable[[DataFrame, str], DataFrame] | None = None, settings: SettingsB | None = None, words: trigram.TrigramIndex | None = None, tokenizer: Callable[[], tokens.Tokenizer] | None = None) -> DataFrame:
     """``query_id, question, route, messages, reply``.  ``index`` has chunk_ord, doc_path, chunk_id, chunk_text, embedding.
 

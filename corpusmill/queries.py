@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
-from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, pack, retrieve, tokens, trigram
+from corpusmill.operators import chunk, compile as tree, embed, expand, fingerprint, flatten, graph, lang, merkle, pack, retrieve, tokens, trigram
 from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
@@ -351,7 +351,7 @@ def lexical_fallback(spark, sf):
 
 @query(
     "expand_question",
-    f"""WITH e AS (SELECT query_id::BIGINT AS query_id, trim(question) AS b, lower(question) AS l FROM {values(EXPANDED, 'query_id, question')}),
+    f"""WITH e AS (SELECT doc_id AS query_id, trim(question || ' ' || regexp_extract(text, '[^\\x20\\x09-\\x0D]+')) AS b, lower(b) AS l FROM documents JOIN {values(EXPANDED, 'query_id, question')} ON query_id = doc_id % 6),
     v AS (SELECT query_id, 0 AS o, b AS q FROM e UNION ALL SELECT query_id, 1, b || ' consulate' FROM e WHERE contains(l, 'embassy') AND NOT contains(l, 'consulate')
       UNION ALL SELECT query_id, 2, b || ' embassy' FROM e WHERE contains(l, 'consulate') AND NOT contains(l, 'embassy')
       UNION ALL SELECT query_id, 3, replace(b, 'vienna', 'wien') FROM e WHERE contains(l, 'vienna') AND NOT contains(l, 'wien')
@@ -359,7 +359,11 @@ def lexical_fallback(spark, sf):
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS variant, q AS question FROM (SELECT query_id, q, min(o) AS o FROM v WHERE q <> '' GROUP BY query_id, q)""",
 )
 def expand_question(spark, sf):
-    return expand.expand_questions(_asked(spark, EXPANDED)).withColumn("variant", F.col("variant").cast("long"))
+    """A question of each document: one of six beginnings, then its first word."""
+    begin = F.broadcast(_asked(spark, EXPANDED).select(F.col("query_id").alias("kind"), "question"))
+    rows = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 6).alias("kind"), F.coalesce(T.words(F.col("text"))[0], F.lit("")).alias("word")).join(begin, "kind")
+    asked = rows.select(F.col("doc_id").alias("query_id"), F.concat("question", F.lit(" "), "word").alias("question"))
+    return expand.expand_questions(asked).withColumn("variant", F.col("variant").cast("long"))
 
 
 @query(
@@ -539,6 +543,18 @@ def changed_files(spark, sf):
     return fingerprint.changed_files(now, rows.filter("doc_id % 10 <> 0"))
 
 
+@query(
+    "merkle_changes",
+    f"WITH {CORPUS} SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'new' WHEN doc_id % 10 = 1 THEN 'gone' ELSE 'modified' END AS change FROM q WHERE doc_id % 10 < 3 AND path IS NOT NULL",
+)
+def merkle_changes(spark, sf):
+    """Changed files by comparing two trees of digests, folder by folder."""
+    rows = corpus(spark, sf).filter("path IS NOT NULL").select("doc_id", "path", F.col("doc_id").alias("mtime"), F.length("text").alias("size"))
+    now = rows.filter("doc_id % 10 <> 1").withColumn("mtime", F.col("mtime") + F.when(F.col("doc_id") % 10 == 2, 1).otherwise(0))
+    trees = [merkle.MerkleTree.build(r) for r in (now, rows.filter("doc_id % 10 <> 0"))]
+    return merkle.changed_files(*trees)
+
+
 @query("section_level", f"WITH {CORPUS} SELECT doc_id, len(parts)::BIGINT - 1 AS depth, (['chapter', 'section', 'subsection', 'subsubsection', 'paragraph', 'subparagraph'])[len(parts)] AS command FROM q")
 def section_level(spark, sf):
     return tree.sections(corpus(spark, sf)).select("doc_id", F.col("depth").cast("long").alias("depth"), "command")
@@ -549,18 +565,17 @@ def compile_tree(spark, sf):
     return tree.compile_tree(corpus(spark, sf).withColumn("source_dir", F.substring_index("path", "/", 1)), "source_dir")
 
 
-@query("extended_levels", "SELECT i::BIGINT AS depth, CASE WHEN i = 0 THEN 'part' WHEN i = 1 THEN 'chapter' ELSE repeat('sub', (i - 2)::INT) || 'section' END AS command FROM range(0, 12) r(i)")
+@query("extended_levels", "SELECT doc_id, i AS depth, CASE WHEN i = 0 THEN 'part' WHEN i = 1 THEN 'chapter' ELSE repeat('sub', (i - 2)::INT) || 'section' END AS command FROM (SELECT doc_id, doc_id % 12 AS i FROM documents)")
 def extended_levels(spark, sf):
-    levels = tree.extended_levels(10)
-    return spark.range(12).select(F.col("id").alias("depth"), tree.heading(F.col("id"), "part", levels).alias("command"))
-
+    levels, depth = tree.extended_levels(10), F.col("doc_id") % 12
+    return table(spark, sf, "documents").select("doc_id", depth.alias("depth"), tree.heading(depth, "part", levels).alias("command"))
 
-TAGS = ((0, "a, b ,c"), (1, " one "), (2, "x,, y,"), (3, ""))
 
-
-@query("semtag_split", f"SELECT id::BIGINT AS id, trim(t) AS tag FROM (SELECT id, unnest(string_split(tags, ',')) AS t FROM {values(TAGS, 'id, tags')}) WHERE trim(t) <> ''")
+@query("semtag_split", "SELECT doc_id AS id, trim(t) AS tag FROM (SELECT doc_id, unnest(string_split(' ' || array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:9], ', ') || ',, ', ',')) AS t FROM documents) WHERE trim(t) <> ''")
 def semtag_split(spark, sf):
-    return spark.createDataFrame(list(TAGS), "id long, tags string").select("id", F.explode(T.semantic_tags(F.col("tags"))).alias("tag"))
+    """The first words of each document as a comma list with empty items."""
+    tags = F.concat(F.lit(" "), F.array_join(F.slice(T.words(F.col("text")), 1, 9), ", "), F.lit(",, "))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(T.semantic_tags(tags)).alias("tag"))
 
 
 @query("link_macros", "SELECT page_id, '\\href{' || url || '}{see here}' AS seehere, '\\href{' || url || '}{url}' AS clickurl, '\\href{' || url || '}{see here}\\footnote{\\url{' || url || '}}' AS seeherefooter, '\\href{' || url || '}{here}\\footnote{\\url{' || url || '}}' AS clickurlfooter FROM pages")
@@ -568,20 +583,21 @@ def link_macros(spark, sf):
     return table(spark, sf, "pages").select("page_id", *[T.link_macro(k, F.col("url")).alias(k) for k in ("seehere", "clickurl", "seeherefooter", "clickurlfooter")])
 
 
-DIRS = ((0, "/p/src/a", "g.dot"), (1, "/p/src", "h"), (2, "/p/x", "i.dot"), (3, "/p/src/q/src/b", "j.dot"))
-
-
-@query("graph_output", "SELECT * FROM (VALUES (0::BIGINT, '/p/out/g.pdf'), (1, '/p/out/h.pdf'), (2, NULL), (3, '/p/src/q/out/j.pdf')) v(id, target)")
+@query("graph_output", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN '/p/out/g' || doc_id || '.pdf' WHEN 1 THEN '/p/src/' || source || '/out/g' || doc_id || '.pdf' END AS target FROM documents")
 def graph_output(spark, sf):
-    return spark.createDataFrame(list(DIRS), "id long, dir string, name string").select("id", T.graph_output(F.col("dir"), F.col("name")).alias("target"))
-
-
-SPELLED = ((0, "30m"), (1, "30 minutes"), (2, "30 min"), (3, "30 m"), (4, "30 minute"))
+    i = F.col("doc_id")
+    folder = F.when(i % 3 == 0, F.concat(F.lit("/p/src/"), "source")).when(i % 3 == 1, F.concat(F.lit("/p/src/"), "source", F.lit("/src"))).otherwise(F.concat(F.lit("/p/"), "source"))
+    name = F.concat(F.lit("g"), i.cast("string"), F.when(i % 2 == 0, ".dot").otherwise(""))
+    return table(spark, sf, "documents").select(i.alias("id"), T.graph_output(folder, name).alias("target"))
 
 
-@query("duration_lookup", f"SELECT id::BIGINT AS id, text, 'minute' AS unit FROM {values(SPELLED, 'id, text')} WHERE text IN ('30m', '30 m', '30 minute', '30 minutes')")
+@query("duration_lookup", """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, text, 'minute' AS unit FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT || (['m', ' minutes', ' min', ' m', ' minute'])[1 + l_orderkey % 5] AS text FROM lineitem)
+    WHERE text IN ('30m', '30 m', '30 minute', '30 minutes')""")
 def duration_lookup(spark, sf):
-    return lang.duration_units(spark.createDataFrame(list(SPELLED), "id long, text string")).select("id", "text", "unit")
+    """Quantities spelled as durations in five ways, four of them known."""
+    spelled = F.element_at(F.array(*[F.lit(x) for x in ("m", " minutes", " min", " m", " minute")]), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.concat(F.col("l_quantity").cast("int").cast("string"), spelled).alias("text"))
+    return lang.duration_units(rows)
 
 
 @query("kv_explode", "SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events WHERE props IS NOT NULL)")
@@ -590,10 +606,16 @@ def kv_explode(spark, sf):
     return lang.explode_pairs(rows, "pairs")
 
 
-@query("word_unnest", "SELECT * FROM (VALUES ('unhappiness', 0::BIGINT, 'un', 'un', 'u'), ('unhappiness', 0, 'un', 'un', 'n'), ('unhappiness', 1, 'happy', 'hap', 'h'), ('unhappiness', 1, 'happy', 'hap', 'a'), ('unhappiness', 1, 'happy', 'hap', 'p'), ('unhappiness', 1, 'happy', 'py', 'p'), ('unhappiness', 1, 'happy', 'py', 'y'), ('unhappiness', 2, 'ness', 'ness', 'ness')) v(word, morpheme_no, morpheme, syllable, phoneme)")
+@query("word_unnest", """WITH m AS (SELECT doc_id::VARCHAR AS word, w[k] AS morpheme, k - 1 AS morpheme_no FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:3] AS w FROM documents))),
+    s AS (SELECT *, substring(morpheme, (3 * j + 1)::INT, 3) AS syllable, j AS syllable_no FROM (SELECT *, unnest(range(0, (length(morpheme) + 2) // 3)) AS j FROM m))
+    SELECT word, morpheme_no, morpheme, syllable_no, syllable, p - 1 AS phoneme_no, substring(syllable, p::INT, 1) AS phoneme FROM (SELECT *, unnest(range(1, length(syllable) + 1)) AS p FROM s)""")
 def word_unnest(spark, sf):
-    word = ("unhappiness", [("un", [("un", ["u", "n"])]), ("happy", [("hap", ["h", "a", "p"]), ("py", ["p", "y"])]), ("ness", [("ness", ["ness"])])])
-    return lang.unnest_words(spark.createDataFrame([word], lang.WORD)).select("word", F.col("morpheme_no").cast("long").alias("morpheme_no"), "morpheme", "syllable", "phoneme")
+    """The first three words of each document, cut every three letters, down to letters."""
+    parts = lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.length(w) / 3).cast("int") - 1), lambda j: F.substring(w, 3 * j + 1, F.lit(3)))
+    syllables = lambda w: F.transform(parts(w), lambda x: F.struct(x.alias("text"), F.split(x, "").alias("phonemes")))
+    words = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("word"), F.transform(F.slice(T.words(F.col("text")), 1, 3), lambda w: F.struct(w.alias("text"), syllables(w).alias("syllables"))).alias("morphemes"))
+    long = [F.col(c).cast("long").alias(c) for c in ("morpheme_no", "syllable_no", "phoneme_no")]
+    return lang.unnest_words(words).select("word", "morpheme", "syllable", "phoneme", *long)
 
 
 @query("space_tokens", "SELECT doc_id, count(*) AS n, max(length(t)) AS longest FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) GROUP BY doc_id")
@@ -602,10 +624,12 @@ def space_tokens(spark, sf):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("token")).cast("long").alias("longest"))
 
 
-@query("node_color_default", "SELECT * FROM (VALUES ('1', 'lightblue'), ('2', 'lightblue'), ('3', 'lightblue'), ('4', 'red'), ('5', 'green')) v(id, color)")
+@query("node_color_default", "SELECT c_custkey::VARCHAR AS id, CASE c_custkey % 4 WHEN 2 THEN lower(c_mktsegment) WHEN 3 THEN 'red' ELSE 'lightblue' END AS color FROM customer")
 def node_color_default(spark, sf):
-    rows = [("1", None), ("2", None), ("3", {}), ("4", {"color": "red"}), ("5", {"color": "green"})]
-    return graph.node_colors(spark.createDataFrame(rows, "id string, attrs map<string,string>"))
+    """Customers as vertices: without attributes, with none that counts, and with a colour."""
+    k, color = F.col("c_custkey") % 4, F.when(F.col("c_custkey") % 4 == 2, F.lower("c_mktsegment")).otherwise("red")
+    attrs = F.when(k == 1, F.create_map(F.lit("shape"), F.lit("box"))).when(k > 1, F.create_map(F.lit("color"), color))
+    return graph.node_colors(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), attrs.alias("attrs")))
 
 
 @query(
@@ -825,9 +849,10 @@ def index_update(spark, sf):
     return index.load().select("doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk_text", "built")
 
 
-@query("candidate_depth", "SELECT * FROM (VALUES (1::BIGINT, 8::BIGINT), (8, 8), (12, 12), (200, 200)) v(top_k, depth)")
+@query("candidate_depth", "SELECT doc_id, greatest(8, 1 + doc_id % 40)::BIGINT AS depth FROM documents")
 def candidate_depth(spark, sf):
-    return spark.createDataFrame([(k, engines.candidate_depth(SettingsB(top_k=k))) for k in (1, 8, 12, 200)], "top_k long, depth long")
+    """How many hits each side looks for, where every question has its own ``top_k``."""
+    return table(spark, sf, "documents").select("doc_id", engines.depth_of(1 + F.col("doc_id") % 40).cast("long").alias("depth"))
 
 
 @query("pretty_yaml", "SELECT n_name || '.yml' AS path, 'name: ' || n_name || chr(10) || 'key: ' || n_nationkey || chr(10) || 'in:' || chr(10) || '- a' || chr(10) || '- é' || chr(10) AS text FROM nation UNION ALL SELECT r_name || '.yaml', '{k: 1}' FROM region")
