@@ -795,6 +795,14 @@ def index_meta(spark, sf):
     return lines.select("v.dim", "v.chunk.doc_path", "v.chunk.chunk_id", F.col("v.chunk.text").alias("chunk_text"))
 
 
+@query("index_meta_file", f"WITH {DOC_CHUNKS} SELECT 64::BIGINT AS dim, doc_path, chunk_id::BIGINT AS chunk_id, chunk_text FROM k")
+def index_meta_file(spark, sf):
+    """The metadata as one JSON object in one file, written and read again by many tasks."""
+    path = _place(spark, "meta").removeprefix("file:").replace("///", "/") + ".json"
+    store.write_metadata(doc_chunks(spark, sf), path, 64)
+    return store.read_metadata(spark, path).select(F.col("dim").cast("long").alias("dim"), "doc_path", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk_text")
+
+
 @query("tex_sink", f"WITH {CORPUS} SELECT line, count(*) AS n FROM (SELECT unnest(string_split('\\' || (['chapter', 'section', 'subsection', 'subsubsection'])[len(parts)] || '{{' || stem || '}}' || chr(10) || text, chr(10))) AS line FROM q) GROUP BY 1")
 def tex_sink(spark, sf):
     """Compiled parts written as text and read again, line by line."""

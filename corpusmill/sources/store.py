@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators.fingerprint import changed_files
 from corpusmill.runtime import materialize
 from corpusmill.settings import read_instructions
+from corpusmill.sources import onefile
 
 
 def write_chunks_jsonl(chunks: DataFrame, path: str, path_col: str = "source_path", text_col: str = "chunk_text") -> None:
@@ -204,12 +205,26 @@ class IndexStore:
         return gone
 
 
+_META = "doc_path string, chunk_id int, text string"
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """``dim, doc_path, chunk_id, chunk_text`` of a metadata file that is one JSON object with ``dim`` and ``chunks``."""
-    rows = spark.read.schema("dim int, chunks array<struct<doc_path:string,chunk_id:int,text:string>>").option("multiLine", "true").json(path)
+    """``dim, doc_path, chunk_id, chunk_text`` of a metadata file that is one JSON object with ``dim`` and ``chunks``.
+
+    Many tasks read a file that every executor mounts (``onefile``); from other stores one task reads it.
+    """
+    if "://" not in path:
+        dim = onefile.scalars(path).get("dim")
+        return onefile.read_object(spark, path, _META).select(F.lit(dim).cast("int").alias("dim"), "doc_path", "chunk_id", F.col("text").alias("chunk_text"))
+    rows = spark.read.schema(f"dim int, chunks array<struct<{_META.replace(' ', ':').replace(',:', ',')}>>").option("multiLine", "true").json(path)
     return rows.select("dim", F.explode("chunks").alias("c")).select("dim", "c.doc_path", "c.chunk_id", F.col("c.text").alias("chunk_text"))
 
 
+def write_metadata(chunks: DataFrame, path: str, dim: int) -> int:
+    """``chunk_ord, doc_path, chunk_id, chunk_text`` as that one object, in order of ``chunk_ord``, by many tasks."""
+    return onefile.write_object(chunks.select("chunk_ord", "doc_path", "chunk_id", F.col("chunk_text").alias("text")), path, dim=dim)
+
+
 def metadata_json(chunks: DataFrame, dim: int) -> DataFrame:
     """One JSON row per chunk with the dimension: the metadata file as lines."""
     return chunks.select(F.to_json(F.struct(F.lit(dim).alias("dim"), F.struct("doc_path", "chunk_id", F.col("chunk_text").alias("text")).alias("chunk"))).alias("value"))
