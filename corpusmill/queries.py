@@ -20,7 +20,7 @@ from corpusmill.plans import engines
 from corpusmill.runtime import materialize, shared_dir
 from corpusmill.settings import NO_CONTEXT_A, PROMPT_A_HEAD, SYSTEM_PROMPT, Policy, Sampling, SettingsA, SettingsB
 from corpusmill.sources import files, store, walk
-from corpusmill.streaming import ingest, sessions
+from corpusmill.streaming import ingest, ledger, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1016,3 +1016,31 @@ def frontier_walk(spark, sf):
     met = walk.walk(spark, [root], IGNORED, EXT)
     rows = met.files.select(F.lit("file").alias("kind"), F.substr("path", F.lit(len(root) + 2)).alias("path"), "size")
     return rows.unionByName(spark.createDataFrame([("opened", "", met.opened)], rows.schema))
+
+
+@query("notified_batches", "SELECT name, doc_id % 3 AS batch, count(*) AS n FROM documents, (VALUES ('frail'), ('good')) v(name) GROUP BY ALL")
+def notified_batches(spark, sf):
+    """The documents as a stream of three batches; one subscriber fails at the second, and the stream is started again."""
+    place, docs, seen, broken = _place(spark, "notified"), table(spark, sf, "documents").select("doc_id"), [], [True]
+
+    def frail(batch: DataFrame, number: int) -> None:
+        if number == 1 and broken:
+            broken.pop()
+            raise OSError("down")
+        seen.append(("frail", number, batch.count()))
+
+    for lot in range(3):
+        docs.filter(F.col("doc_id") % 3 == lot).write.mode("append").parquet(f"{place}/in")
+        while True:
+            told = ledger.LedgerPublisher(ledger.Ledger(spark, f"{place}/mark/subscribers"))
+            told.attach("frail", frail)
+            told.attach("good", lambda batch, number: seen.append(("good", number, batch.count())))
+            rows = spark.readStream.schema(docs.schema).parquet(f"{place}/in")
+            stream = rows.writeStream.foreachBatch(told.notify).option("checkpointLocation", f"{place}/mark").trigger(availableNow=True).start()
+            try:
+                stream.awaitTermination()
+                break
+            except Exception as e:
+                if "failed for frail" not in str(e):
+                    raise
+    return spark.createDataFrame(seen, "name string, batch long, n long")
