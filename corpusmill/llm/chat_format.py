@@ -10,8 +10,8 @@ Turns of a conversation, in order, become windows of at most BUDGET tokens:
   the room;
 * a window passes the budget only where it must: a turn is never cut, so a new turn
   that does not fit beside the system turn is a window of its own with the system turn
-  and no history.  Where the system turn alone passes half the budget it stands in the
-  first window only (its own), so that it cannot push every window over;
+  and no history.  Beside a system turn of more than half the budget the other turns get half
+  the budget, and windows are as much longer as that takes;
 * the loss mask covers the text of assistant turns that are new in the window, so
   each assistant text is a target once and repeated ones are masked.
 
@@ -80,14 +80,15 @@ class Windows:
     def __init__(self, budget: int = BUDGET, history: int = HISTORY) -> None:
         self.budget, self.history = budget, history
         self.system: Turn | None = None
+        self.limit = budget
         self.past: list[Turn] = []
         self.open: list[Turn] = []
         self.first = 0
 
     def _context(self, first: int) -> list[Turn]:
         """The turns that are repeated before a window whose first new turn has ``first`` tokens."""
-        head = [self.system] if self.system and self.first and 2 * self.system[2] <= self.budget else []
-        room = min(self.budget // 4, self.budget - first - sum(t[2] for t in head))
+        head = [self.system] if self.system and self.first else []
+        room = min(self.budget // 4, self.limit - first - sum(t[2] for t in head))
         back: list[Turn] = []
         for turn in reversed(self.past):
             room -= turn[2]
@@ -98,9 +99,9 @@ class Windows:
 
     def push(self, turn: Turn) -> Iterator[tuple]:
         if not self.first and not self.open and turn[0] == SYSTEM:
-            self.system = turn
+            self.system, self.limit = turn, max(self.budget, turn[2] + self.budget // 2)
         self.open.append(turn)
-        while len(self.open) > 1 and sum(t[2] for t in self.open) + sum(t[2] for t in self._context(self.open[0][2])) > self.budget:
+        while len(self.open) > 1 and sum(t[2] for t in self.open) + sum(t[2] for t in self._context(self.open[0][2])) > self.limit:
             yield self._window()
 
     def flush(self) -> Iterator[tuple]:
@@ -110,7 +111,7 @@ class Windows:
     def _window(self) -> tuple:
         context = self._context(self.open[0][2])
         sums = list(accumulate((t[2] for t in self.open), initial=0))
-        n = max(1, bisect_right(sums, self.budget - sum(t[2] for t in context)) - 1)
+        n = max(1, bisect_right(sums, self.limit - sum(t[2] for t in context)) - 1)
         if n < len(self.open):
             n = next((k for k in range(n, 0, -1) if self.open[k - 1][0] == TARGET), n)
         new, self.open = self.open[:n], self.open[n:]

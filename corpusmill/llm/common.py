@@ -7,8 +7,8 @@
   hashed into ``2**log2_bits`` bits.  It is broadcast, and its size is known
   before it is built, whatever the size of the data.
 * :func:`join_unique` joins many rows to one row per key.  Keys that hold more
-  than a thousandth of all rows (at most a thousand of them) are broadcast,
-  the rest is shuffled, so no task receives a hot key.
+  than a thousandth of all rows (at most a thousand of them) or COLD_ROWS are
+  broadcast, the rest is shuffled, so no task receives a hot key.
 * :func:`drop_keys` removes listed keys from a wide table and shuffles only
   the rows that the filter cannot clear.
 """
@@ -26,6 +26,8 @@ __all__ = ["materialize", "release", "shared_dir", "ship", "tables"]
 
 #: A key is hot when it holds more than one row in this many.
 HOT_SHARE = 1000
+#: A key is hot, too, with more rows than this, so that no task gets more of one key: 100,000 keys of 100 billion rows.
+COLD_ROWS = 1_000_000
 #: Bits of one bitmap row; fixed by Spark's bitmap functions.
 _ROW_BITS = 15
 #: Largest filter: 2**27 bits are 16 MB, the most that is ever broadcast.
@@ -105,10 +107,10 @@ def join_unique(left: DataFrame, right: DataFrame, on: Sequence[str], size: str,
     """Join ``left`` to the single row that ``right`` has for each key; nulls are equal.
 
     ``right[size]`` is the number of left rows of the key and ``total`` their sum:
-    at most ``HOT_SHARE`` keys can hold more than ``total / HOT_SHARE`` rows.  Those
-    are broadcast; all other keys are shuffled and none of them is large.
+    at most ``HOT_SHARE`` keys can hold more than ``total / HOT_SHARE`` rows, and ``total / COLD_ROWS``
+    more than COLD_ROWS.  Those are broadcast; all other keys are shuffled and none of them is large.
     """
-    limit = max(1000, total // HOT_SHARE)
+    limit = max(1000, min(total // HOT_SHARE, COLD_ROWS))
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
     hot = F.broadcast(renamed.filter(F.col(size) > limit))
     rest = renamed.filter(F.col(size) <= limit)

@@ -67,16 +67,17 @@ def test_windows(spark):
 def chosen(turns, budget, history):
     """The windows of ``(role, tokens)`` turns, from the whole list at once: first turn, repeated turns, new turns, tokens."""
     system = turns[0][1] if turns[0][0] == "system" else 0
+    limit = max(budget, system + budget // 2)
     out, i = [], 0
     while i < len(turns):
-        head = system if i and 2 * system <= budget else 0
-        room = min(budget // 4, budget - head - turns[i][1])
+        head = system if i else 0
+        room = min(budget // 4, limit - head - turns[i][1])
         fits = [k for k in range(history + 1) if i - k >= bool(system) and sum(t for _, t in turns[i - k : i]) <= max(0, room)] if i else [0]
         k = 0
         while k + 1 in fits:
             k += 1
         used = head + sum(t for _, t in turns[i - k : i])
-        most = max([n for n in range(1, len(turns) - i + 1) if used + sum(t for _, t in turns[i : i + n]) <= budget], default=1)
+        most = max([n for n in range(1, len(turns) - i + 1) if used + sum(t for _, t in turns[i : i + n]) <= limit], default=1)
         if i + most < len(turns):
             most = max([n for n in range(1, most + 1) if turns[i + n - 1][0] == "assistant"], default=most)
         out.append((i, k + bool(head), most, used + sum(t for _, t in turns[i : i + most])))
@@ -97,9 +98,11 @@ def test_which_turns_a_window_takes():
             made += w.push((role, "x", n))
         made += w.flush()
         assert [m[:4] for m in made] == chosen(turns, budget, history)
-        system = turns[0][1] if roles[0] == "system" and 2 * turns[0][1] <= budget else 0
+        system = turns[0][1] if roles[0] == "system" else 0
+        limit = max(budget, system + budget // 2)
         for first, n_context, n_new, tokens, *_ in made:
-            assert tokens <= budget or (n_new == 1 and n_context <= 1 and turns[first][1] + (system if first else 0) > budget)
+            assert tokens <= limit or (n_new == 1 and n_context <= 1 and turns[first][1] + (system if first else 0) > limit)
+            assert not system or not first or n_context >= 1  # a system turn of any length stands in every window
 
 
 def test_a_very_long_turn_and_a_long_conversation(spark):
