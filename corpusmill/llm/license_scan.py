@@ -15,7 +15,9 @@ the paragraph as a whole if it has several.  Those without an anchor are passed
 others' n-grams are joined to the broadcast table of weights, summed, and turned into
 probabilities.  A template of the predicted family must then confirm: the share of its
 n-grams that the text holds has to reach CONFIRM, and all its keys (KEYS: the words that
-tell it from its relatives, such as a name with its version) have to be there.
+tell it from its relatives, such as a name with its version) have to be there.  Nothing is
+confirmed in a line or paragraph that says "not released under" or the like, and reserved rights are only where the
+sentence ends with the word: "All rights reserved for the house" is none.
 Further families of a paragraph are found by the templates alone, in windows of words.
 
 The main path runs no Python: only the small tables come from the driver.
@@ -265,6 +267,16 @@ def _all_words(text: Column) -> Column:
     return F.transform(F.array(F.flatten(F.transform(F.split(text, "\n"), words))), lambda t: F.concat(grams(t, 2), grams(t, 3)))[0]
 
 
+#: A sentence that says that something is not under a licence, and "rights reserved" where its sentence ends there.
+_DENIED = r"(?i)\b(?:not|never|no\s+longer)\s+(?:\w+\s+){0,2}(?:licen[sc]ed|released|distributed|available|published)\s+(?:\w+\s+){0,3}under\b"
+_CLOSED = r"(?i)\brights\s+reserved\s*(?:[^\s\w]|$)"
+
+
+def _plausible(family: Column, text: Column) -> Column:
+    """May a notice in ``text`` be confirmed?  Not where the licence is denied, nor rights that are reserved for something."""
+    return ~text.rlike(_DENIED) & ((family != "proprietary") | text.rlike(_CLOSED))
+
+
 def _in_windows(paragraphs: DataFrame, model: Model) -> DataFrame:
     """Templates confirmed by words in windows over whole paragraphs, whatever their lines: doc_id, text_hash, paragraph, line, family, template, overlap, notice.
 
@@ -275,14 +287,14 @@ def _in_windows(paragraphs: DataFrame, model: Model) -> DataFrame:
     spark = paragraphs.sparkSession
     kinds = spark.createDataFrame([(i, f, t, max(4, len(g) // 2), list(g), list(k)) for i, (f, t, g, k) in enumerate(model.templates)], "t int, family string, template string, span int, all array<string>, keys array<string>")
     shingles = kinds.select("t", "span", F.explode("all").alias("gram")).filter(F.contains("gram", F.lit(" ")))
-    rows = paragraphs.withColumn("row", F.monotonically_increasing_id())
-    of = ("row", "doc_id", "text_hash", "paragraph")
+    rows = paragraphs.filter(~F.col("text").rlike(_DENIED)).withColumn("row", F.monotonically_increasing_id()).withColumn("closed", F.col("text").rlike(_CLOSED))
+    of = ("row", "doc_id", "text_hash", "paragraph", "closed")
     met = rows.select(*of, F.explode(_all_words(F.col("text"))).alias("g")).select(*of, "g.*").join(F.broadcast(shingles), "gram")
     at = lambda shift: F.floor((F.col("pos") + shift * F.col("span")) / (2 * F.col("span"))) * 2 + shift
     found = met.withColumn("window", F.explode(F.array(at(0), at(1)))).groupBy(*of, "t", "window")
     found = found.agg(F.collect_set(F.struct("pos", "gram")).alias("at"), F.min("line").alias("line"))
     found = found.withColumn("held", F.array_distinct(F.flatten(F.transform("at", lambda x: F.concat(F.array(x["gram"]), F.split(x["gram"], " "))))))
-    found = found.join(F.broadcast(kinds), "t").withColumn("overlap", F.size("held") / F.size("all")).filter((F.col("overlap") >= CONFIRM) & (F.size(F.array_except("keys", "held")) == 0))
+    found = found.join(F.broadcast(kinds), "t").withColumn("overlap", F.size("held") / F.size("all")).filter((F.col("overlap") >= CONFIRM) & (F.size(F.array_except("keys", "held")) == 0) & ((F.col("family") != "proprietary") | F.col("closed")))
     said = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.transform(F.split(x["gram"], " "), lambda w, i: F.struct((x["pos"] + i).alias("pos"), w.alias("w")))))))
     found = found.withColumn("said", said).withColumn("from", F.col("said")[0]["pos"]).withColumn("to", F.element_at("said", -1)["pos"])
     found = found.withColumn("notice", F.array_join(F.transform("said", lambda x: x["w"]), " "))
@@ -332,7 +344,7 @@ def _judged(units: DataFrame, model: Model) -> DataFrame:
         return F.struct((keys & (overlap >= CONFIRM)).alias("confirmed"), overlap.alias("overlap"), s["template"].alias("template"))
 
     told = told.withColumn("best", F.array_max(F.transform(kinds, share)))
-    overlap, sure = F.coalesce(F.col("best.overlap"), F.lit(0.0)), F.coalesce(F.col("best.confirmed"), F.lit(False))
+    overlap, sure = F.coalesce(F.col("best.overlap"), F.lit(0.0)), F.coalesce(F.col("best.confirmed"), F.lit(False)) & _plausible(F.col("family"), F.col("notice"))
     return told.select("doc_id", "text_hash", "paragraph", "line", "family", F.round("known", 6).alias("probability"), F.col("best.template").alias("template"), F.round(overlap, 6).alias("overlap"), sure.alias("confirmed"), "notice")
 
 

@@ -90,6 +90,13 @@ def test_licences_that_were_never_seen_are_not_confirmed(spark):
     assert found(spark, other) == [set()] * len(other)
 
 
+def test_what_only_sounds_like_a_notice(spark):
+    none = ["All rights reserved for tonight's dinner at the house.", "This is not released under the MIT License.", "The code was never licensed under the terms of the Mozilla Public License, version 2.0.", "It is no longer distributed under the BSD License."]
+    assert found(spark, none + ["some words\n" + t + "\nmore" for t in none]) == [set()] * (2 * len(none))
+    some = ["All rights reserved.", "Copyright 2020, all rights reserved", "Not a word of it.\nReleased under the MIT License."]
+    assert found(spark, some) == [{"proprietary"}, {"proprietary"}, {"MIT"}]
+
+
 def test_threshold_binds():
     """The unknown class is calibrated on licences that training has not seen; most of them stay below, every template above."""
     model = L.train()
