@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -72,37 +71,38 @@ def _look() -> Column:
     return F.expr(f"shiftleft(1L, cast(least(greatest(calm - {CALM - 1}, 0), {LOOK}) as int))")
 
 
-def _refine(turns: DataFrame, seqs: DataFrame, total: int) -> tuple[list[DataFrame], DataFrame]:
-    """The chains of each round, and where sequences end that end above a leaf: ``c, node, depth``.
+def _read(tables: list[DataFrame]) -> DataFrame:
+    """Tables of :func:`common.materialize` with one schema, read by one scan."""
+    paths = sorted({f.rpartition("/")[0] for t in tables for f in t.inputFiles()})
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths) if paths else tables[0]
+
+
+def _refine(turns: DataFrame, seqs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """All chains with their ``round`` (0: the root's); where sequences end above a leaf (``c, node, depth``); the number of rounds.
 
     A chain is ``c, low, high, up, up_low, n_convs``: nodes of class ``c`` at depths low + 1 to high, below chain ``(up, up_low)``.
     """
-    spark = turns.sparkSession
+    spark, kind = turns.sparkSession, seqs.schema["c"].dataType.simpleString()
     whole = seqs.agg(F.min("c").alias("c"), F.sum("copies").alias("n_convs"), F.count("*").alias("n")).first()
     zero = F.lit(0).cast("long")
-    root = spark.createDataFrame([(whole["c"], -1, 0, None, None, whole["n_convs"])], f"c {seqs.schema['c'].dataType.simpleString()}, low long, high long, up {seqs.schema['c'].dataType.simpleString()}, up_low long, n_convs long")
-    rounds, ended = [C.materialize(root, "trie-root")], []
+    root = spark.createDataFrame([(whole["c"], -1, 0, None, None, whole["n_convs"], 0)], f"c {kind}, low long, high long, up {kind}, up_low long, n_convs long, round int")
     if whole["n"] == 1:
-        tail = seqs.filter("turns > 0").select("c", zero.alias("low"), F.col("turns").alias("high"), F.col("c").alias("up"), F.lit(-1).cast("long").alias("up_low"), F.col("copies").alias("n_convs"))
-        return [*rounds, C.materialize(tail, "trie-tail")], seqs.filter("turns = 0").select("c", F.col("c").alias("node"), zero.alias("depth"))
-    active = seqs.withColumns({"class": F.lit(whole["c"]), "at": zero, "calm": zero, "low": F.lit(-1).cast("long")})
-    span, n = (0, 1), whole["n"]
+        tail = seqs.filter("turns > 0").select("c", zero.alias("low"), F.col("turns").alias("high"), F.col("c").alias("up"), F.lit(-1).cast("long").alias("up_low"), F.col("copies").alias("n_convs"), F.lit(1).alias("round"))
+        return C.materialize(root.unionByName(tail), "trie-chains"), seqs.filter("turns = 0").select("c", F.col("c").alias("node"), zero.alias("depth")), 2
+    active = seqs.withColumns({"class": F.lit(whole["c"]).cast(kind), "at": zero, "calm": zero, "low": F.lit(-1).cast("long")})
+    span, n, rounds = (0, 1), whole["n"], []
+    whole_, split = "parts = 1 AND met = look", "(parts > 1 OR met < look) AND look = 1"
+    of = ["class", "at", "met", "x", "y"]
     while n:
         ahead = turns.filter((F.col("pos") > span[0]) & (F.col("pos") <= span[1])).select(F.col("conv_id").alias("_c"), "pos", "key")
         here = active.withColumn("look", _look())
         next_ = here.select(F.col("c").alias("_c"), "at", "look")
         seen = ahead.join(next_, "_c").filter("pos > at AND pos <= at + look").groupBy("_c").agg(F.count("*").alias("met"), *_sum_of(F.col("key"), F.col("pos")))
         here = C.materialize(here.join(seen, here["c"] == seen["_c"], "left").drop("_c").withColumns({k: F.coalesce(k, zero) for k in ("met", "x", "y")}), "trie-ahead")
-        of = ["class", "at", "met", "x", "y"]
         parts = here.groupBy(*of, "calm", "low", "look").agg(F.min("c").alias("first"), F.count("*").alias("members"), F.sum("copies").alias("n_convs"), F.max("turns").alias("end"))
         kinds = parts.groupBy("class").agg(F.count("*").alias("parts"))
-        parts = C.materialize(parts.join(kinds, "class"), "trie-parts")
-        whole_, split = "parts = 1 AND met = look", "(parts > 1 OR met < look) AND look = 1"
-        went = parts.filter(whole_).select(F.col("class").alias("c"), F.col("at").alias("low"), (F.col("at") + F.col("look")).alias("high"), F.col("class").alias("up"), F.col("low").alias("up_low"), "n_convs")
-        high = F.when(F.col("members") == 1, F.col("end")).otherwise(F.col("at") + 1)
-        made = parts.filter(f"{split} AND met = 1").select(F.col("first").alias("c"), F.col("at").alias("low"), high.alias("high"), F.col("class").alias("up"), F.col("low").alias("up_low"), "n_convs")
-        rounds.append(went.unionByName(made))
-        ended.append(parts.filter(f"{split} AND met = 0").select(F.col("first").alias("c"), F.col("class").alias("node"), F.col("at").alias("depth")))
+        parts = C.materialize(parts.join(kinds, "class").withColumn("round", F.lit(len(rounds) + 1)), "trie-parts")
+        rounds.append(parts)
         fate = parts.select(*of, "members", "first", F.when(F.expr(whole_), "on").when(F.expr(split), "split").otherwise("back").alias("fate")).filter("fate <> 'split' OR members > 1")
         kept = C.join_unique(here.drop("first"), fate, of, "members", n, keep_unmatched=False)
         on, back = F.col("fate") == "on", F.col("fate") == "back"
@@ -117,23 +117,26 @@ def _refine(turns: DataFrame, seqs: DataFrame, total: int) -> tuple[list[DataFra
             "trie-active",
         )
         n, *span = active.agg(F.count("*"), F.min("at"), F.max(F.col("at") + _look())).first()
-    return rounds, reduce(DataFrame.unionByName, ended)
+    every = _read(rounds)
+    high = F.when(F.col("look") > 1, F.col("at") + F.col("look")).when(F.col("members") == 1, F.col("end")).otherwise(F.col("at") + 1)
+    made = every.filter(f"({whole_}) OR ({split} AND met = 1)").select(F.col("first").alias("c"), F.col("at").alias("low"), high.alias("high"), F.col("class").alias("up"), F.col("low").alias("up_low"), "n_convs", "round")
+    ended = every.filter(f"{split} AND met = 0").select(F.col("first").alias("c"), F.col("class").alias("node"), F.col("at").alias("depth"))
+    return C.materialize(root.unionByName(made), "trie-chains"), ended, len(rounds) + 1
 
 
-def _fold(rounds: list[DataFrame], own: DataFrame) -> DataFrame:
+def _fold(chains: DataFrame, rounds: int, own: DataFrame) -> DataFrame:
     """``c, low, n_below`` (chains below), ``leaves``, ``below`` (tokens saved below): sums from the last round to the first."""
     done: list[DataFrame] = []
-    for chains in reversed(rounds):
-        rows = chains.select("c", "low", "up", "up_low")
+    for r in range(rounds - 1, -1, -1):
+        rows = chains.filter(F.col("round") == r).select("c", "low", "up", "up_low")
         if done:
-            met = reduce(DataFrame.unionByName, done).filter("up IS NOT NULL")
-            under = met.groupBy(F.col("up").alias("c"), F.col("up_low").alias("low")).agg(F.count("*").alias("n_below"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("below"))
+            under = _read(done).filter("up IS NOT NULL").groupBy(F.col("up").alias("c"), F.col("up_low").alias("low")).agg(F.count("*").alias("n_below"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("below"))
             rows = rows.join(under, ["c", "low"], "left")
         else:
             rows = rows.withColumns({k: F.lit(None).cast("long") for k in ("n_below", "leaves", "below")})
         rows = rows.join(own, ["c", "low"], "left").withColumns({"n_below": F.coalesce("n_below", F.lit(0)), "leaves": F.coalesce("leaves", F.lit(1)), "below": F.coalesce("below", F.lit(0))})
         done.append(C.materialize(rows.withColumn("saved", F.col("below") + F.coalesce("saved", F.lit(0))), "trie-fold"))
-    return reduce(DataFrame.unionByName, done).select("c", "low", "n_below", "leaves", "below")
+    return _read(done).select("c", "low", "n_below", "leaves", "below")
 
 
 def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +209,14 @@ def build_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     total = turns.count()
     kept = C.join_unique(turns, seqs.select(F.col("c").alias("conv_id"), "turns"), ["conv_id"], "turns", total, keep_unmatched=False).drop("turns")
     turns = C.materialize(kept.repartitionByRange("pos", "conv_id").sortWithinPartitions("pos", "conv_id"), "trie-turns")  # a round reads few files
-    rounds, ended = _refine(turns, seqs, total)
-    chains = C.materialize(reduce(DataFrame.unionByName, rounds).join(seqs.select("c", "turns"), "c"), "trie-all-chains")
+    found, ended, rounds = _refine(turns, seqs)
+    chains = C.materialize(found.join(seqs.select("c", "turns"), "c"), "trie-all-chains")
     at = turns.withColumnRenamed("conv_id", "c").select("c", "pos", "chars")
     nodes = C.join_unique(at, chains, ["c"], "turns", n_turns, keep_unmatched=False).filter("pos > low AND pos <= high")
     root = chains.filter("low = -1").select("c", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("chars"), *chains.columns[1:])
     nodes = C.materialize(nodes.unionByName(root).withColumn("gain", (F.col("n_convs") - 1) * F.col("chars")).withColumn("_block", F.floor(F.col("pos") / BLOCK)), "trie-nodes")
     blocks = C.materialize(nodes.groupBy("c", "low", "_block").agg(F.sum("gain").alias("gain")), "trie-blocks")
-    folded = _fold(rounds, C.materialize(blocks.groupBy("c", "low").agg(F.sum("gain").alias("saved")), "trie-own"))
+    folded = _fold(chains, rounds, C.materialize(blocks.groupBy("c", "low").agg(F.sum("gain").alias("saved")), "trie-own"))
     later = Window.partitionBy("c", "low").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.join(folded, ["c", "low"]).withColumn("after", F.col("below") + F.coalesce(F.sum("gain").over(later), F.lit(0))).drop("gain", "below")
     down = Window.partitionBy("c", "low", "_block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
