@@ -299,11 +299,14 @@ def _in_windows(paragraphs: DataFrame, model: Model) -> DataFrame:
     found = found.withColumn("said", said).withColumn("from", F.col("said")[0]["pos"]).withColumn("to", F.element_at("said", -1)["pos"])
     found = found.withColumn("notice", F.array_join(F.transform("said", lambda x: x["w"]), " "))
     fields = ("family", "template", "overlap", "held", "all", "from", "to", "line", "notice", "t", "window")
-    found = found.groupBy(*of).agg(F.collect_list(F.struct(*fields)).alias("c"))
+    # a notice spans fewer than `wide` words, so those that it meets begin in its own cell or beside it; a cell holds a bounded number
+    wide = 2 * max(max(4, len(g) // 2) for _, _, g, _ in model.templates) + 3
+    found = found.withColumn("cell", F.floor(F.col("from") / wide)).withColumn("near", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])))
+    found = found.groupBy(*of, "near").agg(F.collect_list(F.struct(*fields, (F.col("near") == F.col("cell")).alias("home"))).alias("c"))
     rank = lambda x: F.struct(x["overlap"], F.size(x["all"]), -x["from"], -x["t"], -x["window"])
     own = lambda a, b: F.size(F.array_except(a["held"], b["all"])) >= CONFIRM * F.greatest(F.lit(1), F.size(F.array_except(a["all"], b["all"])))
     beats = lambda b, a: (rank(b) > rank(a)) & (b["from"] <= a["to"]) & (a["from"] <= b["to"]) & ((a["family"] == b["family"]) | ~own(a, b))
-    best = F.filter("c", lambda a: ~F.exists("c", lambda b: beats(b, a)))
+    best = F.filter("c", lambda a: a["home"] & ~F.exists("c", lambda b: beats(b, a)))
     return found.select("doc_id", "text_hash", "paragraph", F.explode(best).alias("x")).select("doc_id", "text_hash", "paragraph", "x.line", "x.family", "x.template", "x.overlap", "x.notice")
 
 

@@ -4,6 +4,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import license_scan as L
 from tests.llm.helpers import EN, no_docs, odd_docs, prose
@@ -157,3 +158,17 @@ def test_wrapped_notices_and_two_families_in_a_line(spark):
     rows = L.scan_licenses(docs).collect()
     assert {(r.doc_id, r.family) for r in rows if r.confirmed} == {(i, f) for i, (f, _) in enumerate(wrapped + within)} | {(100, "MIT"), (100, "MPL-2.0")}
     assert all((r.paragraph, r.line) == (1, None) and r.probability > 0.9 for r in rows if r.confirmed and r.doc_id < len(wrapped))
+
+
+def test_many_notices_in_one_paragraph(spark):
+    """A paragraph full of notices: apart from each other all are found once; side by side each family is."""
+    rng = random.Random(8)
+    kinds = {"MIT": "Released under the MIT License.", "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0."}
+    plain = [w for w in EN if w != "not"]  # no denials
+    picked = [rng.choice(sorted(kinds)) for _ in range(20_000)]
+    apart = " ".join(kinds[f] + " " + prose(rng, plain, 150).replace("\n", " ") for f in picked[:1000])
+    docs = spark.createDataFrame([(1, apart), (2, " ".join(kinds[f] for f in picked))], "doc_id long, text string")
+    rows = L._in_windows(docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "0L AS paragraph", "text"), L.train())
+    got = {(r.doc_id, r.family): r.n for r in rows.groupBy("doc_id", "family").agg(F.count("*").alias("n")).collect()}
+    assert all(got[1, f] == picked[:1000].count(f) for f in kinds)
+    assert set(got) == {(i, f) for i in (1, 2) for f in kinds}
