@@ -4,19 +4,21 @@ Fingerprints.  A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles
 three words joined by a space (all words if there are fewer), repeats included.
 Each is hashed with XXH64, seed 42; a bit is set if over half the hashes set it.
 
-Links.  Two fingerprints link when at most two bits differ.  The 64 bits are six
-blocks: two differences leave at least four blocks equal, so every link meets in
-one of the 15 subtables that group fingerprints by four equal blocks.  A group of
-a subtable differs in at most 22 bits, so it never holds more than 2**22 distinct
-fingerprints, however skewed the data.  In each group
-
-* the fingerprints are sorted by Gray rank, which puts those with few differing
-  bits side by side;
+Links.  Two fingerprints link when at most two bits differ.  The distinct fingerprints are
+sorted by Gray rank, which puts those with few differing bits side by side, over all tasks:
+each task holds a range of that order, at most RANGES of them.  One tree stands over the order:
+
 * eight neighbours make a node that holds the bits all of them share, eight nodes
   a node above, and so on: what all children share is stated once, in the parent;
+* the upper nodes stand over the ranges, from the bits that all fingerprints of a range
+  share; they are broadcast, RANGES leaves at most;
 * a search walks down with the differences met so far and drops a node, with all
   below it, once they pass two.  A node whose free bits cannot bring the total
-  over two links as a whole.
+  over two links as a whole;
+* a fingerprint is sent to the ranges that the upper nodes leave (its own and later ones, as
+  links have no direction) and goes on down there.  Ranges hold about equal numbers of distinct
+  fingerprints, whatever the skew of the documents.  With ``b`` bits that tell the ranges apart
+  a fingerprint goes to some ``(1 + b + b * (b - 1) / 2) / 2`` of them.
 
 Only a spanning forest of the links leaves a task, so a group of ``k`` near copies
 gives at most ``k - 1`` edges.  ``components`` joins the forests.
@@ -33,7 +35,6 @@ rows.  Extra columns are ignored, and carried through by :func:`drop_near_duplic
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,12 @@ SHINGLE = 3
 SEED = 42
 #: Largest number of differing bits of a link.
 RADIUS = 2
-#: Widths of the blocks; the subtables fix all but RADIUS of them.
-BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Children of a node of the index.
 FAN = 8
+#: Distinct fingerprints of a range, as long as there are no more than RANGES of them; then ranges grow.
+RANGE_ROWS, RANGES = 1 << 14, 1 << 14
 #: Rows searched at a time, and (query, node) pairs looked at together.
-CHUNK, FRONTIER = 1 << 18, 1 << 20
+CHUNK, FRONTIER = 1 << 16, 1 << 20
 _HASHES_AT_ONCE = 1 << 16
 
 
@@ -83,30 +84,28 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
 
-def _gray_rank(fp: np.ndarray) -> np.ndarray:
-    rank = fp.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
-
-
-def subtable_masks() -> list[int]:
-    """The bits that each subtable holds equal."""
-    blocks, at = [], 64
-    for width in BLOCKS:
-        at -= width
-        blocks.append(((1 << width) - 1) << at)
-    full = (1 << 64) - 1
-    return [full ^ sum(free) for free in combinations(blocks, RADIUS)]
-
-
 class _Forest:
-    """Union of linked positions, as the smallest position of each tree."""
+    """Union of linked positions, as the smallest position of each tree; links are gathered and joined many at a time."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.rows = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.waiting.append((a, b))
+        self.rows += len(a)
+        if self.rows > FRONTIER:
+            self.join()
+
+    def join(self) -> np.ndarray:
+        if self.rows:
+            a, b = (np.concatenate(x) for x in zip(*self.waiting))
+            self._union(a, b)
+        self.waiting, self.rows = [], 0
+        return self.root
+
+    def _union(self, a: np.ndarray, b: np.ndarray) -> None:
         root = self.root
         while True:
             ra, rb = root[a], root[b]
@@ -121,72 +120,69 @@ class _Forest:
 
 
 class GrayIndex:
-    """The hierarchical index over groups of distinct fingerprints sorted by (group, Gray rank)."""
-
-    def __init__(self, fp: np.ndarray, group: np.ndarray) -> None:
-        """All groups must have about the same size: their trees get the same height."""
-        self.fp, n = fp, len(fp)
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        # a level: shared bits' values, mask of shared bits not stated above, number of free bits, first child, first and last leaf
-        ones, shared = fp, np.full(n, ~np.uint64(0))
-        self.levels, self.lo, self.hi = [], [np.arange(n)], [np.arange(n)]
-        starts, values, masks, kids = [first], [fp], [shared], []
-        sizes = np.diff(np.r_[first, n])
-        while (len(values[-1])) > len(first):
-            at, counts = starts[-1], sizes
-            inside = np.arange(len(values[-1])) - np.repeat(at, counts)
-            heads = np.flatnonzero(inside % FAN == 0)
-            low = np.bitwise_and.reduceat(values[-1] & masks[-1], heads)
-            high = np.bitwise_or.reduceat(values[-1] & masks[-1], heads)
+    """The hierarchical index over leaves in Gray order: fingerprints, or ranges of them with the bits that each shares."""
+
+    def __init__(self, values: np.ndarray, shared: np.ndarray | None = None) -> None:
+        n = len(values)
+        shared = np.full(n, ~np.uint64(0)) if shared is None else shared
+        self.values, masks = [values & shared], [shared]
+        self.lo, self.hi = [np.arange(n)], [np.arange(n)]
+        while len(self.values[-1]) > 1:
+            heads = np.arange(0, len(self.values[-1]), FAN)
+            low = np.bitwise_and.reduceat(self.values[-1], heads)
+            high = np.bitwise_or.reduceat(self.values[-1], heads)
             same = np.bitwise_and.reduceat(masks[-1], heads) & ~(low ^ high)
-            ends = np.r_[heads[1:], len(values[-1])]
-            kids.append((heads, ends - heads))
-            values.append(low & same)
+            self.values.append(low & same)
             masks.append(same)
             self.lo.append(self.lo[-1][heads])
-            self.hi.append(self.hi[-1][ends - 1])
-            sizes = -(-counts // FAN)
-            starts.append(np.r_[0, np.cumsum(sizes)[:-1]])
-        self.values, self.kids = values, kids
+            self.hi.append(self.hi[-1][np.r_[heads[1:], len(self.hi[-1])] - 1])
         self.free = [64 - np.bitwise_count(m).astype(np.int64) for m in masks]
-        self.own = [*masks]
-        for level in range(len(kids) - 1, -1, -1):
-            self.own[level] = masks[level] & ~np.repeat(masks[level + 1], kids[level][1])
-        self.group_sizes = np.diff(np.r_[first, n])
-
-    def link(self, forest: _Forest, offset: int, radius: int) -> None:
-        top = len(self.kids)
-        for level in range(1, top + 1):  # nodes that are small balls: their leaves are all linked
-            lo, hi = self.lo[level], self.hi[level]
-            tight = np.flatnonzero(self.free[level] <= radius)
-            if len(tight):
-                runs = hi[tight] - lo[tight]
-                a = np.repeat(lo[tight], runs) + _ranges(runs)
-                forest.add(offset + a, offset + a + 1)
-        query = np.arange(len(self.fp))
-        self._down(top, query, np.repeat(np.arange(len(self.group_sizes)), self.group_sizes), np.zeros(len(query), np.int64), forest, offset, radius)
-
-    def _down(self, level: int, query: np.ndarray, node: np.ndarray, met: np.ndarray, forest: _Forest, offset: int, radius: int) -> None:
+        #: bits that a node states itself: those it shares and its parent does not
+        self.own = [m & ~np.repeat(up, FAN)[: len(m)] for m, up in zip(masks, [*masks[1:], np.zeros(1, np.uint64)])]
+        #: (query, node) pairs looked at, and leaves left out with nodes that were dropped, for figures and tests
+        self.looked, self.pruned = 0, 0
+
+    def tight(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours in nodes that are small balls: their leaves are all linked."""
+        out = []
+        for lo, hi, free in zip(self.lo[1:], self.hi[1:], self.free[1:]):
+            small = np.flatnonzero(free <= radius)
+            runs = hi[small] - lo[small]
+            out.append(np.repeat(lo[small], runs) + _ranges(runs))
+        at = np.concatenate(out) if out else np.zeros(0, np.int64)
+        return at, at + 1
+
+    def search(self, fp: np.ndarray, after: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For queries ``fp``, nodes that cannot be dropped any further, as arrays (query, first leaf, last leaf).
+
+        Leaves up to ``after`` (one for each query) need not be found.  At a node that is given out above the leaves all are within ``radius``.
+        """
+        query = np.arange(len(fp))
+        if len(self.values[0]):
+            yield from self._down(len(self.values) - 1, fp, after, query, np.zeros(len(fp), np.int64), np.zeros(len(fp), np.int64), radius)
+
+    def _down(self, level: int, fp: np.ndarray, after: np.ndarray, query: np.ndarray, node: np.ndarray, met: np.ndarray, radius: int) -> Iterator:
         if len(query) > FRONTIER:
             for i in range(0, len(query), FRONTIER):
                 part = slice(i, i + FRONTIER)
-                self._down(level, query[part], node[part], met[part], forest, offset, radius)
+                yield from self._down(level, fp, after, query[part], node[part], met[part], radius)
             return
-        differ = (self.fp[query] ^ self.values[level][node]) & self.own[level][node]
-        met = met + np.bitwise_count(differ)
-        keep = (met <= radius) & (self.hi[level][node] > query)
+        self.looked += len(query)
+        met = met + np.bitwise_count((fp[query] ^ self.values[level][node]) & self.own[level][node])
+        later = self.hi[level][node] > after[query]
+        far = later & (met > radius)
+        if level:
+            self.pruned += int((self.hi[level][node[far]] - self.lo[level][node[far]] + 1).sum())
+        keep = later & ~far
         query, node, met = query[keep], node[keep], met[keep]
-        whole = met + self.free[level][node] <= radius
+        whole = (met + self.free[level][node] <= radius) | (level == 0)
         if whole.any():
-            forest.add(offset + query[whole], offset + np.maximum(self.lo[level][node[whole]], query[whole]))
-            if level:  # leaves of a small ball are linked to each other already
-                forest.add(offset + query[whole], offset + self.hi[level][node[whole]])
-            query, node, met = query[~whole], node[~whole], met[~whole]
+            yield query[whole], self.lo[level][node[whole]], self.hi[level][node[whole]]
+        query, node, met = query[~whole], node[~whole], met[~whole]
         if level and len(query):
-            heads, counts = self.kids[level - 1]
-            times = counts[node]
-            kids = np.repeat(heads[node], times) + _ranges(times)
-            self._down(level - 1, np.repeat(query, times), kids, np.repeat(met, times), forest, offset, radius)
+            heads = node * FAN
+            times = np.minimum(heads + FAN, len(self.values[level - 1])) - heads
+            yield from self._down(level - 1, fp, after, np.repeat(query, times), np.repeat(heads, times) + _ranges(times), np.repeat(met, times), radius)
 
 
 def _ranges(counts: np.ndarray) -> np.ndarray:
@@ -195,59 +191,115 @@ def _ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def link_groups(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest, as pairs of fingerprints, of the links inside groups; rows are sorted by group."""
-    n = len(fp)
-    if n < 2:
-        return fp[:0], fp[:0]
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[first, n])
-    size_of = np.repeat(sizes, sizes)
-    picked = np.flatnonzero(size_of > 1)  # a lone fingerprint has no partner here
-    group, fp, size_of = np.cumsum(np.r_[True, group[1:] != group[:-1]])[picked], fp[picked], size_of[picked]
-    order = np.lexsort((_gray_rank(fp), group, np.ceil(np.log(size_of) / np.log(FAN) - 1e-9)))
-    group, fp, size_of = group[order], fp[order], size_of[order]
-    height = np.ceil(np.log(size_of) / np.log(FAN) - 1e-9)
-    forest = _Forest(len(fp))
-    bounds = np.r_[np.flatnonzero(np.r_[True, height[1:] != height[:-1]]) if len(fp) else [], len(fp)].astype(int)
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        GrayIndex(fp[a:b], group[a:b]).link(forest, int(a), radius)
-    child = np.flatnonzero(forest.root != np.arange(len(fp)))
-    return fp[forest.root[child]], fp[child]
+class RangeSearch:
+    """The part of the tree over one range: links among its fingerprints, then those of queries from earlier ranges, as a spanning forest."""
+
+    def __init__(self, fp: np.ndarray, radius: int = RADIUS) -> None:
+        self.fp, self.radius, self.index = fp, radius, GrayIndex(fp)
+        self.root = np.arange(len(fp))
+
+    def among(self) -> tuple[np.ndarray, np.ndarray]:
+        """Links among the range's own fingerprints."""
+        forest = _Forest(len(self.fp))
+        forest.add(*self.index.tight(self.radius))
+        for start in range(0, len(self.fp), CHUNK):
+            part = np.arange(start, min(start + CHUNK, len(self.fp)))
+            for query, _, hi in self.index.search(self.fp[part], part, self.radius):
+                forest.add(part[query], hi)  # leaves of a small ball are linked to each other already
+        return self._new(forest.join(), self.fp)
+
+    def of(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links of fingerprints from elsewhere; what earlier queries have joined is not told again."""
+        n, m = len(self.fp), len(queries)
+        forest = _Forest(n + m)
+        forest.root[:n] = self.root
+        for query, _, hi in self.index.search(queries, np.full(m, -1), self.radius):
+            forest.add(n + query, hi)
+        return self._new(forest.join(), np.r_[self.fp, queries])
+
+    def _new(self, root: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.fp)
+        joined = np.flatnonzero(root != np.r_[self.root, np.arange(n, len(root))])
+        # of a tree that has joined another only its former root is told
+        joined = joined[(joined >= n) | (self.root[np.minimum(joined, n - 1)] == joined)]
+        self.root = root[:n]
+        return fp[root[joined]], fp[joined]
+
+
+def _routed(upper: object):
+    """Each fingerprint for its own range (leaf) and for all later ones that the upper nodes leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ones, shared = (np.frombuffer(x, t) for x, t in zip(upper.value, (np.int64, np.uint64, np.uint64)))
+        index = GrayIndex(ones, shared)
+        for batch in batches:
+            fp, rank = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            home = np.searchsorted(at, batch.column(2).to_numpy())
+            query, leaf = [np.arange(len(fp))], [home]
+            for q, lo, hi in index.search(fp, home):
+                lo = np.maximum(lo, home[q] + 1)
+                query.append(np.repeat(q, hi - lo + 1))
+                leaf.append(np.repeat(lo, hi - lo + 1) + _ranges(hi - lo + 1))
+            q, leaf = np.concatenate(query), np.concatenate(leaf)
+            yield pa.RecordBatch.from_arrays([pa.array(at[leaf]), pa.array(leaf != home[q]), pa.array(rank[q]), pa.array(fp[q].view(np.int64))], ["range", "guest", "rank", "fp"])
+
+    return run
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (subtable, bits): whole groups are searched, about CHUNK rows at a time."""
+    """Rows come sorted by (range, guest, rank): a range's own fingerprints make its tree, then its guests are searched, CHUNK at a time."""
+
+    def told(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pair], ["a", "b"])
+
+    held: list[np.ndarray] = []
+    now: tuple[int, bool] | None = None
+    tree: RangeSearch | None = None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal tree
+        if held:
+            rows = np.concatenate(held)
+            held.clear()
+            if now[1]:
+                yield told(tree.of(rows))
+            else:
+                tree = RangeSearch(rows)
+                yield told(tree.among())
 
-    def found(table: np.ndarray, bits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.r_[True, (table[1:] != table[:-1]) | (bits[1:] != bits[:-1])] if len(fp) else np.zeros(0, bool)
-        a, b = link_groups(np.cumsum(new), fp)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-    kept: list[tuple[np.ndarray, ...]] = []
-    rows = 0
     for batch in batches:
-        kept.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)))
-        rows += batch.num_rows
-        if rows < CHUNK:
-            continue
-        table, bits, fp = (np.concatenate(x) for x in zip(*kept))
-        cut = np.flatnonzero((table[1:] != table[:-1]) | (bits[1:] != bits[:-1]))
-        end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
-        if end:
-            yield found(table[:end], bits[:end], fp[:end])
-        kept, rows = [(table[end:], bits[end:], fp[end:])], len(fp) - end
-    if rows:
-        yield found(*(np.concatenate(x) for x in zip(*kept)))
+        range_, guest = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        fp = batch.column(2).to_numpy().view(np.uint64)
+        cuts = np.flatnonzero(np.r_[True, (range_[1:] != range_[:-1]) | (guest[1:] != guest[:-1])]) if len(fp) else []
+        for a, b in zip(cuts, [*cuts[1:], len(fp)]):
+            part = (int(range_[a]), bool(guest[a]))
+            if part != now or (part[1] and sum(map(len, held)) >= CHUNK):
+                yield from flush()
+            now = part
+            held.append(fp[a:b])
+    yield from flush()
+
+
+def gray_rank(fp: Column) -> Column:
+    """The rank of a signed fingerprint in the order of the Gray code, as a signed long that sorts alike."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, shift))
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints that join all links of at most RADIUS bits."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in subtable_masks()]
-    tables: list[Column] = [F.struct(F.lit(i).alias("table"), F.col(fp).bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)]
-    keyed = fps.select(F.col(fp).alias("fp"), F.explode(F.array(*tables)).alias("k")).select("k.table", "k.bits", "fp")
-    dealt = keyed.repartition("table", "bits").sortWithinPartitions("table", "bits")
-    return dealt.mapInArrow(C.tidied(_links), "a long, b long").distinct()
+    spark = fps.sparkSession
+    n = max(1, min(RANGES, -(-fps.count() // RANGE_ROWS)))
+    ranked = fps.select(F.col(fp).alias("fp"), gray_rank(F.col(fp)).alias("rank")).repartitionByRange(n, "rank")
+    ranked = C.materialize(ranked.withColumn("range", F.spark_partition_id().cast("long")), "simhash-ranges")
+    # at most RANGES rows, whatever the data
+    nodes = ranked.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("range").collect()
+    ones, some = (np.array([r[c] for r in nodes], np.int64).view(np.uint64) for c in ("ones", "some"))
+    upper = spark.sparkContext.broadcast([np.array([r["range"] for r in nodes], np.int64).tobytes(), ones.tobytes(), (~(ones ^ some)).tobytes()])
+    sent = ranked.mapInArrow(C.tidied(_routed(upper)), "range long, guest boolean, rank long, fp long")
+    dealt = sent.repartition("range").sortWithinPartitions("range", "guest", "rank")
+    return dealt.select("range", "guest", "fp").mapInArrow(C.tidied(_links), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import components, simhash
 from tests.llm.helpers import no_docs, odd_docs, odd_rows
@@ -37,26 +38,70 @@ def test_fingerprints():
         assert simhash.fingerprint((row[1] or "").encode()) == slow_print(row[1])
 
 
+def by_gray(fps):
+    """Sorted by the rank of the Gray code, without the code under test."""
+
+    def rank(g):
+        out = 0
+        while g:
+            out ^= g
+            g >>= 1
+        return out
+
+    return np.array(sorted(fps, key=rank), np.uint64)
+
+
+def some_prints(rng, n, bits, flips=6):
+    base, fps = rng.integers(0, 1 << 64, size=4, dtype=np.uint64).tolist(), set()
+    for _ in range(n):
+        x = base[int(rng.integers(4))]
+        for bit in rng.integers(0, bits, size=int(rng.integers(0, flips))).tolist():
+            x ^= 1 << bit
+        fps.add(x)
+    return fps
+
+
+def linked(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count() <= 2
+
+
 def test_index_finds_every_link():
     rng = np.random.default_rng(5)
     for turn in range(25):
-        base = rng.integers(0, 1 << 64, size=4, dtype=np.uint64).tolist()
-        fps = set()
-        for _ in range(int(rng.integers(1, 300))):
-            x = base[int(rng.integers(4))]
-            for bit in rng.integers(0, 64 if turn % 2 else 10, size=int(rng.integers(0, 6))).tolist():
-                x ^= 1 << bit
-            fps.add(x)
-        order = np.array(sorted(fps), np.uint64)
-        edges = set()
-        for mask in simhash.subtable_masks():
-            key = order & np.uint64(mask)
-            by = np.argsort(key, kind="stable")
-            a, b = simhash.link_groups(np.cumsum(np.r_[True, key[by][1:] != key[by][:-1]]), order[by])
-            assert len(a) < len(order)  # a forest, not all pairs
-            edges |= set(zip(a.tolist(), b.tolist()))
-        want = classes(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
-        assert classes(sorted(fps), lambda a, b: (a, b) in edges or (b, a) in edges) == want
+        order = by_gray(some_prints(rng, int(rng.integers(1, 300)), 64 if turn % 2 else 10))
+        fps, edges = order.tolist(), set()
+        step = int(rng.integers(1, 80))
+        for start in range(0, len(order), step):  # ranges of the order, searched by all before them in two parts
+            tree = simhash.RangeSearch(order[start : start + step])
+            told = [tree.among(), tree.of(order[: start // 2]), tree.of(order[start // 2 : start])]
+            assert sum(len(a) for a, _ in told) < len(order)  # a forest, not all pairs
+            edges |= {pair for a, b in told for pair in zip(a.tolist(), b.tolist())}
+        assert classes(fps, lambda a, b: (a, b) in edges or (b, a) in edges) == classes(fps, linked)
+
+
+def test_nodes_with_many_leaves_are_dropped():
+    rng = np.random.default_rng(8)
+    order = by_gray(rng.integers(0, 1 << 64, size=20_000, dtype=np.uint64).tolist())
+    index = simhash.GrayIndex(order)
+    found = [(q, a, b) for q, a, b in index.search(order, np.arange(len(order)))]
+    pairs = len(order) * (len(order) - 1) // 2
+    assert index.pruned > 0.9 * pairs and index.looked < 0.1 * pairs
+    got = {(int(q), int(x)) for qs, a, b in found for q, lo, hi in zip(qs, a, b) for x in range(lo, hi + 1)}
+    near = np.bitwise_count(order[:300, None] ^ order[None, :]) <= 2
+    assert {(int(q), int(x)) for q, x in zip(*np.nonzero(near)) if x > q} == {p for p in got if p[0] < 300}
+
+
+def test_upper_nodes_route_to_every_range_that_holds_a_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 40)
+    rng = np.random.default_rng(9)
+    fps = some_prints(rng, 700, 64) | some_prints(rng, 300, 12) | {int(x) for x in rng.integers(0, 1 << 64, 300, np.uint64)} | {0, (1 << 64) - 1}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    ranks = [r.fp & (1 << 64) - 1 for r in table.select("fp", simhash.gray_rank(F.col("fp")).alias("rank")).orderBy("rank").collect()]
+    assert ranks == by_gray(fps).tolist()
+    edges = {(r.a, r.b) for r in simhash.fingerprint_links(table).collect()}
+    assert classes(signed, lambda a, b: (a, b) in edges or (b, a) in edges) == classes(signed, linked)
+    assert simhash.fingerprint_links(table.limit(0)).count() == 0
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -111,16 +156,17 @@ def test_parts_of_the_search_do_not_change_its_links(monkeypatch):
     import pyarrow as pa
 
     rng = np.random.default_rng(6)
-    fps = sorted({int(x) ^ (1 << int(b)) for x in rng.integers(0, 1 << 64, 40, np.uint64) for b in rng.integers(0, 64, 12)})
-    rows = sorted((t, f & m, f) for t, m in enumerate(simhash.subtable_masks()) for f in fps)
-    cols = [np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.uint64).view(np.int64), np.array([r[2] for r in rows], np.uint64).view(np.int64)]
+    order = by_gray({int(x) ^ (1 << int(b)) for x in rng.integers(0, 1 << 64, 40, np.uint64) for b in rng.integers(0, 64, 12)})
+    size = 100
+    rows = [(start // size, guest, int(f)) for start in range(0, len(order), size) for guest, part in ((False, order[start : start + size]), (True, order[:start])) for f in part]
+    cols = [np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.uint64).view(np.int64)]
 
     def links(step):
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in cols], ["table", "bits", "fp"]) for i in range(0, len(rows), step)]
-        edges = {(a, b) for batch in simhash._links(iter(batches)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
-        return classes([f - (1 << 64) if f >> 63 else f for f in fps], lambda a, b: (a, b) in edges or (b, a) in edges)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in cols], ["range", "guest", "fp"]) for i in range(0, len(rows), step)]
+        edges = {(a & (1 << 64) - 1, b & (1 << 64) - 1) for batch in simhash._links(iter(batches)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        return classes(order.tolist(), lambda a, b: (a, b) in edges or (b, a) in edges)
 
-    want = classes([f - (1 << 64) if f >> 63 else f for f in fps], lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    want = classes(order.tolist(), linked)
     assert links(10_000) == want
     monkeypatch.setattr(simhash, "CHUNK", 30)
     monkeypatch.setattr(simhash, "FRONTIER", 11)
