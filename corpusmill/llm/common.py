@@ -151,6 +151,16 @@ def with_lists(rows: DataFrame, lists: DataFrame, n: int, on: Sequence[str], kee
     return out.unionByName(marked.filter(~F.col("_flag")).drop("_flag"), allowMissingColumns=True) if keep_rest else out
 
 
+def row_counts(rows: DataFrame, lists: DataFrame, n: int, on: Sequence[str]) -> DataFrame:
+    """``lists``, a row a key, with the number of ``rows`` of that key as ``copies``; ``n`` is the number of ``lists``."""
+    if n <= FILTER_KEYS:
+        bits, key = log2_bits_for(n), F.xxhash64(*on)
+        rows = probe(rows, key, key_bitmap(lists, key, bits), bits, "_flag").filter("_flag")
+    counts = rows.groupBy(*[F.col(k).alias(f"_r_{k}") for k in on]).agg(F.count("*").alias("copies"))
+    found = lists.join(counts, _null_safe(lists, counts, on), "left").drop(*[f"_r_{k}" for k in on])
+    return materialize(found.withColumn("copies", F.coalesce("copies", F.lit(0))), "row-counts")
+
+
 def drop_keys(df: DataFrame, keys: DataFrame, n_keys: int, exprs: dict[str, Column], total: int = 0) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys``; only rows the filter flags are shuffled.
 

@@ -9,10 +9,13 @@ two documents that share a passage share its chunks but those at its two ends.
 Chunks have about seven words.
 
 Dedup.  A document is an id and a text; the digest of the text tells apart those that
-share an id.
+share an id.  Rows that repeat a document are combined to one, in each task before any shuffle,
+and :func:`cut_spans` joins hot documents by broadcast, so copies of one document are no hot task.
 
 1. Every document's distinct chunk hashes are counted.  Hashes met in two documents
    or more become a bitmap of bounded size, which is broadcast.
+   Past FILTER_KEYS of them every document gets the list of its own instead, by a join on the
+   hash, so that no more chunks pass than before.
 2. Chunks that pass it (but a text's first or last one if it is shorter than all others
    can be, which would match by chance) are digested (128 bits) and grouped by digest.  The first
    document (smallest id, then text digest; null ids last) keeps a chunk; in other
@@ -112,26 +115,33 @@ def _chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return starts, words, [text[a:b].rstrip(b" ") for a, b in zip(starts.tolist(), ends)]
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct chunk hashes of each document."""
-    digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
-        hashes = []
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            own = {digest(c) for c in _chunks(text)[2]} if text else ()
-            hashes.append(np.fromiter(own, np.uint64, len(own)))
-        yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)).view(np.int64))], ["hash"])
+def _hashes(named: bool = False):
+    """The distinct chunk hashes of each document, ``named`` by its id and text hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            hashes, sizes = [np.zeros(0, np.uint64)], []
+            for text in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist():
+                own = {digest(c) for c in _chunks(text)[2]} if text else ()
+                hashes.append(np.fromiter(own, np.uint64, len(own)))
+                sizes.append(len(own))
+            told = pa.array(np.concatenate(hashes).view(np.int64))
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([*([c.take(of) for c in batch.columns[:-1]] if named else []), told], [*(["doc_id", "text_hash"] if named else []), "hash"])
+
+    return run
 
 
 #: Of a chunk: its number, first and last place in code points, words up to it and with it, words after it.
 _PLACES = ("ord", "start", "end", "from_word", "to_word", "after")
 
 
-def _candidates(bits: object, log2_bits: int):
-    """Chunks whose hash is in the broadcast bitmap."""
+def _candidates(bits: object | None, log2_bits: int = 0):
+    """Chunks whose hash is in the broadcast bitmap or, without one, in the document's own list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = np.frombuffer(bits.value, np.uint8), np.uint64((1 << log2_bits) - 1)
+        table, mask = np.frombuffer(bits.value if bits else b"", np.uint8), np.uint64((1 << log2_bits) - 1)
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
@@ -139,8 +149,12 @@ def _candidates(bits: object, log2_bits: int):
                 if not text:
                     continue
                 starts, words, chunks = _chunks(text)
-                slot = np.array([short(c) for c in chunks], np.uint64) & mask
-                known = table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+                hashes = np.array([short(c) for c in chunks], np.uint64)
+                if bits:
+                    slot = hashes & mask
+                    known = table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1
+                else:
+                    known = np.isin(hashes.view(np.int64), batch.column(3)[doc].values.to_numpy()).astype(np.uint8)
                 for end in (0, -1) if len(known) else ():
                     known[end] &= words[end] > REACH
                 hit = np.flatnonzero(known)
@@ -251,22 +265,48 @@ def _grown(kind: pa.DataType):
     return run
 
 
+def _one_row_each(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_hash, text) with one row for each document; the rows of a repeated one are combined before they are shuffled."""
+    key = ["doc_id", "text_hash"]
+    twice = C.materialize(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "repeated-rows")
+    n = twice.count()
+    if not n:
+        return rows
+    bits = C.log2_bits_for(n)
+    marked = C.probe(rows, F.xxhash64(*key), C.key_bitmap(twice, F.xxhash64(*key), bits), bits, "_twice")
+    once = C.materialize(marked.filter("_twice").groupBy(*key).agg(F.first("text").alias("text")), "one-row-each")
+    return marked.filter("NOT _twice").select(*key, "text").unionByName(once)
+
+
+def _shared_chunks(rows: DataFrame, schema: str, kind: str) -> DataFrame:
+    """Chunks whose hash two documents or more have (and, by the filter, a few others)."""
+    spark = rows.sparkSession
+    met = rows.select("text").mapInArrow(C.tidied(_hashes()), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = C.materialize(met, "chunk-hashes")
+    n = shared.count()
+    if n <= C.FILTER_KEYS:
+        bits = C.log2_bits_for(n)
+        flags = spark.sparkContext.broadcast(_bitmap_bytes(C.key_bitmap(shared, F.col("hash"), bits), bits))
+        return rows.mapInArrow(C.tidied(_candidates(flags, bits)), schema)
+    # a filter would clear too little: each document gets the list of its shared hashes, joined by hash
+    own = rows.mapInArrow(C.tidied(_hashes(named=True)), f"doc_id {kind}, text_hash long, hash long")
+    total = shared.agg(F.sum("n")).first()[0]
+    known = C.join_unique(own, shared, ["hash"], "n", total, keep_unmatched=False)
+    lists = C.materialize(known.groupBy("doc_id", "text_hash").agg(F.collect_list("hash").alias("known")), "chunk-lists")
+    told = C.with_lists(rows, lists, lists.count(), ["doc_id", "text_hash"])
+    return told.select("doc_id", "text_hash", "text", "known").mapInArrow(C.tidied(_candidates(None)), schema)
+
+
 def _runs(rows: DataFrame, kind: str) -> DataFrame:
     """Runs of repeated chunks: doc_id, text_hash, start, end, words, n_chunks, kept_doc_ids, and at each end the kept place (null: none to look at)."""
-    spark = rows.sparkSession
-    met = rows.select("text").mapInArrow(C.tidied(_hashes), "hash long").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = C.materialize(met.select("hash"), "chunk-hashes")
-    bits = C.log2_bits_for(shared.count())
-    flags = spark.sparkContext.broadcast(_bitmap_bytes(C.key_bitmap(shared, F.col("hash"), bits), bits))
     schema = f"doc_id {kind}, text_hash long, {', '.join(f'{p} long' for p in _PLACES)}, digest binary"
-    found = C.materialize(rows.mapInArrow(C.tidied(_candidates(flags, bits)), schema), "chunk-candidates")
+    found = C.materialize(_shared_chunks(rows, schema, kind), "chunk-candidates")
     doc = (F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     groups = found.groupBy("digest").agg(F.min(F.struct(*doc, "start", "end")).alias("kept"), F.max(F.struct(*doc)).alias("last"), F.count("*").alias("n"))
     several = ~(F.col("kept.doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("kept.text_hash") == F.col("last.text_hash")))
     groups = C.materialize(groups.filter(several).select("digest", "n", F.struct(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"), F.col("kept.start").alias("start"), F.col("kept.end").alias("end")).alias("kept")), "chunk-groups")
     repeats = C.join_unique(found, groups, ["digest"], "n", found.count(), keep_unmatched=False)
     repeats = repeats.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.kept_id")) & (F.col("text_hash") == F.col("kept.kept_hash")))).drop("digest", "n")
-    # rows that repeat a document have equal places, so they change no run
     order = Window.partitionBy("doc_id", "text_hash").orderBy("ord")
     runs = repeats.withColumn("run", F.col("ord") - F.dense_rank().over(order)).groupBy("doc_id", "text_hash", "run")
     place = lambda side, at: F.struct(F.lit(side).alias("side"), F.col("kept.kept_id").alias("kept_id"), F.col("kept.kept_hash").alias("kept_hash"), F.col(f"kept.{at}").alias("place"))
@@ -290,6 +330,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType
     name = kind.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = _one_row_each(rows)
     runs = C.materialize(_runs(rows, name), "runs")
     asked = runs.filter(F.size("ends") > 0).select("doc_id", "text_hash", *_RUN, F.explode("ends").alias("e")).select("*", "e.*").drop("e")
     key = ["kept_id", "kept_hash", "place", "side"]
@@ -304,7 +345,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"doc_id {name}, text_hash long, start long, end long, words long, n_chunks long, kept_doc_ids array<{name}>"
     grown = open_.mapInArrow(C.tidied(_grown(to_arrow_type(kind))), schema)
     both = grown.unionByName(runs.filter(F.size("ends") == 0).drop("ends")).filter(F.col("words") >= min_words)
-    # rows that repeat a document have been grown alike
     return both.dropDuplicates(["doc_id", "text_hash", "start", "end"]).withColumnRenamed("words", "n_words")
 
 
@@ -336,7 +376,8 @@ def cut_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     if not n:
         return docs
     rows = docs.select(C.boxed(docs), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    held = C.with_lists(rows, lists, n, key, keep_rest=True)
+    sized = C.row_counts(rows.select(*key), lists, n, key)
+    held = C.with_lists(rows, sized, n, key, keep_rest=True, size="copies", total=sized.agg(F.sum("copies")).first()[0])
     hit = held.filter("_spans IS NOT NULL").select("_row", F.col("_row").getField(text_col).alias("_text"), "_spans")
     done = hit.mapInArrow(C.tidied(_cut), T.StructType([hit.schema["_row"], hit.schema["_text"]])).filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {text_col: F.col("_text")}

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import substring_dedup as S
 from tests.llm.helpers import DE, EN, FR, SCHEMA, no_docs, odd_rows, prose
@@ -146,6 +147,34 @@ def test_a_run_of_one_word(spark):
     assert {s.doc_id for s in spans} in ({1, 4}, {1, 3, 4})  # such a run has no places of its own to cut at, so one just long enough can be missed
 
 
+def test_past_the_filter_the_same_spans(spark, monkeypatch):
+    rows = passages(15, 60, 45, 80) + [(i + 500, "head " * i + " ".join(f"w{k}" for k in range(90))) for i in range(40)] + [(None, None), (600, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, S.repeated_spans(docs).collect()))
+    monkeypatch.setattr(S.C, "FILTER_KEYS", 0)
+    spans = S.repeated_spans(docs)
+    assert sorted(map(str, spans.collect())) == want and len(want) > 60
+    cut = sorted(map(str, S.cut_spans(docs, spans).collect()))
+    monkeypatch.undo()
+    assert sorted(map(str, S.cut_spans(docs, spans).collect())) == cut
+
+
+def test_a_document_repeated_in_very_many_rows(spark):
+    """One row of it is chunked and grown, though all rows are cut."""
+    rng = random.Random(16)
+    shared, own = prose(rng, EN + FR, 2000), prose(rng, DE, 1000)
+    docs = spark.createDataFrame([(7, shared + " " + own), (None, own)], "doc_id long, text string")
+    many = spark.range(4000, numPartitions=8).join(F.broadcast(docs)).drop("id").unionByName(spark.createDataFrame([(1, shared)], "doc_id long, text string"))
+    rows = S._one_row_each(many.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, many.distinct().select("doc_id", F.xxhash64("text").alias("text_hash"), "text").collect()))
+    spans = S.repeated_spans(many)
+    found = spans.collect()
+    check([(1, shared), (7, shared + " " + own), (None, own)], found)
+    assert {s.doc_id for s in found} == {7, None}
+    cut = S.cut_spans(many, spans).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    assert {tuple(r) for r in cut.collect()} == {(7, 4000, 1), (1, 1, 1)}
+
+
 def test_empty_table(spark):
     spans = S.repeated_spans(no_docs(spark))
     assert spans.count() == 0
