@@ -6,12 +6,12 @@ Each is hashed with XXH64, seed 42; a bit is set if over half the hashes set it.
 
 Links.  Two fingerprints link when at most two bits differ.  The distinct fingerprints are
 sorted by Gray rank, which puts those with few differing bits side by side, over all tasks:
-each task holds a range of that order, at most RANGES of them.  One tree stands over the order:
+that order is cut into RANGES ranges, of which a task holds one at a time (some 55 bytes a fingerprint).  One tree stands over the order:
 
 * eight neighbours make a node that holds the bits all of them share, eight nodes
   a node above, and so on: what all children share is stated once, in the parent;
 * the upper nodes stand over the ranges, from the bits that all fingerprints of a range
-  share; they are broadcast, RANGES leaves at most;
+  share; they are broadcast, RANGES leaves;
 * a search walks down with the differences met so far and drops a node, with all
   below it, once they pass two.  A node whose free bits cannot bring the total
   over two links as a whole;
@@ -51,8 +51,8 @@ SEED = 42
 RADIUS = 2
 #: Children of a node of the index.
 FAN = 8
-#: Distinct fingerprints of a range, as long as there are no more than RANGES of them; then ranges grow.
-RANGE_ROWS, RANGES = 1 << 14, 1 << 14
+#: Ranges of the Gray order, whatever the data, so that the ranges a fingerprint is sent to do not grow with it.
+RANGES = 1 << 12
 #: Rows searched at a time, and (query, node) pairs looked at together.
 CHUNK, FRONTIER = 1 << 16, 1 << 20
 _HASHES_AT_ONCE = 1 << 16
@@ -226,6 +226,16 @@ class RangeSearch:
         return fp[root[joined]], fp[joined]
 
 
+def _ranged(limits: np.ndarray):
+    """Each fingerprint with the number of its range; ``limits`` are the last ranks of all ranges but one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(limits, batch.column(1).to_numpy()).astype(np.int64))], ["fp", "rank", "range"])
+
+    return run
+
+
 def _routed(upper: object):
     """Each fingerprint for its own range (leaf) and for all later ones that the upper nodes leave."""
 
@@ -290,9 +300,11 @@ def gray_rank(fp: Column) -> Column:
 def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Edges ``(a, b)`` between distinct fingerprints that join all links of at most RADIUS bits."""
     spark = fps.sparkSession
-    n = max(1, min(RANGES, -(-fps.count() // RANGE_ROWS)))
-    ranked = fps.select(F.col(fp).alias("fp"), gray_rank(F.col(fp)).alias("rank")).repartitionByRange(n, "rank")
-    ranked = C.materialize(ranked.withColumn("range", F.spark_partition_id().cast("long")), "simhash-ranges")
+    ranked = fps.select(F.col(fp).alias("fp"), gray_rank(F.col(fp)).alias("rank"))
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    limits = ranked.agg(F.percentile_approx("rank", shares, 8 * RANGES)).first()[0] or []
+    limits = np.unique(np.array(limits, np.int64))
+    ranked = C.materialize(ranked.mapInArrow(_ranged(limits), "fp long, rank long, range long"), "simhash-ranges")
     # at most RANGES rows, whatever the data
     nodes = ranked.groupBy("range").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("range").collect()
     ones, some = (np.array([r[c] for r in nodes], np.int64).view(np.uint64) for c in ("ones", "some"))

@@ -92,7 +92,7 @@ def test_nodes_with_many_leaves_are_dropped():
 
 
 def test_upper_nodes_route_to_every_range_that_holds_a_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "RANGE_ROWS", 40)
+    monkeypatch.setattr(simhash, "RANGES", 30)
     rng = np.random.default_rng(9)
     fps = some_prints(rng, 700, 64) | some_prints(rng, 300, 12) | {int(x) for x in rng.integers(0, 1 << 64, 300, np.uint64)} | {0, (1 << 64) - 1}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
