@@ -103,7 +103,8 @@ def truncate_tokens(text: Column, n: int) -> Column:
 
 
 def source_tag(path: Column, chunk_id: Column, score: Column) -> Column:
-    return F.format_string("[source=%s chunk=%d score=%.4f]", path, chunk_id, score)
+    """The score rounds as the binary number it is, half to even; ``%.4f`` of Java rounds its shortest decimal half up."""
+    return F.format_string("[source=%s chunk=%d score=%s]", path, chunk_id, F.call_function("format_number", score, F.lit("0.0000")))
 
 
 def semantic_tags(tags: Column) -> Column:
