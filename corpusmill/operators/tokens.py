@@ -10,7 +10,9 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +36,55 @@ class WordTokenizer:
         return [[m.end() for m in self._words.finditer(t)] for t in texts]
 
 
-def _told(df: DataFrame, make: Callable[[], Tokenizer], col: str, name: str, kind: pa.DataType, sql: str, tell: Callable[[str, Sequence[int]], object]) -> DataFrame:
-    """Adds ``name``: what ``tell`` makes of a text and its token ends; null for null."""
+#: Rows, and bytes of text unless one row has more, that a tokenizer gets at once; only their ends are held.
+ROWS, BYTES = 256, 1 << 20
+
+
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by ROWS and BYTES of column ``at``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[start : start + ROWS], dtype=np.int64), BYTES, side="right")))
+        yield batch.slice(start, n)
+        start += n
+
+
+def _told(df: DataFrame, make: Callable[[], Tokenizer], col: str, *made: tuple[str, pa.DataType, str, Callable[[str, Sequence[int]], object]]) -> DataFrame:
+    """Adds columns ``(name, kind, sql, tell)``: what ``tell`` makes of a text and its token ends; null for null."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(col)).to_pylist()
-            found = model.ends([t or "" for t in texts])
-            if len(found) != len(texts):
-                raise ValueError(f"the tokenizer told of {len(found)} texts, not {len(texts)}")
-            made = [None if t is None else tell(t, e) for t, e in zip(texts, found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*batch.schema.names, name])
+        for whole in batches:
+            at = whole.schema.get_field_index(col)
+            for batch in _parts(whole, at):
+                texts = batch.column(at).to_pylist()
+                found = model.ends([t or "" for t in texts])
+                if len(found) != len(texts):
+                    raise ValueError(f"the tokenizer told of {len(found)} texts, not {len(texts)}")
+                more = [pa.array([None if t is None else tell(t, e) for t, e in zip(texts, found)], kind) for _, kind, _, tell in made]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(m[0] for m in made)])
 
-    shown = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{shown}, {name} {sql}")
+    shown = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"`{name}` {sql}" for name, _, sql, _ in made)])
+    return df.mapInArrow(run, shown)
+
+
+def _counted(out: str) -> tuple:
+    return out, pa.int64(), "long", lambda _, ends: len(ends)
 
 
 def count_tokens(df: DataFrame, make: Callable[[], Tokenizer], text_col: str = "text", out: str = "tokens") -> DataFrame:
-    return _told(df, make, text_col, out, pa.int64(), "long", lambda _, ends: len(ends))
+    return _told(df, make, text_col, _counted(out))
 
 
-def truncate(df: DataFrame, make: Callable[[], Tokenizer], n: int, text_col: str = "text", out: str = "cut") -> DataFrame:
-    """Adds the text up to the end of its ``n``-th token, white space as it is; texts of fewer tokens stay whole."""
-    return _told(df, make, text_col, out, pa.string(), "string", lambda text, ends: text if len(ends) <= n else text[: ends[n - 1]] if n else "")
+def truncate(df: DataFrame, make: Callable[[], Tokenizer], n: int, text_col: str = "text", out: str = "cut", count: str | None = None) -> DataFrame:
+    """Adds the text up to the end of its ``n``-th token, white space as it is; texts of fewer tokens stay whole.
+
+    With ``count`` also the text's tokens, of the same pass.
+    """
+    cut = (out, pa.string(), "string", lambda text, ends: text if len(ends) <= n else text[: ends[n - 1]] if n else "")
+    return _told(df, make, text_col, *([_counted(count)] if count else []), cut)
 
 
 def fit_counted(df: DataFrame, make: Callable[[], Tokenizer], settings: SettingsB | None = None) -> DataFrame:
@@ -79,7 +105,7 @@ def fit_counted(df: DataFrame, make: Callable[[], Tokenizer], settings: Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             rows = [r or [] for r in batch.column(at["_pieces"]).to_pylist()]
             questions = batch.column(at["question"]).to_pylist()
             pieces = [f"{h['tag'] or ''}\n{(h['text'] or '')[:n]}" for r in rows for h in r for n in limits]
