@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.runtime import ship
 
-#: Questions that are broadcast together; query vectors in one matrix product.
+#: Questions that are broadcast together.
 BLOCK = 2000
-#: Vectors in one matrix product, and bytes of query vectors that are broadcast together.
-VECTOR_ROWS, QUERY_BYTES = 1024, 64 << 20
+#: Query vectors and vectors in one matrix product (some 2 MB and a few copies), and bytes of query vectors that are broadcast together.
+VECTOR_QUERIES, VECTOR_ROWS, QUERY_BYTES = 256, 1024, 64 << 20
 #: Scores are compared at this many digits, so that the order of summing does not decide.
 DIGITS = 6
 
@@ -45,7 +45,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, ord_col: str = "
     """Exact inner product of unit vectors: ``query_id, rank, score, chunk_ord``.
 
     ``queries`` is ``query_id, embedding``, with one row per id.  Queries are broadcast,
-    QUERY_BYTES at a time; each such part meets all vectors in one scan, BLOCK queries and
+    QUERY_BYTES at a time; each such part meets all vectors in one scan, VECTOR_QUERIES queries and
     VECTOR_ROWS vectors to a matrix product, and a task passes on its best ``k`` a query.
     Null vectors, and those that hold a null, are never met and ask nothing.
     """
@@ -86,8 +86,8 @@ def _best_of(shared, k: int, dim: int):
                 if len(flat) != part.num_rows * dim or (np.asarray(pc.list_value_length(part.column(1))) != dim).any():
                     raise ValueError("vectors differ in length from the queries")
                 ords, matrix = part.column(0).to_numpy(), _unit(flat.reshape(part.num_rows, dim))
-                for q in range(0, len(ids), BLOCK):
-                    mine = slice(q, q + BLOCK)
+                for q in range(0, len(ids), VECTOR_QUERIES):
+                    mine = slice(q, q + VECTOR_QUERIES)
                     score = np.round(_unit(asked[mine]) @ matrix.T, DIGITS)
                     both = np.hstack([best[mine], score])
                     where = np.hstack([at[mine], np.broadcast_to(ords, score.shape)])
