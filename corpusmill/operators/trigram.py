@@ -6,8 +6,11 @@ search reads the row groups of its own grams, and each gram's number of chunks.
 padded with two NULs, so every character begins a gram: a term of one to three characters is
 held where some gram begins with it.  For a longer term the chunks that have its PROBES
 rarest grams are candidates, and only those meet the substring test.  Scores, ties and ranks
-are those of :mod:`corpusmill.operators.retrieve`; the cost is that of the lists that are
-read, not of questions times chunks.
+are those of :mod:`corpusmill.operators.retrieve`.
+
+A row is moved for each entry of the lists that are read, so they are for a search that reads
+few: past LISTED entries, or where no lists are kept, the questions go to the chunks, and the
+tasks make the trigrams of their chunks as they pass (:mod:`corpusmill.operators.blocks`).
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import blocks
 from corpusmill.operators.retrieve import top_k
 from corpusmill.runtime import materialize
 
@@ -27,6 +31,8 @@ PROBES, GRAM = 3, 3
 BLOCK_CHUNKS = 8192
 #: Grams, or beginnings of grams, that are sent to the scan as a filter; more are only joined.
 PUSHED = 500
+#: Entries of lists that a search moves at most.
+LISTED = 1_000_000
 _PAD = "\x00" * (GRAM - 1)
 
 
@@ -51,8 +57,13 @@ def grams(text: Column) -> Column:
 @dataclass(frozen=True)
 class TrigramIndex:
     hay: DataFrame
-    postings: DataFrame
-    frequencies: DataFrame
+    postings: DataFrame | None = None
+    frequencies: DataFrame | None = None
+
+    @staticmethod
+    def in_tasks(chunks: DataFrame, hay: Column) -> TrigramIndex:
+        """Nothing is kept: each search makes the trigrams anew, in the tasks, which takes one pass and no disk."""
+        return TrigramIndex(chunks.select("chunk_ord", hay.alias("hay")))
 
     @staticmethod
     def build(chunks: DataFrame, hay: Column, path: str | None = None) -> TrigramIndex:
@@ -85,13 +96,26 @@ class TrigramIndex:
             mine = mine.filter(F.col("gram").isin(some) if length == GRAM else F.col(on).isin(some) & (F.col("gram") >= min(some, default="")))
         return wanted.join(mine, wanted[key] == mine[on]).select("term", "gram", F.explode("ords").alias("chunk_ord"))
 
+    def _rarest(self, terms: DataFrame) -> DataFrame:
+        """``term, probe, n``: the PROBES rarest grams of each term that has grams of its own, and their numbers of chunks."""
+        parts = terms.filter(F.length("term") > GRAM).select("term", F.explode(grams(F.col("term"))).alias("probe"))
+        known = parts.join(self.frequencies.withColumnRenamed("gram", "probe"), "probe", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        return known.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy("n", "probe"))).filter(F.col("_r") <= PROBES)
+
+    def few(self, terms: DataFrame) -> bool:
+        """Are there lists, and do those of distinct ``terms`` have LISTED entries at most?"""
+        if self.postings is None:
+            return False
+        read = self._rarest(terms).select("n")
+        for size in range(1, GRAM + 1):
+            begun = self.frequencies.groupBy(F.substring("gram", 1, size).alias("term")).agg(F.sum("n").alias("n"))
+            read = read.unionByName(terms.filter(F.length("term") == size).join(begun, "term").select("n"))
+        return (read.agg(F.sum("n")).first()[0] or 0) <= LISTED
+
     def candidates(self, terms: DataFrame) -> DataFrame:
         """``term, chunk_ord``, each pair once, of distinct ``terms``: all chunks that can hold a term."""
         short = [self._lists(terms.filter(F.length("term") == n), "term", n).select("term", "chunk_ord").distinct() for n in range(1, GRAM + 1)]
-        parts = terms.filter(F.length("term") > GRAM).select("term", F.explode(grams(F.col("term"))).alias("probe"))
-        known = parts.join(self.frequencies.withColumnRenamed("gram", "probe"), "probe", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        rarest = known.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy("n", "probe"))).filter(F.col("_r") <= PROBES)
-        rarest = materialize(rarest.select("term", "probe", F.count("*").over(Window.partitionBy("term")).alias("probes")), "trigram-probes")
+        rarest = materialize(self._rarest(terms).select("term", "probe", F.count("*").over(Window.partitionBy("term")).alias("probes")), "trigram-probes")
         met = self._lists(rarest.select("term", "probe"), "probe", GRAM).groupBy("term", "chunk_ord").agg(F.count("*").alias("met"))
         long = met.join(rarest.select("term", "probes").distinct(), "term").filter("met = probes").select("term", "chunk_ord")
         return short[0].unionByName(short[1]).unionByName(short[2]).unionByName(long)
@@ -116,6 +140,8 @@ def lexical_a(index: TrigramIndex, questions: DataFrame, k: int) -> DataFrame:
     tokens = questions.select("query_id", T.query_tokens_a(F.col("question")).alias("_t"))
     asked = tokens.select("query_id", F.size("_t").alias("of"), F.explode("_t").alias("term"))
     asked = materialize(asked.groupBy("query_id", "term", "of").agg(F.count("*").alias("share")), "trigram-asked")
+    if not index.few(asked.select("term").distinct()):
+        return blocks.search(index.hay, tokens.select("query_id", F.col("_t").alias("words"), F.lit(None).cast("string").alias("whole")), k)
     held = index.held(asked.select("term", F.lit(False).alias("counted")).distinct())
     scored = held.join(asked, "term").groupBy("query_id", "chunk_ord").agg((F.sum("share") / F.first("of")).alias("score"))
     return top_k(scored, k).select("query_id", "rank", "score", "chunk_ord")
@@ -129,6 +155,8 @@ def keyword_b(index: TrigramIndex, questions: DataFrame, k: int = 8) -> DataFram
     asked = read.select("query_id", "_q", "_t", F.size("_t").alias("of"), F.explode(parts).alias("term"))
     share = F.size(F.filter("_t", lambda t: t == F.col("term")))
     asked = materialize(asked.select("query_id", "term", "of", (F.col("term") == F.col("_q")).alias("whole"), share.alias("share")), "trigram-asked")
+    if not index.few(asked.select("term").distinct()):
+        return blocks.search(index.hay, read.select("query_id", F.col("_t").alias("words"), F.col("_q").alias("whole")), k)
     held = index.held(asked.groupBy("term").agg(F.max("whole").alias("counted")))
     met = held.join(asked, "term").groupBy("query_id", "chunk_ord").agg(F.max(F.when(F.col("whole"), F.col("times"))).alias("times"), (F.sum("share") / F.first("of")).alias("part"))
     score = F.when(F.col("times").isNotNull(), 2 + F.least(F.lit(1.0), F.lit(0.1) * F.col("times"))).otherwise(F.col("part"))
