@@ -2,21 +2,22 @@
 
 ``Embedder`` is what a model needs to offer; :func:`embed` runs it in Arrow batches,
 loads it once a task, retries a failed batch row by row and checks the count.
-``hash_embed`` needs no model and no Python.
+``hash_embed`` needs no model; an Arrow UDF digests each word of a batch once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions import vectors as V
 from corpusmill.runtime import ship
 
 
@@ -34,8 +35,6 @@ class HashEmbedder:
         self.dim = dim
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        from hashlib import md5
-
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             for word in text.lower().split():
@@ -72,16 +71,45 @@ def embed(df: DataFrame, make: Callable[[], Embedder], text_col: str = "chunk_te
     return source.mapInArrow(run, schema)
 
 
-def hash_buckets(text: Column, dim: int) -> Column:
-    """For each word, its bucket."""
-    return F.transform(T.words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("long") % dim).cast("int"))
+#: Bytes of text, unless one text has more, whose words are counted at once.
+BYTES = 16 << 20
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + BYTES, side="right")))
+        yield texts.slice(start, end - start)
+        start = end
+
+
+def _bags(texts: pa.Array, dim: int) -> pa.Array:
+    """Unit vectors of bags of words; nulls for null.  A word is digested once, however often it stands there."""
+    lists = pc.ascii_split_whitespace(texts)  # the white space of T.words
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    bucket = (np.frombuffer(b"".join([md5(w).digest() for w in words]), ">u4")[::4] >> 4).astype(np.int64) % dim
+    counts = np.array([w != b"" for w in words], dtype=float)  # at the ends of a text the split leaves an empty word
+    word = coded.indices.to_numpy()
+    at = pc.list_parent_indices(lists).to_numpy() * dim + bucket[word]
+    found = np.bincount(at, counts[word], len(texts) * dim).reshape(-1, dim)
+    size = np.sqrt((found * found).sum(axis=1, keepdims=True))
+    np.divide(found, size, out=found, where=size > 0)
+    missing = np.repeat(texts.is_null().to_numpy(zero_copy_only=False), dim)
+    return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dim, pa.array(found.ravel(), mask=missing))
 
 
 def hash_embed(df: DataFrame, text_col: str = "chunk_text", dim: int = 64) -> DataFrame:
-    """Adds ``embedding array<double>``: the native form of :class:`HashEmbedder`, of unit length."""
-    left = lambda bs, b: F.size(F.array_remove(bs, b))  # noqa: E731  one native pass per bucket
-    counts = lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: (F.size(bs) - left(bs, b)).cast("double"))
-    return df.withColumn("embedding", T.once(T.once(hash_buckets(F.col(text_col), dim), counts), V.l2_normalize))
+    """Adds ``embedding array<double>``: :class:`HashEmbedder` over Spark's lower case and ASCII white space, of unit length."""
+
+    @F.arrow_udf("array<double>")
+    def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([_bags(part, dim) for part in _parts(texts)] or [pa.array([], pa.list_(pa.float64()))])
+
+    ship(df.sparkSession)
+    return df.withColumn("embedding", bags(F.lower(text_col)))
 
 
 def embed_pairs(pairs: DataFrame, dim: int = 64) -> DataFrame:
