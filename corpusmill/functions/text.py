@@ -25,8 +25,8 @@ def normalize_newlines(text: Column) -> Column:
 
 
 def squeeze_blank_lines(text: Column) -> Column:
-    """Runs of three or more LF become two."""
-    return F.regexp_replace(text, "\n{3,}", "\n\n")
+    """Runs of three or more LF become two; most texts have none and skip the pattern."""
+    return once(text, lambda t: F.when(F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, "\n{3,}", "\n\n")).otherwise(t))
 
 
 def strip(text: Column) -> Column:
@@ -84,8 +84,8 @@ def query_tokens_b(question: Column) -> Column:
 
 def count_of(hay: Column, needle: Column) -> Column:
     """Non-overlapping occurrences; 0 for an empty needle."""
-    found = (F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / F.length(needle)
-    return F.when(F.length(needle) > 0, found).otherwise(0).cast("int")
+    found = (F.octet_length(hay) - F.octet_length(F.replace(hay, needle, F.lit("")))) / F.octet_length(needle)
+    return F.when(F.octet_length(needle) > 0, found).otherwise(0).cast("int")
 
 
 def words(text: Column) -> Column:

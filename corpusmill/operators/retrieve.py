@@ -110,8 +110,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=m.copy(), where=size > 0)
 
 
-def _meet(chunks: DataFrame, questions: DataFrame, score: Column, prepare) -> DataFrame:
-    parts = [chunks.join(F.broadcast(prepare(b)), F.lit(True)).withColumn("score", score).filter("score > 0") for b in _blocks(questions)]
+def _meet(chunks: DataFrame, questions: DataFrame, terms: str, score: Column, prepare) -> DataFrame:
+    """Chunks that hold a term of a question, which are those with a score above 0; a filter by score would compute it twice."""
+    held = F.exists(terms, lambda t: F.contains(F.col("_hay"), t))
+    parts = [chunks.join(F.broadcast(prepare(b)), F.lit(True)).filter(held).withColumn("score", score) for b in _blocks(questions)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -120,7 +122,7 @@ def lexical_a(chunks: DataFrame, questions: DataFrame, k: int, path_col: str = "
     hay = chunks.withColumn("_hay", F.lower(F.concat_ws(" ", "chunk_text", path_col)))
     held = F.size(F.filter("_tokens", lambda t: F.contains(F.col("_hay"), t)))
     score = F.when(F.size("_tokens") > 0, held / F.size("_tokens")).otherwise(0.0)
-    met = _meet(hay, questions, score, lambda q: q.withColumn("_tokens", T.query_tokens_a(F.col("question"))))
+    met = _meet(hay, questions, "_tokens", score, lambda q: q.withColumn("_tokens", T.query_tokens_a(F.col("question"))))
     return top_k(met.drop("_hay", "_tokens"), k)
 
 
@@ -140,7 +142,7 @@ def keyword_b(chunks: DataFrame, questions: DataFrame, k: int = 8, path_col: str
     path = F.lower(path_col)
     hay = chunks.withColumn("_hay", F.concat_ws("\n", F.lower("chunk_text"), path, F.lower(T.stem(F.col(path_col)))))
     score = keyword_score(F.col("_hay"), F.col("_query"), F.col("_terms"))
-    met = _meet(hay, questions, score, lambda q: q.withColumn("_query", F.lower(T.strip(F.col("question")))).withColumn("_terms", T.query_tokens_b(F.col("question"))))
+    met = _meet(hay, questions, "_terms", score, lambda q: q.withColumn("_query", F.lower(T.strip(F.col("question")))).withColumn("_terms", T.query_tokens_b(F.col("question"))))
     return top_k(met.drop("_hay", "_query", "_terms"), k)
 
 
