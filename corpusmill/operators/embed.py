@@ -72,7 +72,7 @@ def embed(df: DataFrame, make: Callable[[], Embedder], text_col: str = "chunk_te
 
 
 #: Bytes of text, unless one text has more, whose words are counted at once.
-BYTES = 16 << 20
+BYTES = 8 << 20
 
 
 def _parts(texts: pa.Array) -> Iterator[pa.Array]:
