@@ -88,18 +88,22 @@ def count_of(hay: Column, needle: Column) -> Column:
     return F.when(F.octet_length(needle) > 0, found).otherwise(0).cast("int")
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda x: x != "")
+# Fixed value: white space as ``\s`` of the SQL has it; that of Java has U+000B too.
+SQL_SPACE = r"[ \t\n\f\r]+"
 
 
-def token_count(text: Column) -> Column:
+def words(text: Column, space: str = r"\s+") -> Column:
+    return F.filter(F.split(text, space), lambda x: x != "")
+
+
+def token_count(text: Column, space: str = r"\s+") -> Column:
     """The default tokenizer counts white-space words."""
-    return F.size(words(text))
+    return F.size(words(text, space))
 
 
-def truncate_tokens(text: Column, n: int) -> Column:
+def truncate_tokens(text: Column, n: int, space: str = r"\s+") -> Column:
     """The first ``n`` tokens, joined by a space; shorter texts stay as they are."""
-    return F.when(token_count(text) > n, F.array_join(F.slice(words(text), 1, n), " ")).otherwise(text)
+    return F.when(token_count(text, space) > n, F.array_join(F.slice(words(text, space), 1, n), " ")).otherwise(text)
 
 
 def source_tag(path: Column, chunk_id: Column, score: Column) -> Column:

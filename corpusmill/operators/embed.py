@@ -7,6 +7,7 @@ loads it once a task, retries a failed batch row by row and checks the count.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from hashlib import md5
 from typing import Protocol
@@ -29,7 +30,12 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Bag of words: each word adds one to the bucket that its MD5 names."""
+    """Bag of words: each word adds one to the bucket that its MD5 names.
+
+    White space and lower case are those of the SQL: ``T.SQL_SPACE``, and each character becomes one other.
+    """
+
+    _space = re.compile(T.SQL_SPACE)
 
     def __init__(self, dim: int = 64) -> None:
         self.dim = dim
@@ -37,7 +43,7 @@ class HashEmbedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
-            for word in text.lower().split():
+            for word in filter(None, self._space.split(text.replace("İ", "i").replace("Σ", "σ").lower())):
                 out[i, int(md5(word.encode()).hexdigest()[:7], 16) % self.dim] += 1
         return out
 
@@ -55,7 +61,7 @@ def _rows(model: Embedder, texts: list[str]) -> np.ndarray:
 
 def embed(df: DataFrame, make: Callable[[], Embedder], text_col: str = "chunk_text", batch: int = 64, max_tokens: int | None = None) -> DataFrame:
     """Adds ``embedding array<float>``, of unit length."""
-    source = df if max_tokens is None else df.withColumn("_cut", T.truncate_tokens(F.col(text_col), max_tokens))
+    source = df if max_tokens is None else df.withColumn("_cut", T.truncate_tokens(F.col(text_col), max_tokens, T.SQL_SPACE))
     column = text_col if max_tokens is None else "_cut"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", embedding array<float>"
 
@@ -101,7 +107,7 @@ def _bags(texts: pa.Array, dim: int) -> pa.Array:
 
 
 def hash_embed(df: DataFrame, text_col: str = "chunk_text", dim: int = 64) -> DataFrame:
-    """Adds ``embedding array<double>``: :class:`HashEmbedder` over Spark's lower case and ASCII white space, of unit length."""
+    """Adds ``embedding array<double>``: :class:`HashEmbedder` over Spark's lower case and all ASCII white space, of unit length."""
 
     @F.arrow_udf("array<double>")
     def bags(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
